@@ -23,6 +23,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_limits(histogram(_table(spark, sf_dir, "documents").select("text")))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulewright.llm.pii import digest
+
+    return digest(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rulewright.llm.bpe import round_trip
 
