@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Documents are taken in slices of about this many bytes, so memory follows the slice and not the Arrow batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}

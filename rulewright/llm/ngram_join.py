@@ -37,7 +37,7 @@ K = 5
 TILE, BLOCK = 512, 256
 #: A gram is put last in the order if some map task sees it in this many of its documents; at most HOT_MAX of them (1 MB).
 HOT_LOCAL, HOT_MAX = 8, 1 << 17
-FLUSH_KEYS = 2 << 20
+FLUSH_KEYS = 1 << 19
 SIG_LOW, SIG_HIGH = 64, 1024
 
 
