@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.llm._store import settle
 from rulewright.llm.bpe import token_counts
 
 BLOCK = 256
 
 
 def histogram(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """(n_tokens, n_docs) for each distinct encoded length."""
-    return token_counts(df, [], text, path).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """(n_tokens, n_docs) for each distinct encoded length, written once as several reports read it."""
+    return settle(token_counts(df, [], text, path).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
 
 
 def context_limits(hist: DataFrame) -> DataFrame:
