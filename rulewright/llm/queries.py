@@ -23,6 +23,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_limits(histogram(_table(spark, sf_dir, "documents").select("text")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulewright.llm.toxicity import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rulewright.llm.pii import digest
 
@@ -35,6 +41,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rulewright.llm.quality import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
