@@ -9,36 +9,20 @@ from pyspark.sql import functions as F
 from rulewright.llm._store import settle
 
 
-class Forest:
-    """Union-find over the rows of one task; the root of a tree is its smallest member."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
-
-    def union(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        if i > j:
-            i, j = j, i
-        self.parent[j] = i
-        return True
-
-    def roots(self) -> np.ndarray:
-        p = self.parent
+def label_pairs(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Smallest index reachable over the pairs, for each of n vertices (continues from label)."""
+    label = np.arange(n) if label is None else label
+    while True:
+        la, lb = label[a], label[b]
+        if np.array_equal(la, lb):
+            return label
+        low, high = np.minimum(la, lb), np.maximum(la, lb)
+        np.minimum.at(label, high, low)
         while True:
-            q = p[p]
-            if np.array_equal(p, q):
-                self.parent = q
-                return q
-            p = q
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

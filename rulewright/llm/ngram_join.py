@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.llm._blobs import Bloom, buckets_of, by_bucket, pack, read_blobs, unpack
-from rulewright.llm._components import components
+from rulewright.llm._components import components, label_pairs
 from rulewright.llm._store import settle, shuffle_partitions
 from rulewright.llm._text import distinct_sorted, lower_ascii, mix64, reduce_rows, shingle_hashes, slices, span_hashes, utf8, word_bounds
 
@@ -210,22 +210,6 @@ def _pairs_within(starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.n
             yield (base + i).ravel(), (base + j).ravel()
 
 
-def label_pairs(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """Smallest index reachable over the pairs, for each of n vertices (continues from label)."""
-    label = np.arange(n) if label is None else label
-    while True:
-        la, lb = label[a], label[b]
-        if np.array_equal(la, lb):
-            return label
-        low, high = np.minimum(la, lb), np.maximum(la, lb)
-        np.minimum.at(label, high, low)
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label = up
-
-
 class _Signatures:
     """Bitmaps of documents, folded to every smaller width (or-ing halves keeps the bound)."""
 
