@@ -59,6 +59,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the conversations table as the target domain."""
+    from rulewright.llm.lm_score import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(_table(spark, sf_dir, "conversations"), docs), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
