@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,11 @@ from rulewright.llm._text import distinct_sorted, lower_ascii, mix64, reduce_row
 K = 5
 #: Documents of one key beyond which the key is a candidate group as it is, and documents of a block of verification.
 TILE, BLOCK = 512, 256
-#: A gram is put last in the order if some map task sees it in this many of its documents; at most HOT_MAX of them (1 MB).
-HOT_LOCAL, HOT_MAX = 8, 1 << 17
+#: A gram is put last in the order if windows of map tasks that see it in HOT_LOCAL documents at least see it in HOT_TOTAL
+#: documents together; at most HOT_MAX of them, the most frequent (1 MB).
+HOT_LOCAL, HOT_TOTAL, HOT_MAX = 2, 24, 1 << 17
 FLUSH_KEYS = 1 << 19
-SIG_LOW, SIG_HIGH = 64, 1024
+SIG_LOW, SIG_HIGH = 64, 1 << 16
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         if held:
             yield flush()
 
-    top = docs.mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "key").limit(HOT_MAX)
+    top = docs.mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOTAL).orderBy(F.col("n").desc(), "key").limit(HOT_MAX)
     return np.sort(top.select("key").toArrow().column("key").to_numpy().view(np.uint64))
 
 
@@ -160,7 +162,12 @@ def _scan(docs: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
 
 
 def _groups(blobs: DataFrame, n_buckets: int) -> DataFrame:
-    """(tile, a, b): members a of a key's tile (b null), or candidate edges a - b of a key of very many documents."""
+    """(t1, t2, docs, a, b): the documents of a key's tile, or candidate edges a - b of a key of very many documents.
+
+    Near copies share most of their keys, so the same documents meet again and again: a tile is named by a 128-bit hash of
+    its documents, by which repetitions are dropped.
+    """
+    names = ["t1", "t2", "docs", "a", "b"]
 
     def work(batches):
         bucket, parts = read_blobs(batches)
@@ -188,15 +195,25 @@ def _groups(blobs: DataFrame, n_buckets: int) -> DataFrame:
         counts = np.diff(np.append(starts, len(key)))
         some = np.logical_or.reduceat(own, starts)
         big = counts > TILE
-        rows = np.repeat(some & ~big, counts)
-        tile = (np.int64(bucket) << np.int64(32)) | key[rows].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(doc[rows]), pa.nulls(len(tile), pa.int64())], names=["tile", "a", "b"])
+        kept = np.flatnonzero(some & ~big)
+        with np.errstate(over="ignore"):
+            t1 = np.add.reduceat(mix64(doc.astype(np.uint64)), starts)[kept]
+            t2 = np.add.reduceat(mix64(doc.astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)), starts)[kept]
+        first = np.unique(np.stack([t1, t2]), axis=1, return_index=True)[1]
+        kept, t1, t2 = kept[first], t1[first].view(np.int64), t2[first].view(np.int64)
+        inside = np.zeros(len(starts), bool)
+        inside[kept] = True
+        order = np.argsort(kept)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts[np.sort(kept)])]).astype(np.int32)), pa.array(doc[np.repeat(inside, counts)]))
+        none = pa.nulls(len(kept), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(t1[order]), pa.array(t2[order]), lists, none, none], names=names)
         edges = [np.stack([np.full(c, doc[s : s + c].min()), doc[s : s + c]]) for s, c in zip(starts[big], counts[big], strict=True)]
         if edges:
             pairs = np.unique(np.concatenate(edges, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names=["tile", "a", "b"])
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(pairs.shape[1], pa.list_(pa.int64())), pa.array(pairs[0]), pa.array(pairs[1])], names=names)
 
-    return by_bucket(blobs, n_buckets).mapInArrow(work, "tile long, a long, b long")
+    return by_bucket(blobs, n_buckets).mapInArrow(work, "t1 long, t2 long, docs array<long>, a long, b long")
 
 
 def _pairs_within(starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -369,7 +386,8 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     scanned = settle(_scan(docs, _frequent(docs), parts), "ngram-scan")
     rows = scanned.where("doc_id IS NOT NULL").select("doc_id", "n", "f1", "f2", "sig")
     groups = settle(_groups(scanned.where("bucket IS NOT NULL"), parts), "ngram-groups")
-    near = _candidate_edges(groups.where("b IS NULL").select("tile", "a"), rows.where("n > 0").select("doc_id", "n", "sig"), parts)
+    members = groups.where("b IS NULL").dropDuplicates(["t1", "t2"]).select(F.col("t1").alias("tile"), F.explode("docs").alias("a"))
+    near = _candidate_edges(members, rows.where("n > 0").select("doc_id", "n", "sig"), parts)
     candidates = components(near.union(groups.where("b IS NOT NULL").select("a", "b")))
     verified = settle(_verified(docs, candidates, parts), "ngram-links")
     copies = settle(rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "ngram-copies")
@@ -412,3 +430,29 @@ def _verified(docs: DataFrame, candidates: DataFrame, parts: int) -> DataFrame:
     tiles = as_minor.union(as_any).select(F.xxhash64("component", "mb", "vb").alias("tile"), "doc_id", "cls").distinct()
     rest = _verify(tiles.join(sets.select("doc_id", "set"), "doc_id"), parts, known=True)
     return within.union(between).union(rest.where("a <> b"))
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df of which each class of linked documents keeps one, that with the smallest id; rows without an id stay.
+
+    Texts are not shuffled: a Bloom set of the dropped ids lets the rows it misses pass at once, and only the others are
+    compared with the dropped ids in an anti join.
+    """
+    found = settle(jaccard_classes(df, id_col, text), "ngram-classes")
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped"))
+    shared = df.sparkSession.sparkContext.broadcast(Bloom.of(dropped, "__dropped"))
+    at = df.columns.index(id_col)
+
+    def where(hit: bool):
+        def work(batches):
+            for batch in batches:
+                ids = batch.column(at)
+                some = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
+                got = some & shared.value.hits(pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+                yield batch.filter(pa.array(got == hit))
+
+        return work
+
+    sure = df.mapInArrow(where(False), df.schema)
+    open_ = df.mapInArrow(where(True), df.schema)
+    return sure.union(open_.join(dropped, open_[id_col] == dropped["__dropped"], "left_anti"))
