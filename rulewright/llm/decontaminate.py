@@ -137,6 +137,13 @@ class Items:
         """(start, end, edits) of the best region near the diagonals first .. first + width, if within the budget."""
         e = self.edits[item]
         pattern = self.points[item]
+        # An equal region has no edits, so nothing can be better: the alignment is the comparison itself.
+        a, b = max(0, first), min(first + width, len(text) - len(pattern) + 1)
+        if b > a:
+            equal = (np.lib.stride_tricks.sliding_window_view(text[a : b - 1 + len(pattern)], len(pattern)) == pattern).all(axis=1)
+            if equal.any():
+                start = a + int(np.argmax(equal))
+                return start, start + len(pattern), 0
         low, span = first - e, width + 2 * e
         edits, k = self._band(text, pattern, low, np.zeros(span, dtype=np.int64))
         if edits > e:
