@@ -31,12 +31,15 @@ from pyspark.sql import functions as F
 
 from rulewright.llm._blobs import Bloom, buckets_of, pack, unpack
 from rulewright.llm._dc3 import suffix_order
+from rulewright.llm._memory import tidy
 from rulewright.llm._store import settle, shuffle_partitions
 from rulewright.llm._text import _power_table, mix64, slices, utf8
 
 WIDTH, K = 50, 20
 SPAN = WIDTH - K + 1  # windows that one gram can name
 CONTEXT = WIDTH + SPAN - 1
+SIDE = (WIDTH - K) // 2  # every window reaches so far to one side of its gram
+HALF = WIDTH + SIDE  # bytes of SIDE + 1 windows
 FLUSH = 1 << 18
 BLOOM_BITS = 1 << 26
 #: Bytes whose suffixes are sorted together (more if one minimizer has more).
@@ -57,13 +60,13 @@ def _hash_between(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
         return mix64((total[b] - total[a]) * q[a] + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """key, row, first window, last window and prefix sums: for each minimizer the run of windows that it names."""
+def minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, row, first window, last window, place and prefix sums: for each minimizer the run of windows that it names."""
     n = len(data)
     none = np.zeros(0, np.int64)
     total = _prefix_sums(data)
     if n < WIDTH:
-        return np.zeros(0, np.uint64), none, none, none, total
+        return np.zeros(0, np.uint64), none, none, none, none, total
     at = np.arange(n - K + 1)
     gram = _hash_between(total, at, at + K)
     place_bits = max(1, int(n).bit_length())
@@ -80,11 +83,11 @@ def minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     inside = np.arange(len(where)) + WIDTH <= offsets[row + 1]
     starts = np.flatnonzero(inside)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), none, none, none, total
+        return np.zeros(0, np.uint64), none, none, none, none, total
     w, r = where[starts], row[starts]
     new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (r[1:] != r[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     last = np.append(new[1:], len(starts)) - 1
-    return mix64(gram[w[new]]), r[new], starts[new], starts[last], total
+    return mix64(gram[w[new]]), r[new], starts[new], starts[last], w[new], total
 
 
 class _Segments:
@@ -143,6 +146,7 @@ def _receive(batches: Iterator[pa.RecordBatch], kinds: list[str], doc: bool = Tr
             if doc:
                 got[-1] = got[-1].astype(np.int64) + base
             parts.append(got)
+    tidy()
     return bucket, [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
 
 
@@ -166,7 +170,7 @@ def _repeated(docs: DataFrame, n: int) -> _Segments:
             return _send([(keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)], buckets_of(keys, n), n)
 
         for batch in slices(batches, "text"):
-            key, row, _, _, _ = minimizers(*utf8(batch.column(1)))
+            key, row, *_ = minimizers(*utf8(batch.column(1)))
             if len(key):
                 order = np.lexsort((key, row))
                 key, row = key[order], row[order]
@@ -208,7 +212,7 @@ def _agreeing(docs: DataFrame, repeated: _Segments, n: int) -> DataFrame:
         for batch in slices(batches, "text"):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = utf8(batch.column(1))
-            key, row, first, last, total = minimizers(data, offsets)
+            key, row, first, last, _, total = minimizers(data, offsets)
             at = np.flatnonzero(shared.value.hits(key))
             if len(at):
                 key, row, first, last = key[at], row[at], first[at], last[at]
@@ -240,11 +244,54 @@ def _agreeing(docs: DataFrame, repeated: _Segments, n: int) -> DataFrame:
     return settle(_dealt(docs.mapInArrow(work, _SCHEMA), n).mapInArrow(decide, _SCHEMA + ", bits binary"), "suffix-agree")
 
 
+def _meeting(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the rows whose group has several documents, group by group."""
+    order = np.argsort(group, kind="stable")
+    if len(order) == 0:
+        return order
+    starts, sizes = _groups(group[order])
+    d = doc[order]
+    return order[np.repeat(np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts), sizes)]
+
+
+def _bytes_hash(rows: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of a byte matrix."""
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(rows), dtype=np.uint64)
+        for k in range(rows.shape[1]):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + rows[:, k]
+        return mix64(h)
+
+
+def _half(key, first, count, place, context, doc, left: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, first, count, context, doc) of the windows that reach SIDE bytes to the left of the gram, or of the others.
+
+    The others reach SIDE bytes to its right, so windows that are equal agree in those bytes as well: they refine the group,
+    and at the end of a repeated passage, where the text behind it differs, nothing is left to sort.
+    """
+    if left:
+        low, high, side = np.zeros_like(place), np.minimum(count - 1, place - SIDE), place - SIDE
+    else:
+        low, high, side = np.maximum(0, place - SIDE + 1), count - 1, place + K
+    at = np.flatnonzero(high >= low)
+    key, first, count, context, doc, low, side = key[at], first[at] + low[at], high[at] - low[at] + 1, context[at], doc[at], low[at], side[at]
+    beside = np.take_along_axis(context, side[:, None] + np.arange(SIDE), axis=1)
+    group = mix64(_bytes_hash(beside) + key.astype(np.uint64))
+    keep = _meeting(group, doc)
+    group, first, count, context, doc, low = group[keep], first[keep], count[keep], context[keep], doc[keep], low[keep]
+    reach = np.arange(HALF)
+    padded = np.concatenate([context, np.zeros((len(context), HALF), np.uint8)], axis=1)
+    part = np.take_along_axis(padded, low[:, None] + reach, axis=1)
+    part = np.where(reach < (count + WIDTH - 1)[:, None], part, 0).astype(np.uint8)
+    return group, first, count, part, doc
+
+
 def repeats_in(context: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index, offset) of the windows whose WIDTH bytes also occur for a smaller document; context has CONTEXT bytes for each row."""
+    """(index, offset) of the windows whose WIDTH bytes also occur for a smaller document; context has the bytes of each row from its first window on."""
+    width = context.shape[1]
     text = context.ravel()
     order = suffix_order(text.astype(np.int64) + 1, WIDTH)
-    row, offset = order // CONTEXT, order % CONTEXT
+    row, offset = order // width, order % width
     use = offset < count[row]
     row, offset, at = row[use], offset[use], order[use]
     if len(at) == 0:
@@ -270,20 +317,20 @@ def _disagreeing(docs: DataFrame, mixed: _Segments, n: int) -> DataFrame:
         held, size = [], 0
 
         def flush():
-            key, first, count, context, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from _send([(key & np.uint64(0xFFFFFFFF)).astype(np.uint32), first, count, context], buckets_of(key, n), n, doc)
+            key, first, count, place, context, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from _send([(key & np.uint64(0xFFFFFFFF)).astype(np.uint32), first, count, place, context], buckets_of(key, n), n, doc)
 
         for batch in slices(batches, "text"):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = utf8(batch.column(1))
-            key, row, first, last, _ = minimizers(data, offsets)
+            key, row, first, last, place, _ = minimizers(data, offsets)
             at = np.flatnonzero(shared.value.hits(key))
             if len(at):
-                key, row, first, count = key[at], row[at], first[at], last[at] - first[at] + 1
+                key, row, first, count, place = key[at], row[at], first[at], last[at] - first[at] + 1, (place - first)[at]
                 padded = np.concatenate([data, np.zeros(CONTEXT, np.uint8)])
                 around = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[first]
                 around = np.where(np.arange(CONTEXT) < (count + WIDTH - 1)[:, None], around, 0).astype(np.uint8)
-                held.append((key, (first - offsets[row]).astype(np.uint32), count.astype(np.uint8), around.view(f"V{CONTEXT}").ravel(), ids[row]))
+                held.append((key, (first - offsets[row]).astype(np.uint32), count.astype(np.uint8), place.astype(np.uint8), around.view(f"V{CONTEXT}").ravel(), ids[row]))
                 size += len(at)
             if size >= FLUSH // 4:
                 yield from flush()
@@ -292,31 +339,41 @@ def _disagreeing(docs: DataFrame, mixed: _Segments, n: int) -> DataFrame:
             yield from flush()
 
     def sort(batches):
-        _, got = _receive(batches, ["<u4", "<u4", "u1", f"V{CONTEXT}"])
+        _, got = _receive(batches, ["<u4", "<u4", "u1", "u1", f"V{CONTEXT}"])
         if not got:
             return
-        key, first, count, context, doc = got
-        order = np.argsort(key, kind="stable")
-        key, first, count, context, doc = key[order], first[order], count[order], context[order].view(np.uint8).reshape(-1, CONTEXT), doc[order]
-        starts, sizes = _groups(key)
-        # A minimizer of one document only has come through the looseness of the bit set.
-        keep = np.repeat(np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), sizes)
-        key, first, count, context, doc = key[keep], first[keep], count[keep], context[keep], doc[keep]
-        if len(key) == 0:
-            return
-        starts, _ = _groups(key)
-        edges = [0]
-        for s in [*starts[1:].tolist(), len(key)]:
-            if (s - edges[-1]) * CONTEXT >= SORT_BYTES or s == len(key):
-                edges.append(s)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            row, offset = repeats_in(context[a:b], count[a:b].astype(np.int64), doc[a:b])
-            if len(row):
-                order = np.lexsort((offset, row))
-                row, offset = row[order], offset[order]
-                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)]))
-                length = np.diff(np.append(new, len(row)))
-                yield from _to_documents(doc[a:b][row[new]], first[a:b][row[new]].astype(np.int64) + offset[new], length, n)
+        key, first, count, place, context, doc = got
+        context = context.view(np.uint8).reshape(-1, CONTEXT)
+        keep = _meeting(key, doc)  # a minimizer of one document only has come through the looseness of the bit set
+        halves = [_half(key[keep], first[keep].astype(np.int64), count[keep].astype(np.int64), place[keep].astype(np.int64), context[keep], doc[keep], left) for left in (True, False)]
+        del key, first, count, place, context, doc, got
+        for group, first, count, context, doc in halves:
+            # Equal contexts: all but those of the least document repeat; one document of each goes on.
+            order = np.lexsort((doc, _bytes_hash(context), group))
+            group, first, count, context, doc = group[order], first[order], count[order], context[order], doc[order]
+            if len(group) == 0:
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (context[1:] != context[:-1]).any(axis=1) | (count[1:] != count[:-1])]))
+            later = doc != np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))
+            yield from _to_documents(doc[later], first[later], count[later], n)
+            group, first, count, context, doc = group[~later], first[~later], count[~later], context[~later], doc[~later]
+            keep = _meeting(group, doc)
+            group, first, count, context, doc = group[keep], first[keep], count[keep], context[keep], doc[keep]
+            if len(group) == 0:
+                continue
+            starts, _ = _groups(group)
+            edges = [0]
+            for s in [*starts[1:].tolist(), len(group)]:
+                if (s - edges[-1]) * HALF >= SORT_BYTES or s == len(group):
+                    edges.append(s)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                row, offset = repeats_in(context[a:b], count[a:b], doc[a:b])
+                if len(row):
+                    order = np.lexsort((offset, row))
+                    row, offset = row[order], offset[order]
+                    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)]))
+                    length = np.diff(np.append(new, len(row)))
+                    yield from _to_documents(doc[a:b][row[new]], first[a:b][row[new]] + offset[new], length, n)
 
     return _dealt(docs.mapInArrow(work, _SCHEMA), n).mapInArrow(sort, _SCHEMA)
 
