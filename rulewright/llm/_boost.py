@@ -122,7 +122,7 @@ class Boosted:
 
 @dataclass
 class Isotonic:
-    """A non-decreasing step function from margins to probabilities (pool adjacent violators), linear between its knots."""
+    """A non-decreasing step function from margins to probabilities (pool adjacent violators), linear between its steps."""
 
     x: np.ndarray = field(default_factory=lambda: np.array([0.0]))
     y: np.ndarray = field(default_factory=lambda: np.array([0.5]))
@@ -137,14 +137,14 @@ class Isotonic:
         t = np.concatenate([[0.0], t, [1.0]])
         w = np.ones(len(m))
         w[[0, -1]] = 0.5 * prior
-        blocks: list[list[float]] = []
+        blocks: list[list[float]] = []  # sum, weight, least and greatest margin
         for a, b, c in zip(m, t, w, strict=True):
-            blocks.append([a * c, b * c, c])
-            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            blocks.append([b * c, c, a, a])
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 last = blocks.pop()
-                blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
-        self.x = np.array([b[0] / b[2] for b in blocks])
-        self.y = np.clip(np.array([b[1] / b[2] for b in blocks]), 1e-4, 1 - 1e-4)
+                blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
+        self.x = np.array([x for k in blocks for x in k[2:]])
+        self.y = np.clip(np.repeat([k[0] / k[1] for k in blocks], 2), 1e-4, 1 - 1e-4)
         return self
 
     def __call__(self, margin: np.ndarray) -> np.ndarray:
