@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulewright.llm._memory import tidy
+
 
 def buckets_of(mixed: np.ndarray, n: int) -> np.ndarray:
     """Bucket of each (mixed) 64-bit key from its upper 32 bits."""
@@ -50,6 +52,7 @@ def read_blobs(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, list[byte
         if batch.num_rows:
             bucket = batch.column(0)[0].as_py()
             blobs += batch.column(1).to_pylist()
+    tidy()
     return bucket, blobs
 
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from rulewright.llm._memory import tidy
+
 #: Documents are taken in slices of about this many bytes, so memory follows the slice and not the Arrow batch.
 SLICE_BYTES = 1 << 20
 
@@ -15,7 +17,18 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n (grown on demand, kept by the worker)."""
+    """base**i and base**-i modulo 2**64 for i < n (grown on demand, kept by the worker up to the size of a slice)."""
+    if n > 4 * SLICE_BYTES:
+        kept, out = dict(_powers), None
+        _powers.clear()
+        out = _grow(n)
+        _powers.clear()
+        _powers.update(kept)
+        return out
+    return _grow(n)
+
+
+def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("p", ())) < n:
         size = max(1 << 16, 1 << int(n - 1).bit_length()) if n else 1 << 16
         base = 0x2545F4914F6CDD1D
@@ -41,6 +54,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of each piece is about limit bytes (one document at least)."""
+    tidy()
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -51,6 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    tidy()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

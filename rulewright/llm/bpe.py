@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from rulewright.llm._text import slices, utf8
 
-#: Chunks and pieces that a worker keeps; on overflow the table starts anew, so memory is bounded and results are equal.
-CACHE_CHUNKS, CACHE_PIECES = 40_000, 300_000
+#: Chunks and pieces that a worker keeps; on overflow it keeps those in use, so memory is bounded and results are equal.
+CACHE_CHUNKS, CACHE_PIECES = 20_000, 120_000
 #: Longest chunk that is worth keeping, and the longest run without a certified cut before it is cut anywhere.
 KEEP_BYTES, RUN_BYTES = 4_096, 65_536
 MASK = 31
@@ -122,8 +122,10 @@ class ChunkEncoder:
         for c, ps in fresh.items():
             got = [known.get(p) or local[p] for p in ps]
             out[c] = (b"".join([x[0] for x in got]), b"".join([x[1] for x in got]))
-        if len(known) > CACHE_PIECES:
+        if len(known) > CACHE_PIECES:  # what these chunks use is likely to come again
+            used = {p: known[p] for ps in fresh.values() for p in ps if p in known}
             known.clear()
+            known.update(used)
         known.update((k, v) for k, v in local.items() if len(k) <= 64)
         return out
 
