@@ -1,0 +1,154 @@
+"""Seeded generation of labelled problems, acceptance, and splits."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import random
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rulewright.operators.learner import Problem, solve
+from rulewright.operators.reason import Framework, Rule, brave, parse
+
+#: constants, noise predicates, exception depth, paths
+TIERS = {"t1": (6, 1, 1, 1), "t2": (8, 2, 1, 1), "t3": (12, 3, 1, 1), "t4": (10, 1, 2, 1), "t5": (10, 1, 1, 2), "t8": (8, 1, 1, 1), "t9": (10, 1, 1, 1)}
+
+
+def generate(tier: str, seed: int) -> tuple[Problem, str]:
+    """A problem `target <- key, normal` with exceptions, and whether it is defeasible or monotonic.
+
+    Two constants are exceptions among the background facts; in the defeasible class the key constant that is exceptional
+    is a listed negative, in the monotonic class it is not listed and the negative lacks the key. t4 nests an exception in
+    the exception, t5 has a second key, t8 a decoy that holds on exactly the positives, t9 an assumption that can be used again.
+    """
+    size, noise, depth, paths = TIERS[tier]
+    rnd = random.Random(f"{tier}|{seed}")
+    constants = [f"k{i}" for i in range(size)]
+    rnd.shuffle(constants)
+    defeasible = rnd.random() < 0.5
+    half = size // 2
+    keyed, other = constants[:half], constants[half:]
+    special = keyed[-1]
+    facts = [Rule(f"key({c})") for c in keyed] + [Rule(f"exception({c})") for c in (special, other[0])]
+    positive, negative = [f"target({c})" for c in keyed[:-1]], []
+    if paths == 2:
+        second = other[1:3]
+        facts += [Rule(f"other_key({c})") for c in second]
+        positive += [f"target({c})" for c in second]
+    if depth == 2:
+        saved = keyed[-2]
+        facts += [Rule(f"exception({saved})"), Rule(f"saved({saved})")]
+    negative = [f"target({special})"] if defeasible else [f"target({other[-1]})"]
+    if tier == "t8":
+        facts += [Rule(f"decoy({parse(a)[1][0]})") for a in positive]
+    for i in range(noise):
+        facts += [Rule(f"noise{i}({c})") for c in rnd.sample(constants, rnd.randint(1, size - 1))]
+    against = {"normal(X)": "abnormal(X)"}
+    rules = list(facts)
+    if tier == "t9":
+        rules.append(Rule("likely(X)", ("key(X)", "normal(X)")))
+    rnd.shuffle(rules)
+    return Problem(Framework(rules, list(against), against), positive, negative, ["target", "abnormal"], sorted(constants)), "defeasible" if defeasible else "monotonic"
+
+
+def signature(p: Problem, rounds: int = 3) -> str:
+    """Hash of the problem's structure: equal for problems that differ in names and order only."""
+    colour: dict[str, str] = {}
+    edges: list[tuple[str, str, str]] = []
+    b = p.background
+    for pred in {parse(a)[0] for a in p.positive + p.negative}:
+        colour[f"p:{pred}"] = "pred"
+    for r in b.rules:
+        for part in (r.head, *r.body):
+            colour.setdefault(f"p:{parse(part)[0]}", "pred")
+    for a in b.assumptions:
+        colour[f"p:{parse(a)[0]}"] = "assumption"
+        colour.setdefault(f"p:{parse(b.contrary(a))[0]}", "pred")
+        edges.append((f"p:{parse(a)[0]}", "contrary", f"p:{parse(b.contrary(a))[0]}"))
+    for q in p.learnable:
+        colour[f"p:{q}"] = colour.get(f"p:{q}", "pred") + "+learnable"
+    for c in p.domain:
+        colour[f"c:{c}"] = "const"
+    for i, r in enumerate(b.rules):
+        pred, args = parse(r.head)
+        if not r.body:
+            edges += [(f"p:{pred}", f"arg{k}", f"c:{c}") for k, c in enumerate(args)]
+            continue
+        colour[f"r:{i}"] = f"rule{len(r.body)}"
+        edges.append((f"r:{i}", "head", f"p:{pred}"))
+        edges += [(f"r:{i}", "body", f"p:{parse(x)[0]}") for x in r.body]
+    for sign, atoms in (("pos", p.positive), ("neg", p.negative)):
+        for a in atoms:
+            pred, args = parse(a)
+            edges += [(f"p:{pred}", sign, f"c:{c}") for c in args]
+    near: dict[str, list[tuple[str, str]]] = {}
+    for a, label, c in edges:
+        near.setdefault(a, []).append((f">{label}", c))
+        near.setdefault(c, []).append((f"<{label}", a))
+    digest = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    now = {n: digest(c) for n, c in colour.items()}
+    for _ in range(rounds):
+        now = {n: digest(now[n] + "|" + ",".join(sorted(f"{label}:{now[o]}" for label, o in near.get(n, []) if o in now))) for n in now}
+    return digest(",".join(sorted(now.values())))[:16]
+
+
+ATTEMPT = "problem_id string, tier string, seed long, class string, signature string, problem string, verdict string"
+
+
+def attempts(spark: SparkSession, tier: str, n: int, start: int = 0) -> DataFrame:
+    """n attempts of a tier, each with its own seed, so rows are independent of how they are dealt; verdict accepted, unsolved or no_facts."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for seed in batch["seed"]:
+                p, kind = generate(tier, int(seed))
+                got = solve(p)
+                verdict = "accepted" if got["success"] else "unsolved" if got["steps"] or got["budget_exceeded"] else "no_facts"
+                rows.append((f"{tier}_{kind[:6]}_{int(seed):06d}", tier, int(seed), kind, signature(p), json.dumps(p.to_dict()), verdict))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ATTEMPT.split(", ")])
+
+    return spark.range(start, start + n).withColumnRenamed("id", "seed").mapInPandas(work, ATTEMPT)
+
+
+def splits(tried: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Accepted attempts without structural duplicates, filled into the splits in their order for each (tier, class) by seed."""
+    first = tried.where("verdict = 'accepted'").withColumn("__d", F.row_number().over(Window.partitionBy("signature").orderBy("tier", "seed"))).where("__d = 1").drop("__d")
+    placed = first.withColumn("__i", F.row_number().over(Window.partitionBy("tier", "class").orderBy("seed")))
+    split, upto = None, 0
+    for name, size in sizes.items():
+        upto += size
+        split = F.when(F.col("__i") <= upto, name) if split is None else split.when(F.col("__i") <= upto, name)
+    return placed.withColumn("split", split).where("split IS NOT NULL").drop("__i")
+
+
+def gates(corpus: DataFrame) -> DataFrame:
+    """One row of build gates: unique ids, unique signatures, and no signature in two splits."""
+    per = corpus.groupBy("signature").agg(F.countDistinct("split").alias("s"), F.count(F.lit(1)).alias("n"))
+    leak = per.agg(F.coalesce(F.max("s"), F.lit(0)).alias("s"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    ids = corpus.agg((F.count(F.lit(1)) == F.countDistinct("problem_id")).alias("unique_ids"))
+    return ids.crossJoin(leak).select("unique_ids", (F.col("n") <= 1).alias("unique_signatures"), (F.col("s") <= 1).alias("no_leak"))
+
+
+def cues(p: Problem) -> dict[str, bool]:
+    """Surface cues of a problem that could give its class away."""
+    facts: dict[str, set[str]] = {}
+    for r in p.background.rules:
+        if not r.body:
+            pred, args = parse(r.head)
+            facts.setdefault(pred, set()).update(args)
+    pos, neg = {parse(a)[1][0] for a in p.positive}, {parse(a)[1][0] for a in p.negative}
+    return {
+        "covers_positives": any(pos <= v for v in facts.values()), "covers_exactly": any(pos == v & (pos | neg) for v in facts.values()), "negative_has_fact": any(neg & v for v in facts.values()),
+        "more_positives": len(pos) > len(neg), "has_rule": any(r.body for r in p.background.rules), "many_predicates": len(facts) > 3, "many_constants": len(p.domain) > 8,
+    }
+
+
+def holds_for_hidden_target(p: Problem) -> bool:
+    """Whether the rule that the generator has in mind explains all examples."""
+    fw = p.background.extended([Rule("target(X)", ("key(X)", "normal(X)")), Rule("abnormal(X)", ("exception(X)",))])
+    return brave(fw, p.positive, p.negative, p.domain)

@@ -1,0 +1,222 @@
+"""Score cards of answers against a problem and its own solution."""
+
+from __future__ import annotations
+
+import itertools
+import json
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from rulewright.operators.answers import Answer, apply_answer, parse_answer
+from rulewright.operators.learner import Problem, solve
+from rulewright.operators.reason import EQUAL, Checker, Framework, Rule, brave, has_extension, is_variable, minimum_facts, parse
+
+#: Role-preserving renamings that are tried, at most.
+RENAMINGS = 5040
+
+
+def _terms(part: str) -> tuple[str, ...]:
+    part = part.removeprefix("not ").strip()
+    m = EQUAL.match(part)
+    return m.groups() if m else parse(part)[1]
+
+
+def has_constant(rule: Rule) -> bool:
+    return any(not is_variable(t) for p in (rule.head, *rule.body) for t in _terms(p))
+
+
+def unsafe_variables(rule: Rule) -> set[str]:
+    """Variables that no positive body atom binds, directly or through equalities."""
+    bound, equal = set(), []
+    for part in rule.body:
+        m = EQUAL.match(part)
+        if m:
+            equal.append(m.groups())
+        elif not part.startswith("not "):
+            bound |= {t for t in parse(part)[1] if is_variable(t)}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in equal:
+            for x, y in ((a, b), (b, a)):
+                if is_variable(x) and x not in bound and (not is_variable(y) or y in bound):
+                    bound.add(x)
+                    changed = True
+    return {t for p in (rule.head, *rule.body) for t in _terms(p) if is_variable(t)} - bound
+
+
+def violations(p: Problem, answer: Answer) -> list[str]:
+    """Side conditions that an answer breaks."""
+    known = {parse(r.head)[0] for r in p.background.rules} | {parse(b.removeprefix("not "))[0] for r in p.background.rules for b in r.body if not EQUAL.match(b)}
+    own = {parse(a)[0] for a in p.background.assumptions}
+    fresh = {parse(a)[0] for a in answer.assumptions if a not in p.background.assumptions}
+    out = []
+    for r in answer.rules:
+        head = parse(r.head)[0]
+        if head in known - own and head not in p.learnable:
+            out.append(f"head {head} is background")
+        if head in own | fresh:
+            out.append(f"assumption {head} as head")
+        for v in sorted(unsafe_variables(r)):
+            out.append(f"variable {v} is not bound")
+    for a, c in answer.assumptions.items():
+        if a in p.background.assumptions and p.background.contrary(a) != c:
+            out.append(f"contrary of {a} changed")
+    for f in sorted(fresh):
+        if f in known - own:
+            out.append(f"assumption {f} is a background predicate")
+        if f in p.learnable:
+            out.append(f"assumption {f} is learnable")
+    return out
+
+
+def off_examples(p: Problem) -> list[str]:
+    """Atoms of the example predicates over the domain that are no examples."""
+    seen = set(p.positive) | set(p.negative)
+    preds = sorted({parse(a)[0] for a in seen})
+    return [a for q in preds for c in p.domain if (a := f"{q}({c})") not in seen]
+
+
+def self_defeating(fw: Framework, rules: list[Rule], p: Problem) -> list[str]:
+    """Guarded rules whose assumption cannot stand in any extension that satisfies the examples together with the rule's use."""
+    out = []
+    for r in rules:
+        guards = [b for b in r.body if b in fw.assumptions]
+        if not guards:
+            continue
+        used = False
+        for c in p.domain:
+            need = [b.replace("(X)", f"({c})") for b in r.body if not EQUAL.match(b) and not b.startswith("not ") and parse(b)[0] != "dom"]
+            if brave(fw, [*p.positive, *need], p.negative, p.domain):
+                used = True
+                break
+        if not used:
+            out.append(r.text())
+    return out
+
+
+def body_tally(said: list[Rule], gold: list[Rule], assumptions: set[str]) -> Counter:
+    """exact, over, under or other for each head with exactly one rule on both sides, by body predicates without assumptions."""
+    heads = lambda rs: Counter(parse(r.head)[0] for r in rs)
+    one = {h for h, n in heads(said).items() if n == 1} & {h for h, n in heads(gold).items() if n == 1}
+    preds = lambda rs, h: {parse(b.removeprefix("not "))[0] for r in rs if parse(r.head)[0] == h for b in r.body if not EQUAL.match(b)} - assumptions
+    out: Counter = Counter()
+    for h in one:
+        a, b = preds(said, h), preds(gold, h)
+        out["exact" if a == b else "over" if a > b else "under" if a < b else "other"] += 1
+    return out
+
+
+def _canonical(rules: list[Rule], rename: dict[str, str]) -> Counter:
+    out: Counter = Counter()
+    for r in rules:
+        parts = [r.head, *sorted(r.body)]
+        text = ":-".join([parts[0], ",".join(parts[1:])])
+        for old, new in rename.items():
+            text = text.replace(f"{old}(", f"{new}(")
+        head, _, body = text.partition(":-")
+        out[f"{head}:-{','.join(sorted(body.split(',')))}"] += 1
+    return out
+
+
+def same_up_to_fresh_names(said: list[Rule], said_new: dict[str, str], gold: list[Rule], gold_new: dict[str, str]) -> bool:
+    """Equal rule multisets up to the order of bodies and a renaming of new assumptions and their contraries."""
+    if len(said) != len(gold) or len(said_new) != len(gold_new):
+        return False
+    a, b = list(said_new), list(gold_new)
+
+    def role(rules: list[Rule], name: str) -> tuple:
+        return tuple(sorted((name in r.body, r.head.split("(")[0] == name.split("(")[0], len(r.body)) for r in rules))
+
+    if sorted(role(said, x) for x in a) != sorted(role(gold, x) for x in b):
+        return False
+    goal = _canonical(gold, {})
+    for tried, order in enumerate(itertools.permutations(b)):
+        if tried >= RENAMINGS:
+            return False
+        if any(role(said, x) != role(gold, y) for x, y in zip(a, order, strict=True)):
+            continue
+        rename = {}
+        for x, y in zip(a, order, strict=True):
+            rename[parse(x)[0]] = f"\0{parse(y)[0]}"
+            rename[parse(said_new[x])[0]] = f"\0{parse(gold_new[y])[0]}"
+        if Counter({k.replace("\0", ""): v for k, v in _canonical(said, rename).items()}) == goal:
+            return True
+    return False
+
+
+def score(p: Problem, raw: str, gold: dict | None = None) -> dict:
+    """The score card of one answer text; a field that cannot be told is None, which is not false."""
+    card = {"parsed": False, "well_formed": None, "valid": None, "stable": None, "intensional": None, "clean": None, "exact": None, "agreement": None, "n_ground": None, "n_self_defeating": None, "violations": None, "error": "parse_error", "reward": 0.0}
+    answer = parse_answer(raw) if isinstance(raw, str) else None
+    if answer is None:
+        return card
+    card["parsed"] = True
+    broken = violations(p, answer)
+    card |= {"violations": broken, "well_formed": not broken}
+    fw, new = apply_answer(p.background, answer)
+    valid = brave(fw, p.positive, p.negative, p.domain)
+    stable = valid or has_extension(fw, p.domain)
+    ground = sum(has_constant(r) for r in answer.rules)
+    defeat = self_defeating(fw, answer.rules, p) if valid else []
+    card |= {"valid": valid, "stable": stable, "intensional": ground == 0, "n_ground": ground, "n_self_defeating": len(defeat)}
+    card["clean"] = valid and ground == 0 and not broken and not defeat
+    gold = gold or solve(p)
+    if gold["success"]:
+        from rulewright.operators.answers import parse_rule
+
+        rules = [parse_rule(r) for r in gold["rules"]]
+        model = p.background.extended(rules, gold["assumptions"], gold["contraries"])
+        card["exact"] = same_up_to_fresh_names(answer.rules, {a: answer.assumptions[a] for a in new}, rules, {a: gold["contraries"][a] for a in gold["assumptions"] if a in gold["contraries"]})
+        free = off_examples(p)
+        if valid and free:
+            mine, theirs = Checker(fw, p.domain).status(p.positive, p.negative, free), Checker(model, p.domain).status(p.positive, p.negative, free)
+            card["agreement"] = round(sum(mine[a] == theirs[a] for a in free) / len(free), 4)
+    card["error"] = (
+        "illformed" if broken else "not_a_solution" if not valid else "valid_but_degenerate" if ground else "self_defeating" if defeat else "ok"
+    )
+    card["reward"] = 0.0 if broken else round(1.0 * valid + 0.5 * (valid and ground == 0) - 0.1 * min(ground, 5) - 0.5 * len(defeat), 4)
+    return card
+
+
+CARD = "answer_id string, problem_id string, parsed boolean, well_formed boolean, valid boolean, stable boolean, intensional boolean, clean boolean, exact boolean, agreement double, n_ground int, n_self_defeating int, violations array<string>, error string, reward double"
+
+
+def score_answers(answers: DataFrame, problems: DataFrame) -> DataFrame:
+    """answers (answer_id, problem_id, raw) joined with problems (problem_id, problem JSON): one card for each answer.
+
+    The solution of a problem is worked out once for each batch and problem.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[Problem, dict]] = {}
+        names = [c.split()[0] for c in CARD.split(", ")]
+        for batch in batches:
+            rows = []
+            for aid, pid, raw, text in zip(batch["answer_id"], batch["problem_id"], batch["raw"], batch["problem"], strict=True):
+                try:
+                    if text not in known:
+                        p = Problem.of(json.loads(text))
+                        if len(known) >= 256:
+                            known.clear()
+                        known[text] = (p, solve(p))
+                    card = score(known[text][0], raw, known[text][1])
+                except Exception as e:  # noqa: BLE001  one bad row must not fail the batch; it is reported in its row
+                    card = {n: None for n in names} | {"parsed": False, "error": f"{type(e).__name__}: {e}", "reward": 0.0}
+                rows.append(tuple({"answer_id": aid, "problem_id": pid, **card}[n] for n in names))
+            frame = pd.DataFrame(rows, columns=names)
+            for c in ("n_ground", "n_self_defeating"):
+                frame[c] = frame[c].astype("Int32")
+            yield frame
+
+    return answers.join(problems, "problem_id").select("answer_id", "problem_id", "raw", "problem").mapInPandas(work, CARD)
+
+
+def facts_are_optimal(p: Problem, facts: list[tuple[str, str]]) -> bool:
+    """Whether facts explain the examples with as few facts as possible."""
+    best = minimum_facts(p.background, p.positive, p.negative, p.learnable, p.domain)
+    rules = [Rule(f"{q}({c})") for q, c in facts]
+    return best is not None and len(facts) == len(best) and brave(p.background.extended(rules), p.positive, p.negative, p.domain)
