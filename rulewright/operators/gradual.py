@@ -27,8 +27,8 @@ def strengths(bases: DataFrame, edges: DataFrame, kernel: str = "prod-dfquad", e
     now = bases.select("asm", "base", F.col("base").alias("value"))
     for i in range(rounds if rounds is not None else max_rounds):
         after = step(now, edges, kernel)
-        if rounds is not None:
-            now = after
+        if rounds is not None:  # a round reads the one before twice, so the plan is cut before it doubles too often
+            now = settle(after, "strengths") if i % 3 == 2 else after
             continue
         after = settle(after, "strengths")
         moved = after.select("asm", F.col("value").alias("new")).join(now, "asm").agg(F.max(F.abs(F.col("new") - F.col("value")))).first()[0]
@@ -67,3 +67,53 @@ def tree_strengths(nodes: DataFrame, depth: int) -> DataFrame:
         now = j.select("node_id", "parent_id", "role", K.combine(F.col("base"), K.noisy_or(F.coalesce("a", none)), K.noisy_or(F.coalesce("s", none))).alias("value"))
         done, below = done.unionByName(now), now
     return done.select("node_id", "value")
+
+
+def contested(bases: DataFrame, edges: DataFrame, asm: str, new_base: float, kernel: str = "prod-dfquad", **limits) -> DataFrame:
+    """(asm, before, after, moved): strengths before and after one base score is changed."""
+    before = strengths(bases, edges, kernel, **limits).select("asm", F.col("value").alias("before"))
+    changed = bases.withColumn("base", F.when(F.col("asm") == asm, F.lit(float(new_base))).otherwise(F.col("base")))
+    after = strengths(changed, edges, kernel, **limits).select("asm", F.col("value").alias("after"))
+    return before.join(after, "asm").withColumn("moved", F.signum(F.round(F.col("after") - F.col("before"), 9)).cast("int"))
+
+
+def base_scores(assumptions: DataFrame, ground: DataFrame, by_predicate: DataFrame, default: float = 0.5) -> DataFrame:
+    """(asm, base): the score of the ground atom, else of its predicate, else the default; a score of 0 counts as given."""
+    keyed = assumptions.withColumn("pred", F.regexp_extract("asm", r"^(\w+)", 1))
+    return keyed.join(ground.select("asm", F.col("score").alias("own")), "asm", "left").join(by_predicate.select("pred", F.col("score").alias("general")), "pred", "left").select("asm", F.coalesce("own", "general", F.lit(default)).alias("base"))
+
+
+def argument_tree(roots: DataFrame, edges: DataFrame, depth: int = 8) -> DataFrame:
+    """Nodes (node_id, parent_id, asm, role, level, path) of trees grown level by level; an assumption never repeats on a path.
+
+    roots: (asm); edges: (target, polarity, member).
+    """
+    level = roots.select(F.col("asm").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), "asm", F.lit("root").alias("role"), F.lit(0).alias("level"), F.array("asm").alias("path"))
+    out = level
+    for i in range(1, depth + 1):
+        grown = level.join(edges, level["asm"] == edges["target"]).where(~F.array_contains("path", F.col("member")))
+        level = grown.select(F.concat_ws("/", "node_id", F.concat(F.substring("polarity", 1, 1), F.lit(":"), F.col("member"))).alias("node_id"), F.col("node_id").alias("parent_id"), F.col("member").alias("asm"), F.col("polarity").alias("role"), F.lit(i).alias("level"), F.concat("path", F.array("member")).alias("path"))
+        out = out.unionByName(level)
+    return out
+
+
+def random_frameworks(spark, n: int, size: int = 6, density: float = 0.3, seed: int = 0) -> DataFrame:
+    """(fw, target, polarity, edge_id, member) of n random hypergraphs, each from its own seed."""
+    import random
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for fw in batch["id"]:
+                rnd = random.Random(f"{seed}|{fw}")
+                for t in range(size):
+                    for e in range(size):
+                        if rnd.random() < density:
+                            kind = "attack" if rnd.random() < 0.6 else "support"
+                            rows += [(int(fw), f"a{t}", kind, e, f"a{m}") for m in sorted(rnd.sample(range(size), rnd.randint(1, 2)))]
+            yield pd.DataFrame(rows, columns=["fw", "target", "polarity", "edge_id", "member"])
+
+    return spark.range(n).mapInPandas(work, "fw long, target string, polarity string, edge_id int, member string")

@@ -1,0 +1,136 @@
+"""Decisions of the learner as supervised rows, their parsing and judging, and probes."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from rulewright.operators.answers import parse_rule
+from rulewright.operators.learner import Learner, Problem, fact_rule, folds, relative_assumptions
+from rulewright.operators.reason import minimum_facts, parse
+
+STEP = "problem_id string, k int, kind string, event int, rank int, first boolean, question string, target string"
+
+
+class _Recorder(Learner):
+    """A learner that writes down each decision; it changes none."""
+
+    def __init__(self, problem: Problem):
+        super().__init__(problem)
+        self.rows: list[dict] = []
+        self.events: list[str] = []
+        self.checked = False
+
+    def _note(self, kind: str, rule: str, rank: int, question: str, target: str) -> None:
+        if rule not in self.events:
+            self.events.append(rule)
+        first = kind == "check" and not self.checked
+        self.checked = self.checked or kind == "check"
+        self.rows.append({"kind": kind, "event": self.events.index(rule), "rank": rank, "first": first, "question": question, "target": target})
+
+    def options(self, s):
+        rule = s.queue[s.at]
+        others = [*s.queue[: s.at], *s.queue[s.at + 1 :]]
+        drop = self.solves(others, s)
+        self._note("subsume", rule.text(), -1, f"Do the examples hold without {rule.text()}", "yes" if drop else "no")
+        if not drop and len(rule.body) == 1:
+            offered = [f.text() for f, _ in folds(rule, self.p.background)]
+            self._note("fold", rule.text(), -1, f"What can {rule.text()} become", "; ".join(offered))
+            for i, (f, _) in enumerate(folds(rule, self.p.background)):
+                ok = self.solves([*s.queue[: s.at], f, *s.queue[s.at + 1 :]], s)
+                self._note("check", rule.text(), i, f"Do the examples hold with {f.text()}", "yes" if ok else "no")
+                if not ok:
+                    known = relative_assumptions(f.body, self.framework(s.queue, s))
+                    self._note("introduce", rule.text(), i, f"Which known assumption can guard {f.text()}", "; ".join(known) or "new")
+                break
+        yield from super().options(s)
+
+
+def harvest_problem(p: Problem) -> list[dict]:
+    facts = minimum_facts(p.background, p.positive, p.negative, p.learnable, p.domain)
+    r = _Recorder(p)
+    target = "infeasible" if facts is None else "; ".join(fact_rule(*f).text() for f in facts)
+    r.rows.append({"kind": "role", "event": 0, "rank": -1, "first": False, "question": "Fewest facts that make the examples hold", "target": target})
+    r.run()
+    return r.rows
+
+
+def harvest(problems: DataFrame) -> DataFrame:
+    """One row for each decision of each problem."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in STEP.split(", ")]
+        for batch in batches:
+            rows = []
+            for pid, text in zip(batch["problem_id"], batch["problem"], strict=True):
+                rows += [tuple({**d, "problem_id": pid, "k": k}[n] for n in names) for k, d in enumerate(harvest_problem(Problem.of(json.loads(text))))]
+            yield pd.DataFrame(rows, columns=names)
+
+    return problems.select("problem_id", "problem").mapInPandas(work, STEP)
+
+
+def cell(kind: Column, event: Column, rank: Column, first: Column) -> Column:
+    """Label of a decision by its place."""
+    return (
+        F.when((kind == "check") & first, "first_check").when((kind == "check") & (rank > 0), "after_dead_end_check").when((kind == "check") & (rank == 0), "second_path_check")
+        .when((kind == "subsume") & (event > 0), "later_role_subsume").when(kind == "introduce", "role_reuse_check").otherwise("other")
+    )
+
+
+def parse_step(kind: str, raw: str) -> tuple[object, str | None]:
+    """Typed answer of a decision, or None with a stop code."""
+    text = (raw or "").strip().rstrip(".")
+    if not text:
+        return None, "empty"
+    if kind in ("subsume", "check"):
+        word = text.lower().split()[0].strip(",;:")
+        return (word == "yes", None) if word in ("yes", "no") else (None, "not yes or no")
+    if text.lower() in ("infeasible", "new", "none"):
+        return text.lower(), None
+    parts = [x.strip() for x in raw.split(";") if x.strip()]
+    if kind == "introduce":
+        return tuple(re.sub(r"\s+", "", x) for x in parts), None
+    rules = [parse_rule(x) for x in parts]
+    return (None, "not a rule") if any(r is None for r in rules) else (tuple(r.text() for r in rules), None)
+
+
+def judge(steps: DataFrame, calls: DataFrame) -> DataFrame:
+    """steps joined with calls (problem_id, k, raw): same, error, and on_path (all calls before it in the run were right)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            same, error = [], []
+            for kind, target, raw in zip(batch["kind"], batch["target"], batch["raw"], strict=True):
+                said, stop = parse_step(kind, raw)
+                gold, _ = parse_step(kind, target)
+                same.append(stop is None and (said == gold or (isinstance(said, tuple) and isinstance(gold, tuple) and kind == "role" and set(said) == set(gold))))
+                error.append(stop)
+            yield batch.assign(same=same, error=error)[["problem_id", "k", "kind", "event", "rank", "first", "same", "error"]]
+
+    schema = "problem_id string, k int, kind string, event int, rank int, first boolean, same boolean, error string"
+    judged = steps.join(calls, ["problem_id", "k"]).select("problem_id", "k", "kind", "event", "rank", "first", "target", "raw").mapInPandas(work, schema)
+    w = Window.partitionBy("problem_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    return judged.withColumn("on_path", F.coalesce(F.min(F.col("same").cast("int")).over(w), F.lit(1)) == 1)
+
+
+def run_stats(judged: DataFrame) -> DataFrame:
+    """One row for each kind: calls, accuracy, accuracy on the path, and runs whose first error is of this kind."""
+    wrong = judged.where("NOT same").groupBy("problem_id").agg(F.min_by("kind", "k").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("first_errors"))
+    base = judged.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("same").cast("double")), 4).alias("accuracy"), F.round(F.avg(F.when(F.col("on_path"), F.col("same").cast("double"))), 4).alias("accuracy_on_path"))
+    return base.join(wrong, "kind", "left").select("kind", "n", "accuracy", "accuracy_on_path", F.coalesce("first_errors", F.lit(0)).alias("first_errors"))
+
+
+def baseline_answers(steps: DataFrame, policy: str) -> DataFrame:
+    """(problem_id, k, raw) of answers that need no reasoning: always_yes, always_no, or first_fold."""
+    yes_no = F.col("kind").isin("subsume", "check")
+    raw = {"always_yes": F.when(yes_no, "yes").otherwise("none"), "always_no": F.when(yes_no, "no").otherwise("none"), "first_fold": F.when(yes_no, "yes").otherwise(F.split("target", "; ")[0])}[policy]
+    return steps.select("problem_id", "k", raw.alias("raw"))
+
+
+def predicates_of(rules: list[str]) -> list[str]:
+    return sorted({parse(parse_rule(r).head)[0] for r in rules})

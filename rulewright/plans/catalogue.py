@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulewright.plans import evaluation, gradual, rules, sequences, texts  # noqa: F401  (they register their queries)
+from rulewright.plans import evaluation, gradual, learning, rules, sequences, texts  # noqa: F401  (they register their queries)
 from rulewright.plans._registry import ORACLES, QUERIES
 
 
