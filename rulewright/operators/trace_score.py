@@ -1,0 +1,86 @@
+"""Scores of step sequences against the learner's own, and merges of audits."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from rulewright.operators.answers import parse_rule
+from rulewright.operators.trace import classify
+
+
+def canonical_step(rule: str) -> str:
+    """One spelling of a step's rule: facts `p(c).`, `p(c) :- dom(c).` and `p(X) :- X = c.` agree; fresh assumptions lose their number."""
+    r = parse_rule(rule)
+    if r is None:
+        return re.sub(r"\s+", "", rule)
+    head, body = r.head, [b for b in r.body if not b.startswith("dom(")]
+    if len(body) == 1 and (m := re.match(r"^(\w+) = (\w+)$", body[0])):
+        head, body = head.replace(f"({m[1]})", f"({m[2]})"), []
+    text = head + (":-" + ",".join(sorted(re.sub(r"\s+", "", b) for b in body)) if body else "")
+    return re.sub(r"alpha_\d+", "alpha", text)
+
+
+def steps_of(text: str) -> list[tuple[str, str]]:
+    """(symbol, canonical rule) of the moves of a log."""
+    out = []
+    for line in (x.strip() for x in text.split("\n")):
+        kind = classify(line)
+        if kind in ("r1", "r2", "r3"):
+            out.append((kind.upper(), canonical_step(line[3:])))
+    return out
+
+
+def normalised(steps: list[dict]) -> list[tuple[str, str]]:
+    """Recorded steps with an assumption introduction split into its fold and its guard."""
+    out = []
+    for s in steps:
+        if s["kind"] == "R3":
+            r = parse_rule(s["output"])
+            plain = type(r)(r.head, r.body[:-1])
+            out.append(("R2", canonical_step(plain.text())))
+        if s["output"]:
+            out.append((s["kind"], canonical_step(s["output"])))
+        out += [("R1", canonical_step(f)) for f in s.get("facts", [])]
+    return out
+
+
+def lcs(a: list, b: list) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def trace_score(said: list[tuple[str, str]], gold: list[tuple[str, str]]) -> dict:
+    """Precision, recall and F1 over distinct steps, aligned share, and recall of each symbol (0 where the gold has none)."""
+    a, b = set(said), set(gold)
+    hit = len(a & b)
+    p, r = (hit / len(a) if a else 0.0), (hit / len(b) if b else 0.0)
+    out = {"precision": round(p, 4), "recall": round(r, 4), "f1": round(2 * p * r / (p + r), 4) if p + r else 0.0, "aligned": round(lcs(said, gold) / len(gold), 4) if gold else 0.0}
+    for k in ("R1", "R2", "R3", "R4"):
+        own = {s for s in b if s[0] == k}
+        out[f"{k.lower()}_recall"] = round(len(own & a) / len(own), 4) if own else 0.0
+    return out
+
+
+def merged_audits(audits: DataFrame, by: list[str]) -> DataFrame:
+    """Audits of many logs as one row for each group: micro accuracy, omitted share, illegal moves, logs without an error."""
+    total = F.sum("n_written") + F.sum("n_omitted")
+    right: Column = F.sum(F.round(F.col("written_accuracy") * F.col("n_written")))
+    return audits.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.round(right / F.nullif(total, F.lit(0)), 4).alias("accuracy"), F.round(F.sum("n_omitted") / F.nullif(total, F.lit(0)), 4).alias("omitted_share"),
+        F.coalesce(F.sum("n_illegal"), F.lit(0)).cast("long").alias("illegal"), F.sum(F.when(F.col("first_error").isNull() & F.col("error").isNull(), 1).otherwise(0)).cast("long").alias("flawless"),
+    )
+
+
+def rescored(stored: DataFrame, fresh: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Stored score rows whose fields differ from fresh ones (null-safe), one row for each difference."""
+    joined = stored.alias("s").join(fresh.alias("f"), keys)
+    each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"s.{c}").cast("string").alias("stored"), F.col(f"f.{c}").cast("string").alias("fresh"), (~F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}"))).alias("differs")) for c in fields])
+    return joined.select(*[F.col(k) for k in keys], F.explode(F.filter(each, lambda x: x["differs"])).alias("d")).select(*keys, "d.field", "d.stored", "d.fresh")
