@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from rulewright.llm._text import slices, utf8
 
 #: Chunks and pieces that a worker keeps; on overflow it keeps those in use, so memory is bounded and results are equal.
-CACHE_CHUNKS, CACHE_PIECES = 20_000, 120_000
+CACHE_CHUNKS, CACHE_PIECES = 20_000, 250_000
 #: Longest chunk that is worth keeping, and the longest run without a certified cut before it is cut anywhere.
 KEEP_BYTES, RUN_BYTES = 4_096, 65_536
 MASK = 31
@@ -49,7 +49,8 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.mask, self.run_bytes = mask, run_bytes
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-        self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
+        self.pieces: dict[bytes, bytes] = {}  # ids of pieces; each decodes to itself but those in odd
+        self.odd: dict[bytes, bytes] = {}
         # White space certifies a cut only for a byte-level pre-tokenizer with its own pattern, no normalizer and no prefix space.
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
@@ -110,42 +111,53 @@ class ChunkEncoder:
         return out
 
     def _encode_chunks(self, fresh: dict[bytes, list[bytes]]) -> dict[bytes, tuple[bytes, bytes]]:
-        known = self.pieces
-        wanted = [p for p in dict.fromkeys(p for ps in fresh.values() for p in ps) if p not in known]
+        known, odd = self.pieces, self.odd
+        used: set[bytes] = set()
+        for ps in fresh.values():
+            used.update(ps)
+        wanted = used.difference(known)
         # Pieces that begin and end at certified cuts stay apart in a longer text, so one call encodes them all.
-        inner = [p for p in wanted if self.certified and p[0] in b" \n" and 32 < p[-1] < 127 and len(p) <= self.run_bytes]
+        inner = [p for p in wanted if p[0] in b" \n" and (32 < p[-1] < 127 or (0x80 <= p[-1] < 0xC0 and 0xC3 <= p[-2] < 0xE0)) and len(p) <= self.run_bytes] if self.certified else []
         local = self._encode_joined(inner)
-        for p in wanted:
-            if p not in local:
-                local[p] = self.long_run(p) if len(p) > self.run_bytes else self._encode_one(p)
-        out = {}
-        for c, ps in fresh.items():
-            got = [known.get(p) or local[p] for p in ps]
-            out[c] = (b"".join([x[0] for x in got]), b"".join([x[1] for x in got]))
+        for p in wanted.difference(local) if len(local) < len(wanted) else ():
+            local[p], back = self.long_run(p) if len(p) > self.run_bytes else self._encode_one(p)
+            if back != p:
+                odd[p] = back
+        known.update(local)
+        find = known.__getitem__
+        out = {c: (b"".join(map(find, ps)), c) for c, ps in fresh.items()}
+        if odd:
+            for c, ps in fresh.items():
+                if not odd.keys().isdisjoint(ps):
+                    out[c] = (out[c][0], b"".join([odd.get(p, p) for p in ps]))
+        for p in local:
+            if len(p) > 64:
+                del known[p]
         if len(known) > CACHE_PIECES:  # what these chunks use is likely to come again
-            used = {p: known[p] for ps in fresh.values() for p in ps if p in known}
-            known.clear()
-            known.update(used)
-        known.update((k, v) for k, v in local.items() if len(k) <= 64)
+            self.pieces = {p: known[p] for p in used if p in known}
+        if len(odd) > 1000:
+            odd.clear()
+            self.pieces = {}
+            self.chunks.clear()
         return out
 
     def _encode_one(self, piece: bytes) -> tuple[bytes, bytes]:
         ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False).encode()
 
-    def _encode_joined(self, pieces: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """Encode and decode the pieces as one text, then split it by the byte length of its tokens."""
+    def _encode_joined(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Encode and decode the pieces as one text, then split its ids by the byte length of its tokens; none if they do not come back."""
         if not pieces:
             return {}
-        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-        back = self.tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode()
+        joined = b"".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.cumsum([len(p) for p in pieces])
         reach = np.cumsum(self.token_bytes[ids])
         cut = np.searchsorted(reach, ends)
-        if len(ids) == 0 or reach[-1] != ends[-1] or len(back) != ends[-1] or not np.array_equal(reach[cut], ends):
-            return {p: self._encode_one(p) for p in pieces}  # a token crosses a piece: no agreement, so each piece on its own
-        raw, cut, ends = ids.tobytes(), ((cut + 1) * 4).tolist(), ends.tolist()
-        return {p: (raw[a:b], back[c:d]) for p, a, b, c, d in zip(pieces, [0, *cut[:-1]], cut, [0, *ends[:-1]], ends, strict=True)}
+        if len(ids) == 0 or reach[-1] != ends[-1] or not np.array_equal(reach[cut], ends) or self.tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode() != joined:
+            return {}
+        raw, cut = ids.tobytes(), ((cut + 1) * 4).tolist()
+        return {p: raw[a:b] for p, a, b in zip(pieces, [0, *cut[:-1]], cut, strict=True)}
 
     def long_run(self, text: bytes) -> tuple[bytes, bytes]:
         """A run without a certified cut: forced cuts at code points, each join repaired until exact agreement."""
