@@ -123,24 +123,27 @@ class _Segments:
         return out
 
 
-_SCHEMA = "bucket int, base long, blob binary"
+_SCHEMA = "bucket int, base long, blob binary, found boolean"
 
 
-def _send(columns: list[np.ndarray], bucket: np.ndarray, n_buckets: int, doc: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Packed rows; document ids travel as their lower half, the upper half with the row."""
+def _send(columns: list[np.ndarray], bucket: np.ndarray, n_buckets: int, doc: np.ndarray | None = None, found: bool = False) -> Iterator[pa.RecordBatch]:
+    """Packed rows; document ids travel as their lower half, the upper half with the row. found: windows that are known to repeat."""
     high = np.zeros(len(bucket), np.int64) if doc is None else doc >> 32
     for h in np.unique(high):
         at = np.flatnonzero(high == h)
         own = [c[at] for c in columns] + ([] if doc is None else [(doc[at] & 0xFFFFFFFF).astype(np.uint32)])
         got = list(pack(own, bucket[at], n_buckets))
-        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([int(h) << 32] * len(got), pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=["bucket", "base", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([int(h) << 32] * len(got), pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([found] * len(got), pa.bool_())], names=["bucket", "base", "blob", "found"])
 
 
-def _receive(batches: Iterator[pa.RecordBatch], kinds: list[str], doc: bool = True) -> tuple[int | None, list[np.ndarray]]:
-    """Bucket and columns of a partition; with doc, the last column is the whole document id."""
+def _receive(batches: Iterator[pa.RecordBatch], kinds: list[str], doc: bool = True, passing: list | None = None) -> tuple[int | None, list[np.ndarray]]:
+    """Bucket and columns of a partition; with doc, the last column is the whole document id. Windows found before go to passing."""
     bucket, parts = None, []
     for batch in batches:
-        for b, base, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for b, base, blob, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if found and passing is not None:
+                passing.append((b, base, blob))
+                continue
             bucket = b
             got = unpack([blob], kinds + ["<u4"] * doc)
             if doc:
@@ -151,7 +154,11 @@ def _receive(batches: Iterator[pa.RecordBatch], kinds: list[str], doc: bool = Tr
 
 
 def _dealt(df: DataFrame, n: int) -> DataFrame:
-    return df.select("bucket", "base", "blob").repartitionById(n, F.col("bucket"))
+    return df.select("bucket", "base", "blob", "found").repartitionById(n, F.col("bucket"))
+
+
+def _passed(passing: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in passing], pa.int32()), pa.array([x[1] for x in passing], pa.int64()), pa.array([x[2] for x in passing], pa.binary()), pa.array([True] * len(passing), pa.bool_())], names=["bucket", "base", "blob", "found"])
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +173,8 @@ def _repeated(docs: DataFrame, n: int) -> _Segments:
         held, size = [], 0
 
         def flush():
-            keys = np.concatenate(held)
+            keys, times = np.unique(np.concatenate(held), return_counts=True)
+            keys = np.repeat(keys, np.minimum(times, 2))  # a key of very many documents sends no more than another
             return _send([(keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)], buckets_of(keys, n), n)
 
         for batch in slices(batches, "text"):
@@ -195,7 +203,7 @@ def _repeated(docs: DataFrame, n: int) -> _Segments:
 
 def _to_documents(doc: np.ndarray, first: np.ndarray, count: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
     """Found windows (first start and number of starts), dealt by document."""
-    yield from _send([first.astype(np.uint32), count.astype(np.uint32)], buckets_of(mix64(doc.astype(np.uint64)), n), n, doc)
+    yield from _send([first.astype(np.uint32), count.astype(np.uint32)], buckets_of(mix64(doc.astype(np.uint64)), n), n, doc, found=True)
 
 
 def _agreeing(docs: DataFrame, repeated: _Segments, n: int) -> DataFrame:
@@ -207,6 +215,14 @@ def _agreeing(docs: DataFrame, repeated: _Segments, n: int) -> DataFrame:
 
         def flush():
             key, whole, first, count, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            # Of equal windows in this task only those of the least document travel; the others repeat it.
+            order = np.lexsort((doc, whole, key))
+            key, whole, first, count, doc = key[order], whole[order], first[order], count[order], doc[order]
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])]))
+            later = doc != np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))
+            if later.any():
+                yield from _to_documents(doc[later], first[later], count[later], n)
+            key, whole, first, count, doc = key[~later], whole[~later], first[~later], count[~later], doc[~later]
             yield from _send([(key & np.uint64(0xFFFFFFFF)).astype(np.uint32), whole, first, count], buckets_of(key, n), n, doc)
 
         for batch in slices(batches, "text"):
@@ -225,7 +241,11 @@ def _agreeing(docs: DataFrame, repeated: _Segments, n: int) -> DataFrame:
             yield from flush()
 
     def decide(batches):
-        bucket, got = _receive(batches, ["<u4", "<u8", "<u4", "u1"])
+        passing: list = []
+        bucket, got = _receive(batches, ["<u4", "<u8", "<u4", "u1"], passing=passing)
+        if passing:
+            out = _passed(passing)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=["bucket", "base", "blob", "found", "bits"])
         if not got:
             return
         key, whole, first, count, doc = got
@@ -238,8 +258,8 @@ def _agreeing(docs: DataFrame, repeated: _Segments, n: int) -> DataFrame:
         mixed = key[starts[several & ~agree]]
         found = np.repeat(several & agree, sizes) & (doc != np.repeat(least, sizes))
         for out in _to_documents(doc[found], first[found], count[found], n):
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=["bucket", "base", "blob", "bits"])
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_Segments.make(mixed, n)], pa.binary())], names=["bucket", "base", "blob", "bits"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(out.num_rows, pa.binary())], names=["bucket", "base", "blob", "found", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()), pa.array([_Segments.make(mixed, n)], pa.binary())], names=["bucket", "base", "blob", "found", "bits"])
 
     return settle(_dealt(docs.mapInArrow(work, _SCHEMA), n).mapInArrow(decide, _SCHEMA + ", bits binary"), "suffix-agree")
 
@@ -266,8 +286,8 @@ def _bytes_hash(rows: np.ndarray) -> np.ndarray:
 def _half(key, first, count, place, context, doc, left: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(group, first, count, context, doc) of the windows that reach SIDE bytes to the left of the gram, or of the others.
 
-    The others reach SIDE bytes to its right, so windows that are equal agree in those bytes as well: they refine the group,
-    and at the end of a repeated passage, where the text behind it differs, nothing is left to sort.
+    The others reach SIDE bytes to its right, so windows that are equal agree in those bytes as well: they refine the group.
+    Where a repeated passage ends, the text behind it differs, so the groups there are small however common the passage is.
     """
     if left:
         low, high, side = np.zeros_like(place), np.minimum(count - 1, place - SIDE), place - SIDE
@@ -276,9 +296,7 @@ def _half(key, first, count, place, context, doc, left: bool) -> tuple[np.ndarra
     at = np.flatnonzero(high >= low)
     key, first, count, context, doc, low, side = key[at], first[at] + low[at], high[at] - low[at] + 1, context[at], doc[at], low[at], side[at]
     beside = np.take_along_axis(context, side[:, None] + np.arange(SIDE), axis=1)
-    group = mix64(_bytes_hash(beside) + key.astype(np.uint64))
-    keep = _meeting(group, doc)
-    group, first, count, context, doc, low = group[keep], first[keep], count[keep], context[keep], doc[keep], low[keep]
+    group = mix64(_bytes_hash(beside) + key + np.uint64(left))
     reach = np.arange(HALF)
     padded = np.concatenate([context, np.zeros((len(context), HALF), np.uint8)], axis=1)
     part = np.take_along_axis(padded, low[:, None] + reach, axis=1)
@@ -286,6 +304,15 @@ def _half(key, first, count, place, context, doc, left: bool) -> tuple[np.ndarra
     return group, first, count, part, doc
 
 
+def _without_equal(group, first, count, context, doc) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of which none equals another of a smaller document, and (doc, first, count) of the others, which repeat."""
+    order = np.lexsort((doc, _bytes_hash(context), group))
+    group, first, count, context, doc = group[order], first[order], count[order], context[order], doc[order]
+    starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (context[1:] != context[:-1]).any(axis=1) | (count[1:] != count[:-1])]))
+    later = doc != np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))
+    return [group[~later], first[~later], count[~later], context[~later], doc[~later]], [doc[later], first[later], count[later]]
+
+
 def repeats_in(context: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, offset) of the windows whose WIDTH bytes also occur for a smaller document; context has the bytes of each row from its first window on."""
     width = context.shape[1]
@@ -317,8 +344,15 @@ def _disagreeing(docs: DataFrame, mixed: _Segments, n: int) -> DataFrame:
         held, size = [], 0
 
         def flush():
-            key, first, count, place, context, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from _send([(key & np.uint64(0xFFFFFFFF)).astype(np.uint32), first, count, place, context], buckets_of(key, n), n, doc)
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            for left in (True, False):
+                half = _half(*rows, left)
+                if len(half[0]) == 0:
+                    continue
+                (group, first, count, context, doc), repeated = _without_equal(*half)
+                if len(repeated[0]):
+                    yield from _to_documents(*repeated, n)
+                yield from _send([(group & np.uint64(0xFFFFFFFF)).astype(np.uint32), first.astype(np.uint32), count.astype(np.uint8), np.ascontiguousarray(context).view(f"V{HALF}").ravel()], buckets_of(group, n), n, doc)
 
         for batch in slices(batches, "text"):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -330,7 +364,7 @@ def _disagreeing(docs: DataFrame, mixed: _Segments, n: int) -> DataFrame:
                 padded = np.concatenate([data, np.zeros(CONTEXT, np.uint8)])
                 around = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[first]
                 around = np.where(np.arange(CONTEXT) < (count + WIDTH - 1)[:, None], around, 0).astype(np.uint8)
-                held.append((key, (first - offsets[row]).astype(np.uint32), count.astype(np.uint8), place.astype(np.uint8), around.view(f"V{CONTEXT}").ravel(), ids[row]))
+                held.append((key, first - offsets[row], count, place, around, ids[row]))
                 size += len(at)
             if size >= FLUSH // 4:
                 yield from flush()
@@ -339,28 +373,22 @@ def _disagreeing(docs: DataFrame, mixed: _Segments, n: int) -> DataFrame:
             yield from flush()
 
     def sort(batches):
-        _, got = _receive(batches, ["<u4", "<u4", "u1", "u1", f"V{CONTEXT}"])
-        if not got:
-            return
-        key, first, count, place, context, doc = got
-        context = context.view(np.uint8).reshape(-1, CONTEXT)
-        keep = _meeting(key, doc)  # a minimizer of one document only has come through the looseness of the bit set
-        halves = [_half(key[keep], first[keep].astype(np.int64), count[keep].astype(np.int64), place[keep].astype(np.int64), context[keep], doc[keep], left) for left in (True, False)]
-        del key, first, count, place, context, doc, got
-        for group, first, count, context, doc in halves:
-            # Equal contexts: all but those of the least document repeat; one document of each goes on.
-            order = np.lexsort((doc, _bytes_hash(context), group))
-            group, first, count, context, doc = group[order], first[order], count[order], context[order], doc[order]
-            if len(group) == 0:
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (context[1:] != context[:-1]).any(axis=1) | (count[1:] != count[:-1])]))
-            later = doc != np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))
-            yield from _to_documents(doc[later], first[later], count[later], n)
-            group, first, count, context, doc = group[~later], first[~later], count[~later], context[~later], doc[~later]
+        passing: list = []
+        _, got = _receive(batches, ["<u4", "<u4", "u1", f"V{HALF}"], passing=passing)
+        if passing:
+            yield _passed(passing)
+        if got:
+            group, first, count, context, doc = got
+            keep = _meeting(group, doc)  # a group of one document only has come through the looseness of the bit set
+            group, first, count, context, doc = group[keep], first[keep].astype(np.int64), count[keep].astype(np.int64), context[keep].view(np.uint8).reshape(-1, HALF), doc[keep]
+            del got
+            (group, first, count, context, doc), repeated = _without_equal(group, first, count, context, doc)
+            if len(repeated[0]):
+                yield from _to_documents(*repeated, n)
             keep = _meeting(group, doc)
             group, first, count, context, doc = group[keep], first[keep], count[keep], context[keep], doc[keep]
             if len(group) == 0:
-                continue
+                return
             starts, _ = _groups(group)
             edges = [0]
             for s in [*starts[1:].tolist(), len(group)]:
@@ -428,7 +456,7 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text].alias("text")).where("doc_id IS NOT NULL")
     agreed = _agreeing(docs, _repeated(docs, n), n)
     bits = {r["bucket"]: bytes(r["bits"]) for r in agreed.where("bits IS NOT NULL").select("bucket", "bits").collect()}
-    found = agreed.where("bits IS NULL").select("bucket", "base", "blob").union(_disagreeing(docs, _Segments(n, bits), n))
+    found = agreed.where("bits IS NULL").select("bucket", "base", "blob", "found").union(_disagreeing(docs, _Segments(n, bits), n))
     return settle(_spans(found, n), "suffix-spans")
 
 
