@@ -109,4 +109,31 @@ def contested_base(spark, d):
 
     bases = spark.createDataFrame([("x", 0.5), ("y", 0.5), ("z", 0.5)], "asm string, base double")
     edges = spark.createDataFrame([("x", "attack", 0, "y"), ("y", "attack", 0, "x"), ("z", "support", 0, "x")], "target string, polarity string, edge_id int, member string")
-    return contested(bases, edges, "x", 0.9, rounds=12).select("asm", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), "moved")
+    return contested(bases, edges, "x", 0.9, rounds=6).select("asm", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), "moved")
+
+
+@query("q97_crisp_against_graded")
+def crisp_against_graded(spark, d):
+    from rulewright.operators.structure import crisp_against_graded as compare
+    from rulewright.sources.builtin import problems
+
+    return compare(problems(spark))
+
+
+@query("q98_permuted_problems")
+def permuted_problems(spark, d):
+    """Whether the learner takes the same course on problems whose predicates are deranged."""
+    from rulewright.operators.learner import solve_all
+    from rulewright.operators.rename import permuted
+    from rulewright.sources.builtin import problems
+
+    a = solve_all(problems(spark)).select("problem_id", F.array_join("symbols", ",").alias("symbols"))
+    b = solve_all(permuted(problems(spark))).select("problem_id", F.array_join("symbols", ",").alias("permuted_symbols"))
+    return a.join(b, "problem_id").withColumn("same", F.col("symbols") == F.col("permuted_symbols"))
+
+
+@query("q99_merged_audits")
+def merged_audits(spark, d):
+    from rulewright.operators.trace_score import merged_audits as merge
+
+    return merge(audit_trace(spark, d), ["problem_id"])
