@@ -1,4 +1,4 @@
-"""Built-in problems as literals."""
+"""Built-in problems as literals (fixed values: their facts, rules, contraries and examples)."""
 
 from __future__ import annotations
 
