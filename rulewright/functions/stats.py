@@ -126,18 +126,36 @@ def hash_index(parts: list[Column], n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long"), n)
 
 
+#: Distinct values up to which a resample needs no join.
+FEW_VALUES = 64
+
+
 def bootstrap_mean(df: DataFrame, value: str, replicates: int = 200, salt: str = "b", digits: int = 4) -> DataFrame:
     """(n, mean, ci_low, ci_high): percentile bootstrap of a mean with md5-indexed resamples.
 
-    Values are numbered by a window in order of (value); a replicate draws n of them. The ends are the sorted replicate means
-    at positions floor(0.025 r) and floor(0.975 r) - 1. The draws are a join on the number, so nothing is collected.
+    Values are numbered in their order; a replicate draws n numbers. Where there are at most FEW_VALUES distinct values (rates,
+    grades), a number is turned into its value by the cumulated counts, so nothing is sorted or joined; otherwise the numbers
+    are a window over the values and the draws a join. The ends are the sorted replicate means at positions floor(0.025 r)
+    and floor(0.975 r) - 1.
     """
     x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
-    numbered = x.withColumn("i", F.row_number().over(Window.orderBy("x")).cast("long") - 1)
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    draws = numbered.select(F.col("i").alias("j")).crossJoin(df.sparkSession.range(replicates).withColumnRenamed("id", "r")).crossJoin(F.broadcast(n))
-    draws = draws.withColumn("i", hash_index([F.lit(salt), F.col("r"), F.col("j")], F.col("n")))
-    means = draws.join(numbered, "i").groupBy("r").agg(F.avg("x").alias("m"))
+    few = sorted((r["x"], r["n"]) for r in x.groupBy("x").agg(F.count(F.lit(1)).alias("n")).limit(FEW_VALUES + 1).collect())
+    spark = df.sparkSession
+    if 0 < len(few) <= FEW_VALUES:
+        n = sum(c for _, c in few)
+        index, upto, lookup = F.col("i"), 0, None
+        for v, c in few:
+            upto += c
+            lookup = F.when(index < upto, v) if lookup is None else lookup.when(index < upto, v)
+        draws = spark.range(n).select(F.col("id").alias("j")).crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "r")))
+        draws = draws.withColumn("i", hash_index([F.lit(salt), F.col("r"), F.col("j")], F.lit(n))).withColumn("x", lookup)
+        means = draws.groupBy("r").agg(F.avg("x").alias("m"))
+    else:
+        numbered = x.withColumn("i", F.row_number().over(Window.orderBy("x")).cast("long") - 1)
+        total = numbered.agg(F.count(F.lit(1)).alias("n"))
+        draws = numbered.select(F.col("i").alias("j")).crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "r"))).crossJoin(F.broadcast(total))
+        draws = draws.withColumn("i", hash_index([F.lit(salt), F.col("r"), F.col("j")], F.col("n")))
+        means = draws.join(numbered, "i").groupBy("r").agg(F.avg("x").alias("m"))
     ranked = means.withColumn("k", F.row_number().over(Window.orderBy("m")) - 1)
     low, high = int(0.025 * replicates), int(0.975 * replicates) - 1
     ends = ranked.agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("lo"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("hi"))

@@ -57,3 +57,11 @@ def test_canonical_key_ignores_order_and_variable_names(spark):
     df = spark.createDataFrame([("p(X) :- q(X), r(X,Y).",), ("p(A):-r(A,B),q( A ).",), ("p(X) :- q(X), r(Y,X).",)], "line string")
     keys = [r["key"] for r in canonical_key(parse_rules(df, "line")).collect()]
     assert keys[0] == keys[1] != keys[2]
+
+
+def test_bootstrap_paths_agree(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 5),) for i in range(60)], "x double")
+    a = stats.bootstrap_mean(df, "x").first()
+    monkeypatch.setattr(stats, "FEW_VALUES", 2)
+    assert tuple(a) == tuple(stats.bootstrap_mean(df, "x").first()) and a["ci_low"] < a["mean"] < a["ci_high"]
+    assert stats.bootstrap_mean(df.where("false"), "x").first()["n"] == 0
