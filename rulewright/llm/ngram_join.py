@@ -35,7 +35,7 @@ from rulewright.llm._text import distinct_sorted, lower_ascii, mix64, reduce_row
 
 K = 5
 #: Documents of one key beyond which the key is a candidate group as it is, and documents of a block of verification.
-TILE, BLOCK = 512, 256
+TILE, BLOCK = 512, 128
 #: A gram is put last in the order if windows of map tasks that see it in HOT_LOCAL documents at least see it in HOT_TOTAL
 #: documents together; at most HOT_MAX of them, the most frequent (1 MB).
 HOT_LOCAL, HOT_TOTAL, HOT_MAX = 2, 24, 1 << 17
