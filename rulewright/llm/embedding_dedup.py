@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.llm._components import components, label_pairs
+from rulewright.llm._memory import tidy
 from rulewright.llm._store import settle, shuffle_partitions
 from rulewright.llm._text import mix64
 
@@ -46,6 +47,7 @@ def _prepare(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(vec_id, dim, f1, f2, raw): fingerprint of the components and the components as doubles; dim 0 if it links with nothing."""
 
     def work(batches):
+        tidy()
         for batch in batches:
             values, at, ok = _rows_of(batch.column(1))
             values = values + 0.0
@@ -96,6 +98,7 @@ def _blocks(cells: DataFrame, parts: int) -> DataFrame:
     dealt = cells.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("m") / BLOCK)))
 
     def pack(batches):
+        tidy()
         held: dict[tuple, list] = {}
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
@@ -206,10 +209,11 @@ def _tiles(blocks: DataFrame, threshold: float, parts: int) -> DataFrame:
     sent = pairs.join(blocks.select("block", "dim", "ids", "copies", "raw"), "block").repartition(parts, "tile")
 
     def work(batches):
+        tidy()
         waiting: dict[str, tuple] = {}
         for batch in batches:
-            rows = batch.select(["tile", "block", "dim", "ids", "copies", "raw"]).to_pydict()
-            for tile, block, dim, ids, copies, raw in zip(*rows.values(), strict=True):
+            for i in range(batch.num_rows):  # a row is a block, up to megabytes
+                tile, block, dim, ids, copies, raw = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("tile", "block", "dim", "ids", "copies", "raw"))
                 one = (np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<i8"), np.frombuffer(raw, np.float64).reshape(-1, dim))
                 if tile == f"{block}|{block}":
                     pair = (one, None)
@@ -221,6 +225,8 @@ def _tiles(blocks: DataFrame, threshold: float, parts: int) -> DataFrame:
                 known, counts, label = tile_links(*pair, threshold)
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(known[at]), pa.array(counts[at]), pa.array(known[label[at]])], names=["vec_id", "links", "root"])
+        waiting.clear()
+        tidy()
 
     return sent.mapInArrow(work, "vec_id long, links long, root long")
 
