@@ -26,7 +26,7 @@ from rulewright.llm._memory import tidy
 from rulewright.llm._store import settle, shuffle_partitions
 from rulewright.llm._text import mix64
 
-BLOCK, PIVOTS, STRIP = 2048, 64, 256
+BLOCK, PIVOTS, STRIP = 2048, 16, 256
 #: Centres of more blocks than this are not broadcast (64 MB at 256 components); then every pair of blocks is a tile.
 PRUNE_BLOCKS = 1 << 16
 #: Room for the rounding of single-precision sums of the bounds.
@@ -70,6 +70,18 @@ def _prepare(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return source.mapInArrow(work, "vec_id long, dim int, f1 long, f2 long, raw binary")
 
 
+def _packed(raw: bytes) -> bytes:
+    """Doubles as single-precision numbers where nothing is lost."""
+    x = np.frombuffer(raw, dtype=np.float64)
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return small.tobytes() if np.array_equal(small.astype(np.float64), x) else raw
+
+
+def _unpacked(raw: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.float32 if len(raw) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+
+
 def _unit(raw: list[bytes]) -> np.ndarray:
     x = np.stack([np.frombuffer(r, dtype=np.float64) for r in raw])
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -115,7 +127,7 @@ def _blocks(cells: DataFrame, parts: int) -> DataFrame:
                 [
                     pa.array([f"{dim}:{cell}:{part}"]), pa.array([dim], pa.int32()), pa.array([len(rows)], pa.int64()),
                     pa.array([np.array([r[0] for r in rows], dtype="<i8").tobytes()], pa.binary()), pa.array([np.array([r[1] for r in rows], dtype="<i8").tobytes()], pa.binary()),
-                    pa.array([b"".join(r[2] for r in rows)], pa.binary()), pa.array([centre.tobytes()], pa.binary()), pa.array([radius]),
+                    pa.array([_packed(b"".join(r[2] for r in rows))], pa.binary()), pa.array([centre.tobytes()], pa.binary()), pa.array([radius]),
                 ],
                 names=["block", "dim", "n", "ids", "copies", "raw", "centre", "radius"],
             )
@@ -214,7 +226,7 @@ def _tiles(blocks: DataFrame, threshold: float, parts: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):  # a row is a block, up to megabytes
                 tile, block, dim, ids, copies, raw = (batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("tile", "block", "dim", "ids", "copies", "raw"))
-                one = (np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<i8"), np.frombuffer(raw, np.float64).reshape(-1, dim))
+                one = (np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<i8"), _unpacked(raw, len(ids) // 8, dim))
                 if tile == f"{block}|{block}":
                     pair = (one, None)
                 elif tile in waiting:
