@@ -6,9 +6,11 @@ the target's number of tokens, so that neither profits from its size. A token's
 p_k = (c(w_1..w_k) + BETA p_{k-1}) / (c(w_1..w_{k-1}) + BETA), from p_1 = (c + ALPHA) / (N + 256 ALPHA). Each document gets
 its mean loss in nats per token under both models and the difference target - background: lower is closer to the target.
 
-Orders 1 and 2 have exact tables; orders 3 to 5 share tables of 2**TABLE_BITS entries each, addressed by a multiplicative
-hash, so the models have one fixed size (13 MB each) whatever the corpus and can be broadcast. Windows never cross texts;
-the first tokens of a text use the orders that fit. Case and white space are kept.
+All orders are counted exactly: a window is its own key (its bytes below its order), so windows never share an entry and the
+tables grow with the corpus. They lie in buckets of the shared folder and are not broadcast. Documents are packed into
+chunks; a chunk sends its distinct windows to their buckets and gets both counts back, then its tokens are looked up
+in the chunk's own windows. Windows never cross texts; the first tokens of a text use the orders that fit. Case and white
+space are kept.
 
 Null and empty texts have no tokens and null losses. An empty target or background is the uniform model. Repeated rows count
 each time; output names that clash with those kept raise a ValueError.
@@ -16,119 +18,259 @@ each time; output names that clash with those kept raise a ValueError.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulewright.llm._blobs import by_bucket, pack, read_blobs, unpack
-from rulewright.llm._text import reduce_rows, slices, utf8
+from rulewright.llm._blobs import buckets_of, by_bucket, pack, read_blobs, unpack
+from rulewright.llm._memory import tidy
+from rulewright.llm._store import settle, shuffle_partitions
+from rulewright.llm._text import SLICE_BYTES, mix64, reduce_rows, slices, utf8
 
-ORDER, TABLE_BITS, ALPHA, BETA = 5, 20, 0.5, 4.0
-_STARTS = [0, 256, 256 + 65536, 256 + 65536 + (1 << TABLE_BITS), 256 + 65536 + (2 << TABLE_BITS)]
-SIZE = 256 + 65536 + (3 << TABLE_BITS)
-_FACTOR = [0, 0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7]
-SHARDS = 64
+ORDER, ALPHA, BETA = 5, 0.5, 4.0
+#: A chunk of documents ends at so many bytes of text or distinct windows; a counting task sends its counts at so many windows.
+CHUNK_BYTES, CHUNK_WINDOWS, HELD_WINDOWS = 8 << 20, 1 << 21, 1 << 21
+_MASK = [np.uint64((1 << 8 * k) - 1) for k in range(ORDER + 1)]
+_TAG = [np.uint64(k << 40) for k in range(ORDER + 2)]
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order k, the table entry of the window that ends at each byte, and whether it lies inside its text."""
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last ORDER bytes up to each byte as an integer, and how many of them lie inside its text (ORDER at most)."""
     n = len(data)
-    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    out = []
     key = np.zeros(n, dtype=np.uint64)
-    for k in range(1, ORDER + 1):
-        older = np.zeros(n, dtype=np.uint64)
-        if n >= k:
-            older[k - 1 :] = data[: n - k + 1]
-        key = key | (older << np.uint64(8 * (k - 1)))
-        if k <= 2:
-            at = key.astype(np.int64)
-        else:
-            with np.errstate(over="ignore"):
-                at = ((key * np.uint64(_FACTOR[k - 1])) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        at += _STARTS[k - 1]
-        out.append((at, place >= k - 1))
-    return out
-
-
-def count_ngrams(df: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts of all windows of all texts, by table entry."""
+    for j in range(min(ORDER, n)):
+        key[j:] |= data[: n - j].astype(np.uint64) << np.uint64(8 * j)
+    fit_ = np.full(n, ORDER, dtype=np.int8)
+    first, stop = offsets[:-1], offsets[1:]
+    for j in range(ORDER - 1):
+        at = first + j
+        fit_[at[at < stop]] = j + 1
+    return key, fit_
+
+
+def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    if len(keys) == 0:
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[new], np.add.reduceat(counts, new)
+
+
+def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of all orders, tagged with their order and sorted, and their counts."""
+    key, fit_ = windows(data, offsets)
+    keys, counts = np.unique(key[fit_ == ORDER], return_counts=True)
+    out = [(keys | _TAG[ORDER], counts)]
+    for k in range(ORDER - 1, 0, -1):  # a window of order k ends where one of order k + 1 does, or is a text's k-th byte
+        start = key[fit_ == k] & _MASK[k]
+        keys, counts = add_up(np.concatenate([keys & _MASK[k], start]), np.concatenate([counts, np.ones(len(start), dtype=np.int64)]))
+        out.append((keys | _TAG[k], counts))
+    return tuple(np.concatenate(x) for x in zip(*out[::-1], strict=True))
+
+
+def _packed(columns: list[np.ndarray], n: int) -> list[tuple[int, bytes]]:
+    """Columns (keys first) by bucket of their key."""
+    return list(pack(columns, buckets_of(mix64(columns[0]), n), n))
+
+
+def count_ngrams(df: DataFrame, buckets: int, text: str = "text") -> DataFrame:
+    """Counts of all windows of all texts: for each bucket, a blob of sorted keys and their counts."""
 
     def work(batches):
-        total = np.zeros(SIZE, dtype=np.int64)
-        some = False
+        held, size = [], 0
+
+        def send():
+            keys, counts = add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            got = _packed([keys, counts], buckets)
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["bucket", "blob"])
+
         for batch in slices(batches, "__text"):
-            for at, inside in windows(*utf8(batch.column(0))):
-                lo, hi = int(at.min(initial=0)), int(at.max(initial=0)) + 1
-                total[lo:hi] += np.bincount(at[inside] - lo, minlength=hi - lo)
-                some = True
-        if some:
-            at = np.flatnonzero(total)
-            got = list(pack([at.astype(np.uint32), total[at]], (at * SHARDS // SIZE).astype(np.uint64), SHARDS))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["bucket", "blob"])
+            held.append(distinct(*utf8(batch.column(0))))
+            size += len(held[-1][0])
+            if size >= HELD_WINDOWS:
+                held = [add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size >= HELD_WINDOWS // 2:
+                    yield send()
+                    held, size = [], 0
+        if size:
+            yield send()
 
     def add(batches):
         bucket, blobs = read_blobs(batches)
         if blobs:
-            lo, hi = -(-bucket * SIZE // SHARDS), -(-(bucket + 1) * SIZE // SHARDS)
-            total = np.zeros(hi - lo, dtype=np.int64)
-            for blob in blobs:
-                at, n = unpack([blob], ["<u4", "<i8"])
-                total[at.astype(np.int64) - lo] += n
-            yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([total.tobytes()], pa.binary())], names=["lo", "counts"])
+            got = add_up(*unpack(blobs, ["<u8", "<i8"]))
+            blob = next(pack(list(got), np.zeros(len(got[0]), dtype=np.uint64), 1))[1]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
     local = df.select(df[text].alias("__text")).mapInArrow(work, "bucket int, blob binary")
-    out = np.zeros(SIZE, dtype=np.int64)
-    for row in by_bucket(local, SHARDS).mapInArrow(add, "lo long, counts binary").collect():
-        part = np.frombuffer(row["counts"], dtype=np.int64)
-        out[row["lo"] : row["lo"] + len(part)] = part
-    return out
+    return settle(by_bucket(local, buckets).mapInArrow(add, "bucket int, blob binary"), "ngrams")
+
+
+def _tokens(counts: DataFrame) -> int:
+    """Number of tokens counted: the sum of order 1."""
+
+    def work(batches):
+        for batch in batches:
+            keys, n = unpack(batch.column(1).to_pylist(), ["<u8", "<i8"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(n[keys < _TAG[2]].sum())])], names=["n"])
 
+    return counts.mapInArrow(work, "n long").agg(F.sum("n")).first()[0] or 0
 
+
+@dataclass
 class Models:
-    """The two models as tables of single-precision counts."""
+    """The two models as tables of exact counts, in the same buckets."""
 
-    def __init__(self, target: np.ndarray, background: np.ndarray):
-        n_target, n_background = target[:256].sum(), background[:256].sum()
-        scale = n_target / n_background if n_background and n_target else 1.0
-        self.tables = (target.astype(np.float32), (background * scale).astype(np.float32))
-        self.totals = (float(n_target), float(n_background * scale))
+    target: DataFrame
+    background: DataFrame
+    buckets: int
+    n_target: int
+    n_background: int
 
-    def losses(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of the losses of each text under either model."""
-        at = windows(data, offsets)
-        out = []
-        for table, total in zip(self.tables, self.totals, strict=True):
-            count = table[at[0][0]]
-            p = (count + np.float32(ALPHA)) / np.float32(total + 256 * ALPHA)
-            for k in range(1, ORDER):
-                context = np.empty_like(count)
-                context[1:], context[:1] = count[:-1], 0
-                count = table[at[k][0]]
-                p = np.where(at[k][1], (count + np.float32(BETA) * p) / (np.maximum(context, count) + np.float32(BETA)), p)
-            out.append(-reduce_rows(np.add, np.log(p).astype(np.float64), offsets, 0.0))
-        return out[0], out[1]
+    @property
+    def scale(self) -> float:
+        return self.n_target / self.n_background if self.n_background and self.n_target else 1.0
 
 
 def fit(target: DataFrame, background: DataFrame, text: str = "text") -> Models:
-    return Models(count_ngrams(target, text), count_ngrams(background, text))
+    buckets = shuffle_partitions(target.sparkSession)
+    a, b = count_ngrams(target, buckets, text), count_ngrams(background, buckets, text)
+    return Models(a, b, buckets, _tokens(a), _tokens(b))
+
 
+def _chunks(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
+    """(chunk, part, bucket, blob): a chunk's documents (bucket is buckets) and its distinct windows by bucket."""
 
-def score(docs: DataFrame, models: Models, keep: list[str], text: str = "text") -> DataFrame:
+    def work(batches):
+        task, serial, sink, writer, held, size, windows_ = TaskContext.get().partitionId(), 0, None, None, [], 0, 0
+
+        def send():
+            writer.close()
+            keys = np.unique(np.concatenate(held))
+            got = [*_packed([keys], buckets), (buckets, sink.getvalue().to_pybytes())]
+            chunk, part = (task << 32) + serial, (task + serial) % buckets
+            columns = [pa.array([chunk] * len(got)), pa.array([part] * len(got), pa.int32()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "bucket", "blob"])
+
+        for batch in slices(batches, "__text", min(SLICE_BYTES, chunk_bytes)):
+            if writer is None:
+                sink = pa.BufferOutputStream()
+                writer = pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            writer.write_batch(batch)
+            data, offsets = utf8(batch.column(batch.num_columns - 1))
+            held.append(distinct(data, offsets)[0])
+            size, windows_ = size + len(data), windows_ + len(held[-1])
+            if windows_ >= CHUNK_WINDOWS:
+                held = [np.unique(np.concatenate(held))]
+                windows_ = len(held[0])
+            if size >= chunk_bytes or windows_ >= CHUNK_WINDOWS // 2:
+                yield send()
+                serial, writer, held, size, windows_ = serial + 1, None, [], 0, 0
+        if writer is not None:
+            yield send()
+
+    return settle(docs.mapInArrow(work, "chunk long, part int, bucket int, blob binary"), "chunks")
+
+
+def _answers(chunks: DataFrame, models: Models) -> DataFrame:
+    """Both counts of each chunk's windows, in the form of chunks."""
+
+    def work(batches):
+        tables, asked = {-2: [], -1: []}, []
+        for batch in batches:
+            for chunk, part, bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk < 0:
+                    tables[chunk].append(blob)
+                else:
+                    asked.append((chunk, part, bucket, blob))
+        tables = [unpack(blobs, ["<u8", "<i8"]) for blobs in tables.values()]
+        for i in range(0, len(asked), 64):
+            out = []
+            for chunk, part, bucket, blob in asked[i : i + 64]:
+                (keys,) = unpack([blob], ["<u8"])
+                columns = [keys]
+                for known, counts in tables:
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                        columns.append(np.where(known[at] == keys, counts[at], 0))
+                    else:
+                        columns.append(np.zeros(len(keys), dtype=np.int64))
+                out.append((chunk, part, bucket, next(pack(columns, np.zeros(len(keys), dtype=np.uint64), 1))[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["chunk", "part", "bucket", "blob"])
+        tidy()
+
+    n = models.buckets
+    rows = chunks.where(F.col("bucket") < n)
+    for mark, counts in ((-2, models.target), (-1, models.background)):
+        rows = rows.unionByName(counts.select(F.lit(mark).cast("long").alias("chunk"), F.lit(0).alias("part"), "bucket", "blob"))
+    return rows.repartitionById(n, F.col("bucket")).mapInArrow(work, "chunk long, part int, bucket int, blob binary")
+
+
+class Losses:
+    """The loss of a token under either model, for each window of a chunk."""
+
+    def __init__(self, keys: np.ndarray, target: np.ndarray, background: np.ndarray, n_target: int, scale: float, n_background: int):
+        order = np.argsort(keys)
+        keys, counts = keys[order], (target[order].astype(np.float64), background[order] * scale)
+        edges = np.searchsorted(keys, _TAG[1:])
+        self.keys = [keys[a:b] & _MASK[ORDER] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        self.losses = [[], []]
+        for out, count, total in zip(self.losses, counts, (float(n_target), n_background * scale), strict=True):
+            own = [count[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            p = (own[0] + ALPHA) / (total + 256 * ALPHA)
+            out.append(-np.log(p))
+            for k in range(1, ORDER):
+                shorter = np.searchsorted(self.keys[k - 1], self.keys[k] & _MASK[k])
+                context = own[k - 1][np.searchsorted(self.keys[k - 1], self.keys[k] >> np.uint64(8))]
+                p = (own[k] + BETA * p[shorter]) / (np.maximum(context, own[k]) + BETA)
+                out.append(-np.log(p))
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the losses of each text under either model."""
+        key, fit_ = windows(data, offsets)
+        out = np.zeros((2, len(data)))
+        for k in range(1, ORDER + 1):
+            at = np.flatnonzero(fit_ == k)
+            i = np.searchsorted(self.keys[k - 1], key[at] & _MASK[k])
+            for m in (0, 1):
+                out[m, at] = self.losses[m][k - 1][i]
+        return reduce_rows(np.add, out[0], offsets, 0.0), reduce_rows(np.add, out[1], offsets, 0.0)
+
+
+def score(docs: DataFrame, models: Models, keep: list[str], text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """keep columns, n_tokens, target_loss, background_loss and difference of each row."""
     names = ["n_tokens", "target_loss", "background_loss", "difference"]
     if clash := set(names) & set(keep):
         raise ValueError(f"columns {sorted(clash)} exist already")
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names[1:]]])
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    n, totals = models.buckets, (models.n_target, models.scale, models.n_background)
 
     def work(batches):
-        for batch in slices(batches, "__text"):
-            data, offsets = utf8(batch.column(len(keep)))
-            n = np.diff(offsets)
-            target, background = shared.value.losses(data, offsets)
-            mean = lambda x: pa.array(x / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n), mean(target), mean(background), mean(target - background)], names=[*keep, *names])
+        held = []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket < n:
+                    held.append(blob)
+                    continue
+                losses, held = Losses(*unpack(held, ["<u8", "<i8", "<i8"]), *totals), []
+                for own in pa.ipc.open_stream(blob):
+                    data, offsets = utf8(own.column(len(keep)))
+                    count = np.diff(offsets)
+                    target, background = losses.of(data, offsets)
+                    mean = lambda x: pa.array(x / np.maximum(count, 1), mask=count == 0)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], pa.array(count), mean(target), mean(background), mean(target - background)], names=[*keep, *names])
+        tidy()
 
-    return docs.select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(work, schema)
+    chunks = _chunks(docs.select(*[docs[c] for c in keep], docs[text].alias("__text")), n, chunk_bytes)
+    rows = chunks.where(F.col("bucket") == n).unionByName(_answers(chunks, models))
+    # A chunk's documents come behind the counts of its windows.
+    dealt = rows.repartitionById(n, F.col("part")).sortWithinPartitions("chunk", "bucket")
+    return dealt.select("bucket", "blob").mapInArrow(work, schema)

@@ -50,3 +50,19 @@ def test_empty_models(docs, edge):
     none = docs(edge).where("false")
     r = {x["doc_id"]: x for x in L.score(docs(edge), L.fit(none, none), ["doc_id"]).collect()}
     assert abs(r[9004]["target_loss"] - math.log(256)) < 1e-5 and r[9004]["difference"] == 0
+
+
+def test_exact_on_a_varied_alphabet(docs):
+    """So many different windows that a table of 2**20 entries would share some of them; documents lie in several chunks."""
+    rnd = random.Random(2)
+    make = lambda n: [(i, "".join(chr(rnd.randrange(0x400, 0xD000)) for _ in range(rnd.randint(500, 1500)))) for i in range(n)]
+    a, b = make(30), make(40)
+    ca, cb = counts(a), counts(b)
+    assert sum(len(k) == 5 for k in cb) > 100000
+    na, nb = (sum(v for k, v in c.items() if len(k) == 1) for c in (ca, cb))
+    rows = L.score(docs(b), L.fit(docs(a), docs(b)), ["doc_id"], chunk_bytes=10000).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(40))
+    for r in rows:
+        raw = b[r["doc_id"]][1].encode()
+        assert abs(r["target_loss"] - loss(raw, ca, na, 1) / len(raw)) < 1e-9
+        assert abs(r["background_loss"] - loss(raw, cb, nb, na / nb) / len(raw)) < 1e-9
