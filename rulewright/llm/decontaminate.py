@@ -6,10 +6,11 @@ of the item's q-grams, all on diagonals that lie at most e apart. So q-grams sha
 diagonal bands of width 2 (e + 1) that overlap by half, bands that reach the bound are retained, and banded alignment
 verifies them and finds where the region starts and ends.
 
-Characters are code points; upper-case ASCII and Latin-1 letters are lowered and white space of any kind is a space. An
-item for which e edits leave no q-gram for sure gets the largest e that does. Items of fewer than q characters, and null or
-empty ones, are too short to tell a leak and match nothing; repeated items match each on their own. Null and empty documents
-match nothing. Only the two columns named are read; rows without an id are left out.
+Characters are code points; upper-case ASCII and Latin-1 letters are lowered and white space of any kind is a space. Each
+item has its own q, the largest up to Q for which e edits leave a q-gram for sure: min(Q, floor(m / (e + 1))). So an item
+of fewer than Q characters without edits is a single gram, and matches where it occurs. Null and empty items match nothing;
+repeated items match each on their own. Null and empty documents match nothing. Only the two columns named are read; rows
+without an id are left out.
 
 The items are broadcast in blocks of at most BLOCK_CHARS characters; a larger benchmark takes one pass for each block.
 """
@@ -60,36 +61,22 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
         return mix64(out)
 
 
-class Items:
-    """Benchmark items and the table of their q-grams."""
+class _Table:
+    """The q-grams of the items that have one q."""
 
-    def __init__(self, rows: list[tuple[int, str]], q: int = Q, error_rate: float = ERROR_RATE):
+    def __init__(self, q: int, items: list[tuple[int, np.ndarray]]):
         self.q = q
-        self.ids, self.points, self.edits, self.least = [], [], [], []
-        for i, text in rows:
-            raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-            points, _ = code_points(raw, np.array([0, len(raw)]))
-            m = len(points)
-            if m < q:
-                continue
-            e = min(int(error_rate * m), (m - q) // q)
-            self.ids.append(i)
-            self.points.append(points)
-            self.edits.append(e)
-            self.least.append(m - q + 1 - q * e)
-        grams = [_grams(p, q) for p in self.points]
-        h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        grams = [_grams(p, q) for _, p in items]
+        h = np.concatenate(grams)
+        item = np.repeat([i for i, _ in items], [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g)) for g in grams])
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.place = h[order], item[order], place[order]
-        self.width = np.array([e + 1 for e in self.edits], dtype=np.int64)
-        self.needed = np.array(self.least, dtype=np.int64)
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
         self.table[(self.hash >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
-    def regions(self, points: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, start, end, edits) of all regions of a batch."""
+    def hits(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Position, row, item and place in the item of each gram that a batch shares with an item."""
         h = _grams(points, self.q)
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]) if len(h) else np.zeros(0, np.int64)
         lo = np.searchsorted(self.hash, h[at], side="left")
@@ -99,15 +86,44 @@ class Items:
         row = np.searchsorted(offsets, at, side="right") - 1
         inside = at + self.q <= offsets[row + 1]
         at, lo, hi, row = at[inside], lo[inside], hi[inside], row[inside]
+        times = hi - lo
+        entry = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        return np.repeat(at, times), np.repeat(row, times), self.item[entry], self.place[entry]
+
+
+class Items:
+    """Benchmark items and the tables of their q-grams."""
+
+    def __init__(self, rows: list[tuple[int, str]], q: int = Q, error_rate: float = ERROR_RATE):
+        self.ids, self.points, self.edits, self.least, own = [], [], [], [], []
+        for i, text in rows:
+            raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
+            points, _ = code_points(raw, np.array([0, len(raw)]))
+            m = len(points)
+            if m == 0:
+                continue
+            e = min(int(error_rate * m), m - 1)
+            own.append(min(q, m // (e + 1)))
+            self.ids.append(i)
+            self.points.append(points)
+            self.edits.append(e)
+            self.least.append(m - own[-1] + 1 - own[-1] * e)
+        self.width = np.array([e + 1 for e in self.edits], dtype=np.int64)
+        self.needed = np.array(self.least, dtype=np.int64)
+        self.longest = max(map(len, self.points), default=0)
+        self.tables = [_Table(k, [(i, p) for i, (p, x) in enumerate(zip(self.points, own, strict=True)) if x == k]) for k in sorted(set(own))]
+
+    def regions(self, points: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, start, end, edits) of all regions of a batch."""
+        found = [table.hits(points, offsets) for table in self.tables]
+        if not found:
+            return []
+        at, row, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
         if len(at) == 0:
             return []
-        times = hi - lo
-        entry = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        at, row = np.repeat(at, times), np.repeat(row, times)
-        item = self.item[entry]
         # Diagonals are counted from the row's start, plus the longest item so that none is negative.
-        longest = max(len(p) for p in self.points)
-        diagonal = at - offsets[row] - self.place[entry] + longest
+        longest = self.longest
+        diagonal = at - offsets[row] - place + longest
         band = diagonal // self.width[item]
         found = []
         for half in (0, 1):  # band b holds diagonals [b w, (b + 2) w): each diagonal is in two bands

@@ -62,3 +62,20 @@ def test_documents(spark, docs, edge):
     assert {r["doc_id"] for r in kept.collect()} == {2} | {d for d, _ in edge}
     assert find_leaks(docs(data), bench.where("false")).count() == 0
     assert find_leaks(docs(data).where("false"), bench).count() == 0
+
+
+def test_short_items_get_the_whole_budget():
+    """Edits are counted here from the rate alone, not taken from the table."""
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvw") for _ in range(n))
+    items = [(m, word(m)) for m in range(1, 45)]
+    table = Items(items)
+    assert table.ids == [m for m, _ in items]
+    for m, item in items:
+        budget = 8 * m // 100
+        for n in range(budget + 2):
+            for _ in range(4):
+                text = word(rnd.randint(0, 30)) + edited(rnd, item, n) + word(rnd.randint(0, 30))
+                raw = text.encode()
+                points, offsets = code_points(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+                assert {table.ids[i] for _, i, *_ in table.regions(points, offsets)} == {i for i, t in items if least_edits(t, text) <= 8 * i // 100}
