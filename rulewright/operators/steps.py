@@ -1,4 +1,4 @@
-"""Decisions of the learner as supervised rows, their parsing and judging, and probes."""
+"""Decisions of the learner as supervised rows, their parsing and judging."""
 
 from __future__ import annotations
 
