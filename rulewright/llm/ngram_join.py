@@ -5,12 +5,17 @@ integers: 100 * intersection >= 80 * union). Words are ASCII-lower-cased runs of
 document with fewer words than five has its whole sequence as one gram; null, empty and blank texts have none and link
 with nothing. Grams are 64-bit hashes.
 
-1. One pass finds grams that many documents share (they are put last in the order used below, which only saves work).
+1. One pass finds grams that many documents share. They come last in the order used below, the most frequent at the very
+   end; the order only saves work.
 2. A second pass gives each document its set size, a 128-bit fingerprint of the set, a bitmap signature, and the prefix
-   keys of the set: two sets that link must share one of their first n - ceil(0.8 n) + 1 grams in the common order.
-3. Documents that share a key meet in tiles of a key and a size band. Bit counts of the signatures bound the overlap from
-   above; pairs that could still reach the threshold make a candidate graph. A key of very many documents (a group of
-   near copies, as grams of common passages come last) is a candidate group without that test.
+   keys of the set: two sets that link must share one of their first n - ceil(0.8 n) + 1 grams in the common order. Of sets
+   that link, the first gram that both have stands at most at places i and j with min(n - i, m - j) >= 4 (n + m) / 9, so a
+   key at place i reaches partners of at most (5 n - 9 i) / 4 grams.
+3. Documents that share a key meet in tiles of a key and a size band: a band ends where no document reaches the next size,
+   and documents without a partner that both reach leave. So pages of one template meet nobody, as their own grams come
+   before those of the template. Bit counts of the signatures bound the overlap from above; pairs that could still reach
+   the threshold make a candidate graph. A band of very many documents is a candidate group; its signatures are compared in
+   the blocks of step 4.
 4. Candidate components are verified by exact intersection of sorted arrays: first within blocks of a component, then
    between the classes found (one representative each), and where classes stay apart, every document outside the
    largest class against every other. A pair whose documents are connected already needs no test, so a group of n near
@@ -34,13 +39,13 @@ from rulewright.llm._store import settle, shuffle_partitions
 from rulewright.llm._text import distinct_sorted, lower_ascii, mix64, reduce_rows, shingle_hashes, slices, span_hashes, utf8, word_bounds
 
 K = 5
-#: Documents of one key beyond which the key is a candidate group as it is, and documents of a block of verification.
+#: Documents of a band beyond which its signatures are compared in blocks of verification, and documents of such a block.
 TILE, BLOCK = 512, 128
 #: A gram is put last in the order if windows of map tasks that see it in HOT_LOCAL documents at least see it in HOT_TOTAL
 #: documents together; at most HOT_MAX of them, the most frequent (1 MB).
 HOT_LOCAL, HOT_TOTAL, HOT_MAX = 2, 24, 1 << 17
 FLUSH_KEYS = 1 << 19
-SIG_LOW, SIG_HIGH = 64, 1 << 16
+SIG_LOW, SIG_HIGH = 64, 1 << 17
 
 
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,18 +57,18 @@ def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (batch.column(0).to_numpy(zero_copy_only=False), *distinct_sorted(grams, at))
 
 
-def _prefix(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix lengths against any partner, and against a partner that is not smaller."""
-    return n - -(-4 * n // 5) + 1, n - -(-8 * n // 9) + 1
+def _prefix(n: np.ndarray) -> np.ndarray:
+    """Prefix lengths: a partner has at least 0.8 n grams."""
+    return n - -(-4 * n // 5) + 1
 
 
 def _size_code(n: np.ndarray) -> np.ndarray:
-    """Size bands of ratio 1.1 (0 to 126): sets that link are at most 3 bands apart."""
-    return np.minimum(np.floor(np.log(np.maximum(n, 1)) / np.log(1.1)), 126).astype(np.uint8)
+    """Sizes on a scale of ratio 1.02 (exact up to 50), rounded down; the order of sizes is kept."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.02)).astype(np.uint16)
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Mixed hashes of grams that many documents of a map task share, most frequent first up to HOT_MAX, sorted."""
+    """Grams that many documents of a map task share, the most frequent up to HOT_MAX, rarest first."""
 
     def work(batches):
         held, size = [], 0
@@ -84,19 +89,20 @@ def _frequent(docs: DataFrame) -> np.ndarray:
             yield flush()
 
     top = docs.mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOTAL).orderBy(F.col("n").desc(), "key").limit(HOT_MAX)
-    return np.sort(top.select("key").toArrow().column("key").to_numpy().view(np.uint64))
+    return top.select("key").toArrow().column("key").to_numpy().view(np.uint64)[::-1].copy()
 
 
-def _is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _rank(values: np.ndarray, table: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of each value in the order of frequent grams, from 1; 0 for grams that are not frequent."""
     if len(table) == 0:
-        return np.zeros(len(values), dtype=bool)
+        return np.zeros(len(values), dtype=np.int32)
     at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return table[at] == values
+    return np.where(table[at] == values, rank[at], 0).astype(np.int32)
 
 
 def _signature(grams: np.ndarray) -> bytes:
-    """A bitmap with about a bit for each gram: bit (hash mod m) is set, m a power of two."""
-    m = min(SIG_HIGH, max(SIG_LOW, 1 << int(len(grams) - 1).bit_length()))
+    """A bitmap with two to four bits for each gram: bit (hash mod m) is set, m a power of two."""
+    m = min(SIG_HIGH, max(SIG_LOW, 2 << int(len(grams) - 1).bit_length()))
     bits = np.zeros(m, dtype=np.uint8)
     bits[(grams >> np.uint64(7)) & np.uint64(m - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -104,7 +110,8 @@ def _signature(grams: np.ndarray) -> bytes:
 
 def _scan(docs: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
     """Document rows (doc_id, n, f1, f2, sig) and blob rows (bucket, blob) of prefix keys."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    order = np.argsort(hot)
+    shared = docs.sparkSession.sparkContext.broadcast((hot[order], (order + 1).astype(np.int32)))
     names = ["doc_id", "n", "f1", "f2", "sig", "bucket", "blob"]
 
     def rows(ids, n, f1, f2, sig, bucket, blob, count):
@@ -118,8 +125,8 @@ def _scan(docs: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
         size = 0
 
         def flush():
-            key, doc, code = (np.concatenate(x) for x in zip(*held, strict=True))
-            got = list(pack([(key & np.uint64(0xFFFFFFFF)).astype(np.uint32), doc, code], buckets_of(key, n_buckets), n_buckets))
+            key, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            got = list(pack([(key & np.uint64(0xFFFFFFFF)).astype(np.uint32), *rest], buckets_of(key, n_buckets), n_buckets))
             return rows(None, None, None, None, None, [g[0] for g in got], [g[1] for g in got], len(got))
 
         for batch in slices(batches, "text"):
@@ -128,28 +135,27 @@ def _scan(docs: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 f1 = reduce_rows(np.add, mix64(grams ^ np.uint64(0x5851F42D4C957F2D)), at, 0)
                 f2 = reduce_rows(np.add, mix64(grams ^ np.uint64(0x14057B7EF767814F)), at, 0)
-            late_one = _is_in(grams, late)
+            late_rank = _rank(grams, *late)
             sigs = [_signature(grams[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
             yield rows(ids, n, f1.view(np.int64), f2.view(np.int64), sigs, None, None, len(ids))
-            whole, own = _prefix(n)
-            codes = _size_code(n)
-            keys, flags, counts, docs_of = [], [], [], []
+            whole = _prefix(n)
+            keys, taken = [], []
             for i in np.flatnonzero(n):
                 mark = (int(f1[i]), int(f2[i]))
                 if mark in seen:
                     continue
                 seen.add(mark)
-                g, l = grams[at[i] : at[i + 1]], late_one[at[i] : at[i + 1]]
+                g, l = grams[at[i] : at[i + 1]], late_rank[at[i] : at[i + 1]]
                 if l.any():
-                    g = np.concatenate([g[~l], g[l]])
+                    g = g[np.argsort(l, kind="stable")]
                 keys.append(g[: whole[i]])
-                flag = np.full(whole[i], codes[i] << 1, dtype=np.uint8)
-                flag[: own[i]] |= 1
-                flags.append(flag)
-                counts.append(whole[i])
-                docs_of.append(ids[i])
+                taken.append(i)
             if keys:
-                held.append((mix64(np.concatenate(keys)), np.repeat(np.array(docs_of, dtype=np.int64), counts), np.concatenate(flags)))
+                count = whole[taken]
+                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                size_of = np.repeat(n[taken], count)
+                reach = (5 * size_of - 9 * place) // 4
+                held.append((mix64(np.concatenate(keys)), np.repeat(ids[taken], count), _size_code(size_of), _size_code(reach)))
                 size += len(held[-1][0])
             if size >= FLUSH_KEYS:
                 yield flush()
@@ -161,8 +167,30 @@ def _scan(docs: DataFrame, hot: np.ndarray, n_buckets: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n long, f1 long, f2 long, sig binary, bucket int, blob binary")
 
 
+def _bands(group: np.ndarray, doc: np.ndarray, size: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(band, doc) of the documents of each key that have a partner, where two are partners if each reaches the other's size."""
+    none = np.zeros(0, np.int64)
+    if len(group) == 0:
+        return none, none
+    order = np.lexsort((doc, size, group))
+    group, doc, size, reach = group[order], doc[order], size[order], reach[order]
+    line = group << 16  # the keys one after the other on one line
+    top = np.maximum.accumulate(line + reach)
+    last = np.searchsorted(line + size, line + np.minimum(size, reach), side="right") - 1
+    partner = (last >= 0) & (top[last] >= line + size)  # the smaller of two partners reaches the larger one's size, and its own
+    group, doc, size, reach, line = group[partner], doc[partner], size[partner], reach[partner], line[partner]
+    if len(group) == 0:
+        return none, none
+    top = np.maximum.accumulate(line + reach)
+    cut = np.concatenate([[True], (line + size)[1:] > top[:-1]])
+    band = np.cumsum(cut) - 1
+    counts = np.diff(np.append(np.flatnonzero(cut), len(band)))
+    some = np.repeat(counts > 1, counts)
+    return band[some], doc[some]
+
+
 def _groups(blobs: DataFrame, n_buckets: int) -> DataFrame:
-    """(t1, t2, docs, a, b): the documents of a key's tile, or candidate edges a - b of a key of very many documents.
+    """(t1, t2, docs, a, b): the documents of a band's tile, or candidate edges a - b of a band of very many documents.
 
     Near copies share most of their keys, so the same documents meet again and again: a tile is named by a 128-bit hash of
     its documents, by which repetitions are dropped.
@@ -173,29 +201,21 @@ def _groups(blobs: DataFrame, n_buckets: int) -> DataFrame:
         bucket, parts = read_blobs(batches)
         if not parts:
             return
-        key, doc, code = unpack(parts, ["<u4", "<i8", "u1"])
+        key, doc, size, reach = unpack(parts, ["<u4", "<i8", "<u2", "<u2"])
         del parts
         order = np.argsort(key, kind="stable")
-        key, doc, code = key[order], doc[order], code[order]
+        key, doc, size, reach = key[order], doc[order], size[order], reach[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         counts = np.diff(np.append(np.flatnonzero(new), len(key)))
         many = np.repeat(counts > 1, counts)
-        key, doc, code = key[many], doc[many], code[many]
-        if len(key) == 0:
-            return
-        order = np.lexsort((doc, code >> 1, key))
-        key, doc, band, own = key[order], doc[order], (code[order] >> 1).astype(np.int16), (code[order] & 1).astype(bool)
-        same = key[1:] == key[:-1]
-        near = same & (band[1:] - band[:-1] <= 3)
-        keep = np.concatenate([near, [False]]) | np.concatenate([[False], near])
-        key, doc, own = key[keep], doc[keep], own[keep]
+        group, doc, size, reach = (np.cumsum(new) - 1)[many], doc[many], size[many].astype(np.int64), reach[many].astype(np.int64)
+        key, doc = _bands(group, doc, size, reach)
         if len(key) == 0:
             return
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         counts = np.diff(np.append(starts, len(key)))
-        some = np.logical_or.reduceat(own, starts)
         big = counts > TILE
-        kept = np.flatnonzero(some & ~big)
+        kept = np.flatnonzero(~big)
         with np.errstate(over="ignore"):
             t1 = np.add.reduceat(mix64(doc.astype(np.uint64)), starts)[kept]
             t2 = np.add.reduceat(mix64(doc.astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)), starts)[kept]

@@ -72,3 +72,51 @@ def test_drop_copies_keeps_one_of_each_class(docs, edge):
 def test_empty_and_null_tables(docs):
     assert ngram_join.jaccard_classes(docs([(1, "a")]).where("false")).count() == 0
     assert [tuple(r) for r in ngram_join.jaccard_classes(docs([(3, None)])).collect()] == [(3, 0, 3)]
+
+
+def _counted(monkeypatch):
+    """Counts the set rows that are sent to verification."""
+    from rulewright.llm._store import settle
+
+    sent, real = [], ngram_join._verify
+
+    def verify(rows, parts, known=False):
+        rows = settle(rows, "counted")
+        sent.append(rows.count())
+        return real(rows, parts, known)
+
+    monkeypatch.setattr(ngram_join, "_verify", verify)
+    return sent
+
+
+@pytest.mark.parametrize("own", [4, 9])
+def test_pages_of_one_template_are_not_compared(spark, monkeypatch, own):
+    """2,000 pages share 22 words and differ in the others, too much to link; the frequent grams come last, so no page meets another."""
+    rnd = random.Random(1)
+    shared = [f"t{i}" for i in range(22)]
+    data = [(i, " ".join(shared + [f"o{rnd.randrange(10**9)}" for _ in range(own)])) for i in range(2000)]
+    sent = _counted(monkeypatch)
+    got = ngram_join.jaccard_classes(spark.createDataFrame(data, "doc_id long, text string").repartition(8))
+    assert got.where("doc_id = component_id").count() == 2000
+    assert sum(sent) <= 200
+
+
+def test_chain_of_near_copies(spark):
+    """Each text links with the next one only; the chain is one class."""
+    words = [f"w{i}" for i in range(1060)]
+    data = [(i + 3, " ".join(words[2 * i : 2 * i + 60])) for i in range(500)]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(data, "doc_id long, text string").repartition(8)).collect()
+    assert {r["component_id"] for r in got} == {3} and {r["n_shingles"] for r in got} == {56}
+    assert {d: (r, c) for d, r, c in got} == brute(data)
+
+
+def test_long_texts_null_ids_and_clashing_columns(spark):
+    """Texts of a megabyte link like others; rows without an id are left out; columns named like the result's are ignored."""
+    rnd = random.Random(9)
+    long = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(140_000))
+    data = [(1, long), (2, long + " one more word"), (3, None), (None, long), (None, None), (4, long[: len(long) // 2])]
+    df = spark.createDataFrame([(i, t, 0, 7) for i, t in data], "doc_id long, text string, n_shingles long, component_id long")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_classes(df).collect()}
+    assert got == brute([r for r in data if r[0] is not None])
+    kept = ngram_join.drop_copies(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 1, 3, 4]
