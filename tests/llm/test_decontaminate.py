@@ -79,3 +79,53 @@ def test_short_items_get_the_whole_budget():
                 raw = text.encode()
                 points, offsets = code_points(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
                 assert {table.ids[i] for _, i, *_ in table.regions(points, offsets)} == {i for i, t in items if least_edits(t, text) <= 8 * i // 100}
+
+
+def test_items_of_one_template(monkeypatch):
+    """Items and texts share an opening that alone meets the bound of the lemma: nothing leaks, and it takes no alignment for each pair."""
+    import time
+
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvw ") for _ in range(n))
+    opening = word(22)
+    items = [(i, opening + word(61)) for i in range(60)]
+    table = Items(items)
+    texts = [opening + word(61) for _ in range(500)] + [word(30) + edited(rnd, items[7][1], 5) + word(9)]
+    raw = [t.encode() for t in texts]
+    points, offsets = code_points(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    began = time.perf_counter()
+    found = table.regions(points, offsets)
+    assert {(r, i) for r, i, *_ in found} == {(500, 7)}
+    assert time.perf_counter() - began < 5
+
+
+def test_common_grams_and_pieces_lose_nothing(monkeypatch):
+    """Near-identical items: most grams are common, the counts come in small pieces, and every leak is still found."""
+    from rulewright.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "COMMON", 3)
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    monkeypatch.setattr(decontaminate, "ALIGN_CELLS", 200)
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdef ghi") for _ in range(n))
+    base = word(70)
+    items = [(i, edited(rnd, base, rnd.randint(0, 12))) for i in range(25)] + [(30 + i, word(40)) for i in range(5)]
+    table = Items(items)
+    texts = [word(20) + edited(rnd, rnd.choice(items)[1], rnd.randint(0, 6)) + word(20) for _ in range(30)]
+    raw = [t.encode() for t in texts]
+    points, offsets = code_points(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    found = table.regions(points, offsets)
+    assert {(r, i) for r, i, *_ in found} == {(r, k) for r, t in enumerate(texts) for k, (_, item) in enumerate(items) if least_edits(item, t) <= int(0.08 * len(item))}
+
+
+def test_long_texts_null_ids_and_clashing_columns(spark):
+    rnd = random.Random(6)
+    item = "The quick survey of every benchmark passage asks whether it was seen before, and where."
+    long = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(140_000))
+    rows = [(1, long[:600_000] + item + long[600_000:]), (2, long), (None, item), (3, None), (4, item), (4, item)]
+    df = spark.createDataFrame([(i, t, 5, 6) for i, t in rows], "doc_id long, text string, item_id long, edits long")
+    bench = spark.createDataFrame([(9, item, 0), (None, item, 0)], "item_id long, text string, doc_id long")
+    got = sorted((r["doc_id"], r["item_id"], r["region_start"], r["region_end"], r["edits"]) for r in find_leaks(df, bench).collect())
+    assert got == [(1, 9, 600_000, 600_000 + len(item), 0), (4, 9, 0, len(item), 0), (4, 9, 0, len(item), 0)]
+    kept = drop_leaks(df, bench)
+    assert kept.columns == df.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [2, 3]
