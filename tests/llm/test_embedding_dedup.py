@@ -37,3 +37,29 @@ def test_matches_brute_force(spark, monkeypatch, block):
 
 def test_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("centres", [8192, 3])
+def test_pairs_near_the_threshold_and_several_passes(spark, monkeypatch, centres):
+    """Vectors around one direction whose cosines lie at 0.9, so that most pairs need full precision; lengths beyond LENGTHS."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 30)
+    monkeypatch.setattr(embedding_dedup, "CENTRES", centres)
+    monkeypatch.setattr(embedding_dedup, "LENGTHS", 1)
+    rnd = np.random.default_rng(3)
+    base = rnd.normal(size=24)
+    rows = []
+    for i in range(150):
+        v = rnd.normal(size=24)
+        v -= v @ base / (base @ base) * base
+        rows.append((i, [float(x) for x in base / np.sqrt(base @ base) + v / np.sqrt(v @ v) * np.sqrt(1 / 0.9 - 1) * rnd.uniform(0.98, 1.02)]))
+    rows += [(500 + i, [float(x) for x in rnd.normal(size=3)]) for i in range(60)] + [(700, rows[0][1]), (701, rows[0][1]), (702, [2 * x for x in rows[0][1]])]
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "vec_id long, embedding array<double>").withColumn("tile", F.lit("t")).withColumn("links", F.lit(2)).repartition(4)
+    assert {r[0]: tuple(r)[1:] for r in embedding_dedup.near_duplicates(df).collect()} == brute(rows)
+
+
+def test_very_long_vectors(spark):
+    rnd = np.random.default_rng(4)
+    base = rnd.normal(size=20_000)
+    rows = [(i, [float(x) for x in base + rnd.normal(size=20_000) * s]) for i, s in enumerate([0, 0.3, 0.34, 0.5, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r[0]: tuple(r)[1:] for r in embedding_dedup.near_duplicates(df).collect()} == brute(rows)
