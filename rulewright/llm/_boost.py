@@ -120,12 +120,19 @@ class Boosted:
         return " + ".join([f"{self.base:.9e}D", *(f"({node(t, 0)})" for t in self.fitted)])
 
 
+RISE = 0.02
+
+
 @dataclass
 class Isotonic:
-    """A non-decreasing step function from margins to probabilities (pool adjacent violators), linear between its steps."""
+    """A rising function from margins to probabilities: steps by pool adjacent violators, linear between them.
+
+    A step itself rises by RISE of the way to its neighbours (0 and 1 at the ends), so margins of one step stay in order.
+    """
 
     x: np.ndarray = field(default_factory=lambda: np.array([0.0]))
     y: np.ndarray = field(default_factory=lambda: np.array([0.5]))
+    steps: tuple[np.ndarray, np.ndarray] = ()
 
     def fit(self, margin: np.ndarray, y: np.ndarray, prior: float = 1.0) -> Isotonic:
         """prior: pseudo-observations of the overall rate's odds added at either end, so no probability is exactly 0 or 1."""
@@ -144,8 +151,16 @@ class Isotonic:
                 last = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
         self.x = np.array([x for k in blocks for x in k[2:]])
-        self.y = np.clip(np.repeat([k[0] / k[1] for k in blocks], 2), 1e-4, 1 - 1e-4)
+        rate = np.clip([k[0] / k[1] for k in blocks], 1e-4, 1 - 1e-4)
+        gap = RISE * np.diff(np.concatenate([[0.0], rate, [1.0]]))
+        self.y = np.stack([rate - gap[:-1], rate + gap[1:]], axis=1).ravel()
+        self.steps = np.array([k[2] for k in blocks]), rate
         return self
 
+    def least(self, probability: float) -> float:
+        """Where the first step begins that has this probability, or the highest one where none has."""
+        x, rate = self.steps
+        return float(x[np.argmax(rate >= min(probability, rate.max()))])
+
     def __call__(self, margin: np.ndarray) -> np.ndarray:
         return np.interp(margin, self.x, self.y)

@@ -2,10 +2,12 @@
 
 High-recall generators (regular expressions) propose spans, which may overlap. Each candidate gets features of its format
 (digits, letters, separators, grouping, check digits) and its context (cue words before it, characters around it); boosted
-trees, written out as SQL CASE expressions, score it, and a threshold calibrated for precision selects it. The trees are
-fitted on the driver to seeded synthetic sentences whose spans are known, by the very expressions that score documents.
+trees, written out as SQL CASE expressions, score it, and thresholds calibrated for precision, one for each kind, select it.
+The trees are fitted on the driver to seeded synthetic sentences whose spans are known, by the very expressions that score
+documents.
 
-Base spans are found by fixed patterns and always stay; the trees decide about all others. Spans count code points, end
+Base spans are found by fixed patterns and always stay; the trees decide about all others. Of two candidates that overlap the
+one further above its threshold stays. Spans count code points, end
 exclusive. Null and empty texts have no spans. Repeated rows give repeated results; other columns pass through, and output
 names that clash with theirs raise a ValueError.
 """
@@ -172,14 +174,14 @@ def _synthetic(n: int, seed: int) -> list[tuple[str, int, int]]:
     return rows
 
 
-_models: dict[tuple, tuple[str, float]] = {}
+_models: dict[tuple, tuple[str, dict[str, float]]] = {}
 
 
-def fit(spark: SparkSession, n: int = 4000, seed: int = 7, precision: float = 0.99) -> tuple[str, float]:
-    """(SQL of the margin, least margin that is selected), from n synthetic sentences.
+def fit(spark: SparkSession, n: int = 8000, seed: int = 7, precision: float = 0.99) -> tuple[str, dict[str, float]]:
+    """(SQL of the margin, least margin that is selected for each kind), from n synthetic sentences.
 
-    Three quarters fit the trees; on the rest isotonic calibration gives probabilities, and the threshold is the least
-    margin from which on the calibrated probability is at least precision.
+    Three quarters fit the trees; on the rest isotonic calibration of each kind gives probabilities, and its threshold is
+    the least margin from which on the calibrated probability is at least precision.
     """
     key = (n, seed, precision)
     if key not in _models:
@@ -189,13 +191,15 @@ def fit(spark: SparkSession, n: int = 4000, seed: int = 7, precision: float = 0.
         x = np.array([[r[f] for f in FEATURES] for r in found], dtype=float)
         # A candidate is right if it is the planted span, give or take white space at its ends.
         y = np.array([r["a"] >= 0 and abs(r["s"] - r["a"]) <= 1 and abs(r["e"] - r["b"]) <= 1 for r in found], dtype=float)
+        kind = np.array([r["kind"] for r in found])
         apart = np.array([r["i"] % 4 == 0 for r in found])
         model = Boosted(trees=40, depth=3, rate=0.3, bins=24).fit(x[~apart], y[~apart])
-        margin = model.margin(x[apart])
-        calibrated = Isotonic().fit(margin, y[apart])
-        grid = np.sort(margin)
-        good = grid[calibrated(grid) >= min(precision, calibrated.y.max())]
-        _models[key] = (model.sql([f"c.{f}" for f in FEATURES]), float(good[0]) if len(good) else float("inf"))
+        least = {}
+        for k in KINDS:
+            own = apart & (kind == k)
+            margin = model.margin(x[own])
+            least[k] = Isotonic().fit(margin, y[own]).least(precision) if len(margin) else float("inf")
+        _models[key] = (model.sql([f"c.{f}" for f in FEATURES]), least)
     return _models[key]
 
 
@@ -207,12 +211,16 @@ def find_spans(df: DataFrame, text: str = "text", base: str = "base_spans", span
     found = ", ".join(f"transform(filter({_spans('__text', BASE[k], NEEDS[k], k)}, x -> {_BASE_TEST[k]}), x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))" for k in BASE)
     out = df.withColumn("__text", F.coalesce(df[text], F.lit("")))
     out = out.withColumn("__b", F.expr(f"concat({found})"))
-    chosen = f"""transform(filter({_candidates('__text')}, c -> ({margin}) >= {least:.9e}D AND NOT exists(__b, b -> b.s < c.e AND c.s < b.e)),
-        c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind))"""
-    # Of overlapping candidates the first and longest stays.
+    above = " ".join(f"WHEN '{k}' THEN {v:.9e}D" for k, v in least.items() if np.isfinite(v))
+    scored = f"transform({_candidates('__text')}, c -> named_struct('s', c.s, 'e', c.e, 'kind', c.kind, 'above', ({margin}) - (CASE c.kind {above} END)))"
+    chosen = f"filter({scored}, c -> c.above >= 0 AND NOT exists(__b, b -> b.s < c.e AND c.s < b.e))"
     sorted_ = f"array_sort({chosen}, (p, q) -> CASE WHEN p.s <> q.s THEN p.s - q.s ELSE q.e - p.e END)"
-    kept = f"""aggregate({sorted_}, named_struct('e', 0, 'o', CAST(array() AS ARRAY<STRUCT<kind: STRING, s: INT, e: INT>>)),
-        (a, c) -> IF(c.s >= a.e, named_struct('e', c.e, 'o', concat(a.o, array(named_struct('kind', c.kind, 's', c.s, 'e', c.e)))), a), a -> a.o)"""
+    # One candidate waits until the next one does not overlap it; of two that overlap the one further above its threshold waits on.
+    none = "named_struct('s', 0, 'e', 0, 'kind', '', 'above', -1D)"
+    plain = "named_struct('kind', {0}.kind, 's', {0}.s, 'e', {0}.e)"
+    kept = f"""aggregate({sorted_}, named_struct('w', {none}, 'o', CAST(array() AS ARRAY<STRUCT<kind: STRING, s: INT, e: INT>>)),
+        (a, c) -> IF(c.s >= a.w.e, named_struct('w', c, 'o', IF(a.w.e > 0, concat(a.o, array({plain.format('a.w')})), a.o)), IF(c.above > a.w.above, named_struct('w', c, 'o', a.o), a)),
+        a -> IF(a.w.e > 0, concat(a.o, array({plain.format('a.w')})), a.o))"""
     gate = F.expr(" OR ".join(f"__text RLIKE {_quote(needs)}" for needs in dict.fromkeys(v[1] for v in GENERATORS.values())))
     out = out.withColumn("__x", F.when(gate, F.expr(kept)).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<kind: STRING, s: INT, e: INT>>)")))
     order = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))

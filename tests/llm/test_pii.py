@@ -46,3 +46,40 @@ def test_redact(docs, edge):
     assert out[1] == "a [EMAIL] x [PHONE]." and out[2] == "[IP]"
     assert {d: out[d] for d, _ in edge} == dict(edge)
     assert pii.redact(docs(edge).where("false")).count() == 0
+
+
+#: Sentences in other words than those the trees are fitted to, with the spans that are personal data.
+UNSEEN = [
+    ("Please write to maria.k (at) example (dot) org about it", "maria.k (at) example (dot) org"),
+    ("reach him under jan at posteo dot de today", "jan at posteo dot de"),
+    ("Tel: (212) 555-0187", "(212) 555-0187"),
+    ("my mobile is 646-555-0123, evenings", "646-555-0123"),
+    ("social security 219-09-9999 was on the form", "219-09-9999"),
+    ("transfer to IBAN DE89 3704 0044 0532 0130 00 please", "DE89 3704 0044 0532 0130 00"),
+    ("host 2001:0db8:0000:0000:0000:ff00:0042:8329 refused", "2001:0db8:0000:0000:0000:ff00:0042:8329"),
+    ("paid with amex 3782 822463 10005", "3782 822463 10005"),
+    ("The meeting at noon. Then we left", None),
+    ("invoice 2041 3390 1123 is due", None),
+    ("version 212.555 0187 of the tool", None),
+    ("chapter 3 at page 12.4 ends", None),
+    ("order 4412-8890-1203 was shipped", None),
+    ("the years 1998-2004 200", None),
+]
+
+
+def test_recall_and_precision_on_other_sentences(docs):
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(docs([(i, t) for i, (t, _) in enumerate(UNSEEN)]), ["doc_id"]).collect()}
+    found = missed = wrong = 0
+    for i, (text, want) in enumerate(UNSEEN):
+        spans = {text[int(s) : int(e)].strip() for _, s, e in (x.split(":") for x in got[i].split(",") if x)}
+        found += want in spans
+        missed += want is not None and want not in spans
+        wrong += len(spans - {want})
+    assert found >= 7 and missed <= 1 and wrong <= 1, got
+
+
+def test_clashing_columns_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "a@b.de", "x", 1), (2, None, "y", 2), (2, "a@b.de", "z", 3)], "doc_id long, text string, spans string, n_email int")
+    rows = pii.digest(df.select("doc_id", "text"), ["doc_id"]).collect()
+    assert sorted((r["doc_id"] or 0, r["n_email"], r["spans"]) for r in rows) == [(0, 1, "email:0:6"), (2, 0, ""), (2, 1, "email:0:6")]
+    assert sorted(r["text"] or "" for r in pii.redact(df).collect()) == ["", "[EMAIL]", "[EMAIL]"]
