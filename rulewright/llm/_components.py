@@ -64,11 +64,10 @@ def _roots(e: DataFrame) -> DataFrame:
     choice = settle(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")), "choice")
     of = choice.select(F.col("v").alias("p"), F.col("p").alias("pp"))
     mutual = (F.col("pp") == F.col("v")) & (F.col("v") < F.col("p"))
-    hook = settle(choice.join(of, "p").select("v", F.when(mutual, F.col("v")).otherwise(F.col("p")).alias("p")), "hook")
-    discard(choice)
+    hook = choice.join(of, "p").select("v", F.when(mutual, F.col("v")).otherwise(F.col("p")).alias("p"))
     while True:
-        settled = settle(_doubled(_doubled(hook)), "hook")
-        discard(hook)
+        settled = settle(_doubled(hook), "hook")
+        discard(choice, hook)
         hook = settled
         if settled.where("moved").isEmpty():
             return hook

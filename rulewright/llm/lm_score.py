@@ -1,19 +1,22 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background n-gram model over the same vocabulary (the 256 byte values of UTF-8) are counted from all texts of
-the target table and all documents. They are matched: same orders (1 to 5), same smoothing, and background counts scaled to
-the target's number of tokens, so that neither profits from its size. A token's probability interpolates its orders,
-p_k = (c(w_1..w_k) + BETA p_{k-1}) / (c(w_1..w_{k-1}) + BETA), from p_1 = (c + ALPHA) / (N + 256 ALPHA). Each document gets
-its mean loss in nats per token under both models and the difference target - background: lower is closer to the target.
-
-All orders are counted exactly: a window is its own key (its bytes below its order), so windows never share an entry and the
-tables grow with the corpus. They lie in buckets of the shared folder and are not broadcast. Documents are packed into
-chunks; a chunk sends its distinct windows to their buckets and gets both counts back, then its tokens are looked up
-in the chunk's own windows. Windows never cross texts; the first tokens of a text use the orders that fit. Case and white
-space are kept.
-
-Null and empty texts have no tokens and null losses. An empty target or background is the uniform model. Repeated rows count
-each time; output names that clash with those kept raise a ValueError.
+A target and a background n-gram model over one vocabulary, all words `[^\\x20\\x09-\\x0D]+` of the target table and of all
+documents, are counted from whole texts. They are matched: same orders (1 to 3 words), same smoothing, and background counts
+scaled to the target's number of tokens, so that neither profits from its size. A document is left out of the background
+that scores it: its own counts are taken off. A token's probability interpolates its orders,
+p_k = (c(w_1..w_k) + BETA p_{k-1}) / (c(w_1..w_{k-1}) + BETA), from p_1 = (c + ALPHA) / (N + (V + 1) ALPHA) with V words in the
+vocabulary. Each document gets its mean loss in nats per token under both models and the difference target - background:
+lower is closer to the target.
+
+All n-grams are counted, none is dropped or merged on purpose: an n-gram is a 64-bit hash that tells its order, so the tables
+grow with the corpus (two of 10 million n-grams share a hash with a probability of about 1 in 100,000). They lie in buckets
+of the shared folder and are not broadcast. Documents are packed into chunks; a chunk sends its distinct n-grams to their
+buckets and gets both counts back, then its tokens are looked up in the chunk's own n-grams. N-grams never cross texts; the
+first tokens of a text use the orders that fit. Case is kept.
+
+Null, empty and blank texts have no tokens and null losses. An empty target or background is the uniform model. Repeated rows
+count each time, so a text that occurs twice is well known to the background. Very long texts are taken whole, a slice of
+documents at a time. Other columns are not read; output names that clash with those kept raise a ValueError.
 """
 
 from __future__ import annotations
@@ -30,27 +33,28 @@ from pyspark.sql import types as T
 from rulewright.llm._blobs import buckets_of, by_bucket, pack, read_blobs, unpack
 from rulewright.llm._memory import tidy
 from rulewright.llm._store import settle, shuffle_partitions
-from rulewright.llm._text import SLICE_BYTES, mix64, reduce_rows, slices, utf8
-
-ORDER, ALPHA, BETA = 5, 0.5, 4.0
-#: A chunk of documents ends at so many bytes of text or distinct windows; a counting task sends its counts at so many windows.
-CHUNK_BYTES, CHUNK_WINDOWS, HELD_WINDOWS = 8 << 20, 1 << 21, 1 << 21
-_MASK = [np.uint64((1 << 8 * k) - 1) for k in range(ORDER + 1)]
-_TAG = [np.uint64(k << 40) for k in range(ORDER + 2)]
-
-
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The last ORDER bytes up to each byte as an integer, and how many of them lie inside its text (ORDER at most)."""
-    n = len(data)
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(min(ORDER, n)):
-        key[j:] |= data[: n - j].astype(np.uint64) << np.uint64(8 * j)
-    fit_ = np.full(n, ORDER, dtype=np.int8)
-    first, stop = offsets[:-1], offsets[1:]
-    for j in range(ORDER - 1):
-        at = first + j
-        fit_[at[at < stop]] = j + 1
-    return key, fit_
+from rulewright.llm._text import SLICE_BYTES, mix64, reduce_rows, slices, span_hashes, utf8, word_bounds
+
+ORDER, ALPHA, BETA = 3, 0.5, 4.0
+#: A chunk of documents ends at so many bytes of text or distinct n-grams; a counting task sends its counts at so many n-grams.
+CHUNK_BYTES, CHUNK_GRAMS, HELD_GRAMS = 8 << 20, 1 << 21, 1 << 21
+_TAG = np.uint64(3)
+
+
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the key of the n-gram that ends at each token (0 where the text has too few before it), and the n + 1 offsets
+    of the rows in tokens. The lowest bits of a key are its order."""
+    starts, ends, first = word_bounds(data, offsets)
+    h = span_hashes(data, starts, ends)
+    place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+    out, total = [], np.zeros(len(h), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(1, ORDER + 1):
+            factor = mix64(np.array([k], np.uint64))[0] | np.uint64(1)
+            total[k - 1 :] += h[: len(h) - k + 1] * factor
+            key = (mix64(total) & ~_TAG) | np.uint64(k)
+            out.append(np.where(place >= k - 1, key, np.uint64(0)))
+    return out, first
 
 
 def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,15 +68,9 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of all orders, tagged with their order and sorted, and their counts."""
-    key, fit_ = windows(data, offsets)
-    keys, counts = np.unique(key[fit_ == ORDER], return_counts=True)
-    out = [(keys | _TAG[ORDER], counts)]
-    for k in range(ORDER - 1, 0, -1):  # a window of order k ends where one of order k + 1 does, or is a text's k-th byte
-        start = key[fit_ == k] & _MASK[k]
-        keys, counts = add_up(np.concatenate([keys & _MASK[k], start]), np.concatenate([counts, np.ones(len(start), dtype=np.int64)]))
-        out.append((keys | _TAG[k], counts))
-    return tuple(np.concatenate(x) for x in zip(*out[::-1], strict=True))
+    """The n-grams of all orders of a batch, sorted, and their counts."""
+    every = np.concatenate(grams(data, offsets)[0])
+    return np.unique(every[every != 0], return_counts=True)
 
 
 def _packed(columns: list[np.ndarray], n: int) -> list[tuple[int, bytes]]:
@@ -81,7 +79,7 @@ def _packed(columns: list[np.ndarray], n: int) -> list[tuple[int, bytes]]:
 
 
 def count_ngrams(df: DataFrame, buckets: int, text: str = "text") -> DataFrame:
-    """Counts of all windows of all texts: for each bucket, a blob of sorted keys and their counts."""
+    """Counts of all n-grams of all texts: for each bucket, a blob of sorted keys and their counts."""
 
     def work(batches):
         held, size = [], 0
@@ -94,10 +92,10 @@ def count_ngrams(df: DataFrame, buckets: int, text: str = "text") -> DataFrame:
         for batch in slices(batches, "__text"):
             held.append(distinct(*utf8(batch.column(0))))
             size += len(held[-1][0])
-            if size >= HELD_WINDOWS:
+            if size >= HELD_GRAMS:
                 held = [add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                 size = len(held[0][0])
-                if size >= HELD_WINDOWS // 2:
+                if size >= HELD_GRAMS // 2:
                     yield send()
                     held, size = [], 0
         if size:
@@ -114,26 +112,35 @@ def count_ngrams(df: DataFrame, buckets: int, text: str = "text") -> DataFrame:
     return settle(by_bucket(local, buckets).mapInArrow(add, "bucket int, blob binary"), "ngrams")
 
 
-def _tokens(counts: DataFrame) -> int:
-    """Number of tokens counted: the sum of order 1."""
+def _totals(target: DataFrame, background: DataFrame, buckets: int) -> tuple[int, int, int]:
+    """Tokens of either table and words of the shared vocabulary: sums and distinct keys of order 1, bucket by bucket."""
+    both = target.select("bucket", F.lit(0).alias("side"), "blob").union(background.select("bucket", F.lit(1), "blob"))
 
     def work(batches):
+        words, tokens = [], [0, 0]
         for batch in batches:
-            keys, n = unpack(batch.column(1).to_pylist(), ["<u8", "<i8"])
-            yield pa.RecordBatch.from_arrays([pa.array([int(n[keys < _TAG[2]].sum())])], names=["n"])
+            for side, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys, counts = unpack([blob], ["<u8", "<i8"])
+                one = (keys & _TAG) == 1
+                words.append(keys[one])
+                tokens[side] += int(counts[one].sum())
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*tokens, len(np.unique(np.concatenate(words))))], names=["t", "b", "v"])
 
-    return counts.mapInArrow(work, "n long").agg(F.sum("n")).first()[0] or 0
+    got = both.repartitionById(buckets, F.col("bucket")).select("side", "blob").mapInArrow(work, "t long, b long, v long").agg(F.sum("t"), F.sum("b"), F.sum("v")).first()
+    return tuple(x or 0 for x in got)
 
 
 @dataclass
 class Models:
-    """The two models as tables of exact counts, in the same buckets."""
+    """The two models as tables of counts, in the same buckets."""
 
     target: DataFrame
     background: DataFrame
     buckets: int
     n_target: int
     n_background: int
+    vocabulary: int
 
     @property
     def scale(self) -> float:
@@ -143,11 +150,11 @@ class Models:
 def fit(target: DataFrame, background: DataFrame, text: str = "text") -> Models:
     buckets = shuffle_partitions(target.sparkSession)
     a, b = count_ngrams(target, buckets, text), count_ngrams(background, buckets, text)
-    return Models(a, b, buckets, _tokens(a), _tokens(b))
+    return Models(a, b, buckets, *_totals(a, b, buckets))
 
 
 def _chunks(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
-    """(chunk, part, bucket, blob): a chunk's documents (bucket is buckets) and its distinct windows by bucket."""
+    """(chunk, part, bucket, blob): a chunk's documents (bucket is buckets) and its distinct n-grams by bucket."""
 
     def work(batches):
         task, serial, sink, writer, held, size, windows_ = TaskContext.get().partitionId(), 0, None, None, [], 0, 0
@@ -168,10 +175,10 @@ def _chunks(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
             data, offsets = utf8(batch.column(batch.num_columns - 1))
             held.append(distinct(data, offsets)[0])
             size, windows_ = size + len(data), windows_ + len(held[-1])
-            if windows_ >= CHUNK_WINDOWS:
+            if windows_ >= CHUNK_GRAMS:
                 held = [np.unique(np.concatenate(held))]
                 windows_ = len(held[0])
-            if size >= chunk_bytes or windows_ >= CHUNK_WINDOWS // 2:
+            if size >= chunk_bytes or windows_ >= CHUNK_GRAMS // 2:
                 yield send()
                 serial, writer, held, size, windows_ = serial + 1, None, [], 0, 0
         if writer is not None:
@@ -181,7 +188,7 @@ def _chunks(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
 
 
 def _answers(chunks: DataFrame, models: Models) -> DataFrame:
-    """Both counts of each chunk's windows, in the form of chunks."""
+    """Both counts of each chunk's n-grams, in the form of chunks."""
 
     def work(batches):
         tables, asked = {-2: [], -1: []}, []
@@ -215,34 +222,40 @@ def _answers(chunks: DataFrame, models: Models) -> DataFrame:
 
 
 class Losses:
-    """The loss of a token under either model, for each window of a chunk."""
+    """Losses of the tokens of a chunk's documents, from both counts of the chunk's n-grams."""
 
-    def __init__(self, keys: np.ndarray, target: np.ndarray, background: np.ndarray, n_target: int, scale: float, n_background: int):
+    def __init__(self, keys: np.ndarray, target: np.ndarray, background: np.ndarray, models: tuple[int, int, int, float]):
         order = np.argsort(keys)
-        keys, counts = keys[order], (target[order].astype(np.float64), background[order] * scale)
-        edges = np.searchsorted(keys, _TAG[1:])
-        self.keys = [keys[a:b] & _MASK[ORDER] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.losses = [[], []]
-        for out, count, total in zip(self.losses, counts, (float(n_target), n_background * scale), strict=True):
-            own = [count[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            p = (own[0] + ALPHA) / (total + 256 * ALPHA)
-            out.append(-np.log(p))
-            for k in range(1, ORDER):
-                shorter = np.searchsorted(self.keys[k - 1], self.keys[k] & _MASK[k])
-                context = own[k - 1][np.searchsorted(self.keys[k - 1], self.keys[k] >> np.uint64(8))]
-                p = (own[k] + BETA * p[shorter]) / (np.maximum(context, own[k]) + BETA)
-                out.append(-np.log(p))
-
-    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of the losses of each text under either model."""
-        key, fit_ = windows(data, offsets)
-        out = np.zeros((2, len(data)))
-        for k in range(1, ORDER + 1):
-            at = np.flatnonzero(fit_ == k)
-            i = np.searchsorted(self.keys[k - 1], key[at] & _MASK[k])
-            for m in (0, 1):
-                out[m, at] = self.losses[m][k - 1][i]
-        return reduce_rows(np.add, out[0], offsets, 0.0), reduce_rows(np.add, out[1], offsets, 0.0)
+        self.keys, self.target, self.background = keys[order], target[order], background[order]
+        self.n_target, self.n_background, self.vocabulary, self.scale = models
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens and sums of the losses of each text under either model."""
+        every, first = grams(data, offsets)
+        n = np.diff(first)
+        row = np.repeat(np.arange(len(n)), n)
+        t, b = [], []
+        for key in every:
+            at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            if len(key) == 0:
+                t.append(np.zeros(0))
+                b.append(np.zeros(0))
+                continue
+            # The document's own occurrences are taken off; tokens without an n-gram of this order count for nothing.
+            known = key != 0
+            _, where, own = np.unique(row * (len(self.keys) + 1) + np.where(known, at + 1, 0), return_inverse=True, return_counts=True)
+            t.append(np.where(known, self.target[at], 0).astype(np.float64))
+            b.append(np.where(known, np.maximum(self.background[at] - own[where], 0) * self.scale, 0.0))
+        rest = np.maximum(self.n_background - n, 0) * self.scale
+        return n, self._loss(every, t, np.full(len(row), float(self.n_target)), first), self._loss(every, b, rest[row], first)
+
+    def _loss(self, every: list[np.ndarray], counts: list[np.ndarray], total: np.ndarray, first: np.ndarray) -> np.ndarray:
+        p = (counts[0] + ALPHA) / (total + (self.vocabulary + 1) * ALPHA)
+        for k in range(1, ORDER):
+            fits = np.flatnonzero(every[k])
+            own, context = counts[k][fits], counts[k - 1][fits - 1]
+            p[fits] = (own + BETA * p[fits]) / (np.maximum(context, own) + BETA)
+        return reduce_rows(np.add, -np.log(p), first, 0.0)
 
 
 def score(docs: DataFrame, models: Models, keep: list[str], text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -251,7 +264,7 @@ def score(docs: DataFrame, models: Models, keep: list[str], text: str = "text",
     if clash := set(names) & set(keep):
         raise ValueError(f"columns {sorted(clash)} exist already")
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names[1:]]])
-    n, totals = models.buckets, (models.n_target, models.scale, models.n_background)
+    n, totals = models.buckets, (models.n_target, models.n_background, models.vocabulary, models.scale)
 
     def work(batches):
         held = []
@@ -260,17 +273,15 @@ def score(docs: DataFrame, models: Models, keep: list[str], text: str = "text",
                 if bucket < n:
                     held.append(blob)
                     continue
-                losses, held = Losses(*unpack(held, ["<u8", "<i8", "<i8"]), *totals), []
+                losses, held = Losses(*unpack(held, ["<u8", "<i8", "<i8"]), totals), []
                 for own in pa.ipc.open_stream(blob):
-                    data, offsets = utf8(own.column(len(keep)))
-                    count = np.diff(offsets)
-                    target, background = losses.of(data, offsets)
+                    count, target, background = losses.of(*utf8(own.column(len(keep))))
                     mean = lambda x: pa.array(x / np.maximum(count, 1), mask=count == 0)  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], pa.array(count), mean(target), mean(background), mean(target - background)], names=[*keep, *names])
         tidy()
 
     chunks = _chunks(docs.select(*[docs[c] for c in keep], docs[text].alias("__text")), n, chunk_bytes)
     rows = chunks.where(F.col("bucket") == n).unionByName(_answers(chunks, models))
-    # A chunk's documents come behind the counts of its windows.
+    # A chunk's documents come behind the counts of its n-grams.
     dealt = rows.repartitionById(n, F.col("part")).sortWithinPartitions("chunk", "bucket")
     return dealt.select("bucket", "blob").mapInArrow(work, schema)

@@ -1,68 +1,95 @@
 import math
 import random
+import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from rulewright.llm import lm_score as L
 
 
-def counts(rows):
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def counts(texts):
     c = Counter()
-    for _, t in rows:
-        b = (t or "").encode()
-        for i in range(len(b)):
-            for k in range(1, 6):
+    for t in texts:
+        w = words(t)
+        for i in range(len(w)):
+            for k in range(1, 4):
                 if i >= k - 1:
-                    c[b[i - k + 1 : i + 1]] += 1
+                    c[tuple(w[i - k + 1 : i + 1])] += 1
     return c
 
 
-def loss(b, c, n, s):
+def loss(w, c, n, v, scale=1.0):
     out = 0
-    for i in range(len(b)):
-        p = (c[b[i : i + 1]] * s + 0.5) / (n * s + 128)
-        for k in range(2, 6):
+    for i in range(len(w)):
+        p = (c[(w[i],)] * scale + 0.5) / (n * scale + 0.5 * (v + 1))
+        for k in (2, 3):
             if i >= k - 1:
-                own, context = c[b[i - k + 1 : i + 1]] * s, c[b[i - k + 1 : i]] * s
+                own, context = c[tuple(w[i - k + 1 : i + 1])] * scale, c[tuple(w[i - k + 1 : i])] * scale
                 p = (own + 4 * p) / (max(context, own) + 4)
         out -= math.log(p)
     return out
 
 
-def test_matches_plain_counts(docs):
-    rnd = random.Random(1)
-    make = lambda n: [(i, "".join(rnd.choice("ab é") for _ in range(rnd.randint(0, 30)))) for i in range(n)] + [(900, None), (901, "")]
-    a, b = make(30), make(50)
-    ca, cb = counts(a), counts(b)
-    na, nb = (sum(v for k, v in c.items() if len(k) == 1) for c in (ca, cb))
-    rows = L.score(docs(b), L.fit(docs(a), docs(b)), ["doc_id", "n"]).collect()
-    assert len(rows) == len(b)
+def check(rows, target, background):
+    """Every row against plain dictionaries; a document's own counts are taken off the background."""
+    ct, cb = counts(t for _, t in target), counts(t for _, t in background)
+    one = lambda c: {k: n for k, n in c.items() if len(k) == 1}
+    nt, nb, v = sum(one(ct).values()), sum(one(cb).values()), len(one(ct).keys() | one(cb).keys())
+    scale = nt / nb if nt and nb else 1.0
+    texts = dict(background)
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
     for r in rows:
-        raw = (dict(b)[r["doc_id"]] or "").encode()
-        assert r["n_tokens"] == len(raw)
-        if not raw:
-            assert r["target_loss"] is None and r["difference"] is None
+        w = words(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(w)
+        if not w:
+            assert r["target_loss"] is None and r["background_loss"] is None and r["difference"] is None
             continue
-        assert abs(r["target_loss"] - loss(raw, ca, na, 1) / len(raw)) < 1e-5
-        assert abs(r["background_loss"] - loss(raw, cb, nb, na / nb) / len(raw)) < 1e-5
+        rest = cb.copy()
+        rest.subtract(counts([texts[r["doc_id"]]]))
+        assert abs(r["target_loss"] - loss(w, ct, nt, v) / len(w)) < 1e-9
+        assert abs(r["background_loss"] - loss(w, rest, nb - len(w), v, scale) / len(w)) < 1e-9
 
 
-def test_empty_models(docs, edge):
-    none = docs(edge).where("false")
-    r = {x["doc_id"]: x for x in L.score(docs(edge), L.fit(none, none), ["doc_id"]).collect()}
-    assert abs(r[9004]["target_loss"] - math.log(256)) < 1e-5 and r[9004]["difference"] == 0
+@pytest.mark.parametrize("chunk", [L.CHUNK_BYTES, 300])
+def test_matches_plain_counts(docs, edge, chunk):
+    rnd = random.Random(1)
+    make = lambda n: [(i, " ".join(rnd.choice(("a", "b", "é", "B", "long")) for _ in range(rnd.randint(0, 30)))) for i in range(n)] + [(900, None), (901, " \t")]
+    target, background = make(30), make(60) + edge
+    check(L.score(docs(background), L.fit(docs(target), docs(background)), ["doc_id", "n"], chunk_bytes=chunk).collect(), target, background)
 
 
-def test_exact_on_a_varied_alphabet(docs):
-    """So many different windows that a table of 2**20 entries would share some of them; documents lie in several chunks."""
+def test_fifty_thousand_random_words(docs):
     rnd = random.Random(2)
-    make = lambda n: [(i, "".join(chr(rnd.randrange(0x400, 0xD000)) for _ in range(rnd.randint(500, 1500)))) for i in range(n)]
-    a, b = make(30), make(40)
-    ca, cb = counts(a), counts(b)
-    assert sum(len(k) == 5 for k in cb) > 100000
-    na, nb = (sum(v for k, v in c.items() if len(k) == 1) for c in (ca, cb))
-    rows = L.score(docs(b), L.fit(docs(a), docs(b)), ["doc_id"], chunk_bytes=10000).collect()
-    assert sorted(r["doc_id"] for r in rows) == list(range(40))
-    for r in rows:
-        raw = b[r["doc_id"]][1].encode()
-        assert abs(r["target_loss"] - loss(raw, ca, na, 1) / len(raw)) < 1e-9
-        assert abs(r["background_loss"] - loss(raw, cb, nb, na / nb) / len(raw)) < 1e-9
+    pool = [f"{rnd.choice('klmnöp')}{rnd.randrange(10**6)}" for _ in range(50_000)]
+    make = lambda n: [(i, " ".join(rnd.choice(pool) for _ in range(rnd.randint(500, 1500)))) for i in range(n)]
+    target, background = make(40), make(60)
+    check(L.score(docs(background), L.fit(docs(target), docs(background)), ["doc_id"], chunk_bytes=100_000).collect(), target, background)
+
+
+def test_texts_that_occur_twice_are_known_to_the_background(docs):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"w{rnd.randrange(5000)}" for _ in range(60))) for i in range(200)]
+    rows += [(1000 + i, t) for i, t in rows[:10]]
+    target = [(0, "w1 w2 w3")]
+    got = {r["doc_id"]: r["background_loss"] for r in L.score(docs(rows), L.fit(docs(target), docs(rows)), ["doc_id"]).collect()}
+    twice = {i for i, _ in rows[:10]} | set(range(1000, 1010))
+    assert max(got[i] for i in twice) < min(v for i, v in got.items() if i not in twice)
+
+
+def test_empty_models_long_texts_and_clashing_columns(docs, edge):
+    none = docs(edge).where("false")
+    r = {x["doc_id"]: x for x in L.score(docs(edge), L.fit(none, none), ["doc_id"]).collect()}
+    assert r[9004]["target_loss"] == r[9004]["background_loss"] and r[9004]["difference"] == 0 and r[9001]["n_tokens"] == 0
+    assert L.score(none, L.fit(none, none), ["doc_id"]).count() == 0
+    rnd = random.Random(4)
+    long = [(1, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(140_000))), (2, None), (3, "w1")]
+    df = docs(long).withColumn("target_loss", F.lit("kept out"))
+    check(L.score(df, L.fit(df, df), ["doc_id"]).collect(), long, long)
+    with pytest.raises(ValueError):
+        L.score(df, L.fit(df, df), ["doc_id", "target_loss"])
