@@ -33,7 +33,10 @@ def tax() -> Problem:
     return Problem(Framework(rules, list(against), against), ["taxable(alice)", "taxable(carol)"], ["taxable(bob)"], ["taxable", "exempt"], ["alice", "bob", "carol"])
 
 
+#: The built-in problems by the ids under which rows are stored.
+BUILTIN = {"nixon_diamond": diamond, "flies": birds, "tax_law": tax}
+
+
 def problems(spark: SparkSession) -> DataFrame:
     """(problem_id, problem JSON) of the built-in problems."""
-    rows = [("diamond", diamond()), ("birds", birds()), ("tax", tax())]
-    return spark.createDataFrame([(n, json.dumps(p.to_dict())) for n, p in rows], "problem_id string, problem string")
+    return spark.createDataFrame([(n, json.dumps(make().to_dict())) for n, make in BUILTIN.items()], "problem_id string, problem string")
