@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 #: Words that are neither a predicate nor a constant of a problem.
 RESERVED = ("not", "dom")
 
+# What an answer text is cleaned of, in this order: code fences with their language, back-ticks, back-slashes at
+# the end of a line, typographic dashes, quotes and spaces, all other non-ASCII characters, and more than one blank line.
+CLEANING = (
+    (r"```[a-zA-Z]*\s*\n?", ""),
+    (r"`", ""),
+    (r"\\\s*\n", "\n"),
+    (r"(?m)\\$", ""),
+    ("[\u2014\u2013]", "-"),
+    ("[\u2018\u2019]", "'"),
+    ("[\u201c\u201d]", '"'),
+    ("\u00a0", " "),
+    (r"[^\x00-\x7F]", ""),
+    (r"\n{3,}", "\n\n"),
+)
+
 
 def predicate(atom: Column) -> Column:
     """Predicate symbol of an atom without a leading `not`; null for an equality or a reserved word."""
@@ -18,14 +33,14 @@ def predicate(atom: Column) -> Column:
 def arguments(atom: Column) -> Column:
     """Argument texts of an atom."""
     inside = F.regexp_extract(atom, r"\(([^()]*)\)", 1)
-    return F.when(inside == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inside, ","), F.trim))
+    return F.when(inside == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inside, ","), lambda x: F.trim(x)))
 
 
 def constants(rule: Column) -> Column:
     """Sorted distinct constants of a rule text: lower-case or numeric arguments, and either side of an equality."""
     args = F.flatten(F.transform(F.regexp_extract_all(rule, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: F.split(x, r"\s*,\s*")))
     sides = F.concat(F.regexp_extract_all(rule, F.lit(r"(\w+)\s*="), F.lit(1)), F.regexp_extract_all(rule, F.lit(r"=\s*(\w+)"), F.lit(1)))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(args, sides), F.trim), lambda x: x.rlike("^[a-z0-9]") & ~x.isin(*RESERVED))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(args, sides), lambda x: F.trim(x)), lambda x: x.rlike("^[a-z0-9]") & ~x.isin(*RESERVED))))
 
 
 def is_intensional(rule: Column) -> Column:
@@ -45,7 +60,7 @@ def clause(head: Column, body: Column) -> Column:
 
 def split_top_level(body: Column) -> Column:
     """Parts between commas outside parentheses."""
-    return F.filter(F.transform(F.split(body, r",(?![^()]*\))"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(body, r",(?![^()]*\))"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def squeeze(atom: Column) -> Column:
@@ -71,7 +86,7 @@ def canonical_body(body: Column) -> Column:
 
 
 def clean_answer(text: Column) -> Column:
-    """Model answer without code fences, back-ticks, typographic dashes and quotes, other non-ASCII characters and blank runs."""
-    out = F.regexp_replace(text, r"(?m)^```\w*\s*$", "")
-    out = F.translate(out, "–—−“”‘’`", "---\"\"''")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\x00-\x7F]", ""), r"[ \t]+", " "))
+    """Answer text after every replacement of CLEANING."""
+    for pattern, new in CLEANING:
+        text = F.regexp_replace(text, pattern, new)
+    return text

@@ -62,6 +62,11 @@ def rewritten(p: Problem, names: dict[str, str]) -> Problem:
     return Problem(fw, [put(a) for a in p.positive], [put(a) for a in p.negative], [put(q) for q in p.learnable], [put(c) for c in p.domain])
 
 
+def renamed_rule(text: str, names: dict[str, str]) -> str:
+    """A rule or atom with every whole word that is a key replaced, all at once."""
+    return re.sub(r"\b[A-Za-z_]\w*\b|\b\d+\b", lambda m: names.get(m[0], m[0]), text)
+
+
 def anonymised(p: Problem) -> tuple[Problem, dict[str, str]]:
     """The problem under generated names, and the names; the inverse map restores it."""
     preds, consts = symbols(p)
