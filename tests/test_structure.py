@@ -1,24 +1,27 @@
 import pytest
+from pyspark.sql import functions as F
 
-from rulewright.operators import corpus, structure
+from rulewright.operators import corpus, scoring, structure
 from rulewright.operators.learner import solve
 from rulewright.operators.trace import render
+from rulewright.sources import jsonl
 from rulewright.sources.builtin import birds, diamond, problems, tax
 
 
 def test_controls_on_builtins():
     for p in (diamond(), birds(), tax()):
         assert structure.four_way(p) and structure.gold_at_maximum(p) and structure.untrainable(p) is None
+        assert scoring.score(p, structure.positives_as_assumptions(p))["error"] == "illformed"
 
 
 def test_counts_and_shapes():
-    c = structure.counts(tax(), solve(tax()))
-    assert c["n_rules"] == 4 and c["defeasible"] and c["intensional"] and c["depth"] == 2
-    assert structure.nesting(solve(birds())) == 1
+    ref = scoring.Reference(tax())
+    c = structure.counts(ref.fw, ref.rules, tax().background)
+    assert c["n_new_rules"] == 4 and c["is_defeasible"] and c["is_intensional"] and c["depth"] == 2
     s = structure.shape(diamond())
     assert s["n_constants"] == 5 and s["n_facts"] == 7 and s["n_rules"] == 4 and s["longest_body"] == 2
-    assert structure.role_facts(render(solve(diamond())["steps"], {})) == [("pacifist", "c"), ("abnormal_quaker", "b")]
-    assert structure.unusable_rules(diamond().background) == []
+    assert structure.role_facts(render(solve(diamond()))) == [("pacifist", "c"), ("abnormal_quaker", "b")]
+    assert structure.unusable_rules(diamond().background) == ["democrat(X) :- person(X), votes_dem(X).", "republican(X) :- person(X), votes_rep(X).", "pacifist(X) :- quaker(X), normal_quaker(X).", "person(X) :- dom(X)."]
 
 
 def test_graded_value_of_the_solved_diamond():
@@ -32,11 +35,18 @@ def test_crisp_against_graded(spark):
     assert {r["crisp"] for r in rows if r["label"] == "pos"} <= {"ALWAYS", "FREE"}
 
 
-def test_corpus_writer_refuses_leaks(spark, tmp_path):
-    built = corpus.splits(corpus.attempts(spark, "t2", 12), {"test": 2, "train": 4})
-    structure.write_corpus(built, f"file://{tmp_path}/c")
-    assert spark.read.json(f"file://{tmp_path}/c").count() == built.count()
-    leak = spark.createDataFrame([("s", "test"), ("s", "train")], "signature string, split string")
+def test_corpus_files(spark, tmp_path):
+    tried = corpus.attempts(spark, ["t2_noise", "t9_reuse"], 6).cache()
+    built = corpus.splits(tried, {"test": 1, "train": 2}, held_out=2).cache()
+    n = structure.write_corpus(built, f"file://{tmp_path}/c", corpus.judged(tried).where("verdict <> 'accepted'"))
+    assert n["problems"] == n["traces"] == built.count() and n["sft_trace"] == n["sft_endpoint"] == built.where("split = 'train'").count() and n["eval"] == n["problems"] - n["sft_trace"]
+    rows = spark.read.json(f"file://{tmp_path}/c/sft_trace.jsonl")
+    assert set(rows.columns) == {"problem_id", "tier", "split", "class", "prompt", "target"}
+    assert structure.constant_answers(rows).count() == rows.select("tier", "class").distinct().count()
+    text = jsonl.manifest(built, corpus.gates(built), tried, jsonl.checksums(spark, f"file://{tmp_path}/c/eval.jsonl")).first()
+    assert '"symbol":"R1"' in text["symbols"] and '"unique_ids":true' in text["gates"] and text["files"].startswith("[")
+    assert "| tier |" in jsonl.report("build", {"tallies": corpus.tallies(tried)}, ["a note"])
+    leak = built.unionByName(built.limit(1).withColumn("split", F.lit("val")).withColumn("problem_id", F.lit("other")))
     with pytest.raises(ValueError):
         structure.write_corpus(leak, f"file://{tmp_path}/d")
 
