@@ -62,3 +62,23 @@ KERNELS: dict[str, tuple[Callable, Callable, Callable]] = {
     "prod-qe": (product, balance_sum, quadratic),
     "min-qe": (minimum, balance_sum, quadratic),
 }
+
+
+def plain(kernel: str, base: float, attacks: list[list[float]], supports: list[list[float]]) -> float:
+    """One update of one argument in plain numbers: sets of strengths of its attackers and supporters."""
+    joint, balance = kernel.split("-")
+    force = lambda sets: [_fold(sorted(xs), lambda x: x) if joint == "prod" else min(xs, default=1.0) for xs in sets]
+    a, s = sorted(force(attacks)), sorted(force(supports))
+    if balance == "dfquad":
+        w = _fold(a, lambda x: 1 - x) - _fold(s, lambda x: 1 - x)
+        return base + base * min(0.0, w) + (1 - base) * max(0.0, w)
+    w = sum(s) - sum(a)
+    h = lambda x: max(0.0, x) ** 2 / (1 + max(0.0, x) ** 2)
+    return base - base * h(-w) + (1 - base) * h(w)
+
+
+def _fold(xs: list[float], of: Callable[[float], float]) -> float:
+    out = 1.0
+    for x in xs:
+        out *= of(x)
+    return out

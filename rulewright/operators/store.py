@@ -9,12 +9,31 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir and read it back (a temporary folder only where it is unset)."""
+    """Write df to the folder in spark.checkpoint.dir and read it back; the table goes when the driver ends, or by discard().
+
+    Unset, a temporary folder is made for a local master; a cluster gets an error, as its machines share no such folder.
+    """
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("rulewright.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rulewright-")
         spark.conf.set("rulewright.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again."""
+    for table in tables:
+        path = getattr(table, "_settled_at", None)
+        if path:
+            spark = table.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
