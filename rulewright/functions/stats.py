@@ -74,10 +74,10 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def exact_interval(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
-    """Clopper-Pearson interval by bisection of the binomial tails."""
+def exact_interval(k: int, n: int, level: float = 0.95) -> tuple[float | None, float | None]:
+    """Clopper-Pearson interval by bisection of the binomial tails; none without observations."""
     if n == 0:
-        return 0.0, 1.0
+        return None, None
     tail = (1 - level) / 2
 
     def solve(above) -> float:
@@ -126,40 +126,46 @@ def hash_index(parts: list[Column], n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long"), n)
 
 
-#: Distinct values up to which a resample needs no join.
-FEW_VALUES = 64
-
-
 def bootstrap_mean(df: DataFrame, value: str, replicates: int = 200, salt: str = "b", digits: int = 4) -> DataFrame:
     """(n, mean, ci_low, ci_high): percentile bootstrap of a mean with md5-indexed resamples.
 
-    Values are numbered in their order; a replicate draws n numbers. Where there are at most FEW_VALUES distinct values (rates,
-    grades), a number is turned into its value by the cumulated counts, so nothing is sorted or joined; otherwise the numbers
-    are a window over the values and the draws a join. The ends are the sorted replicate means at positions floor(0.025 r)
-    and floor(0.975 r) - 1.
+    Values are numbered in their order; a replicate draws n numbers. A number is turned into its value by the cumulated
+    counts of the distinct values: the draws meet the values in a range join on blocks of numbers, and nothing but the
+    distinct values is ever sorted. The ends are the sorted replicate means at positions floor(0.025 r) and
+    floor(0.975 r) - 1.
     """
-    x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
-    few = sorted((r["x"], r["n"]) for r in x.groupBy("x").agg(F.count(F.lit(1)).alias("n")).limit(FEW_VALUES + 1).collect())
     spark = df.sparkSession
-    if 0 < len(few) <= FEW_VALUES:
-        n = sum(c for _, c in few)
-        index, upto, lookup = F.col("i"), 0, None
-        for v, c in few:
-            upto += c
-            lookup = F.when(index < upto, v) if lookup is None else lookup.when(index < upto, v)
-        draws = spark.range(n).select(F.col("id").alias("j")).crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "r")))
-        draws = draws.withColumn("i", hash_index([F.lit(salt), F.col("r"), F.col("j")], F.lit(n))).withColumn("x", lookup)
-        means = draws.groupBy("r").agg(F.avg("x").alias("m"))
-    else:
-        numbered = x.withColumn("i", F.row_number().over(Window.orderBy("x")).cast("long") - 1)
-        total = numbered.agg(F.count(F.lit(1)).alias("n"))
-        draws = numbered.select(F.col("i").alias("j")).crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "r"))).crossJoin(F.broadcast(total))
-        draws = draws.withColumn("i", hash_index([F.lit(salt), F.col("r"), F.col("j")], F.col("n")))
-        means = draws.join(numbered, "i").groupBy("r").agg(F.avg("x").alias("m"))
-    ranked = means.withColumn("k", F.row_number().over(Window.orderBy("m")) - 1)
+    x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    counts = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    total = x.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), digits).alias("mean"))
+    places = running_total(counts, "x", "c").select("x", (F.col("upto") - F.col("c")).alias("lo"), F.col("upto").alias("hi"))
+    n = total.first()["n"]
+    width = max(1, n >> 10)  # numbers of a block, so a value meets few blocks and a draw one
+    blocks = places.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    draws = spark.range(n).select(F.col("id").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    draws = draws.select("r", hash_index([F.lit(salt), F.col("r"), F.col("j")], F.lit(max(n, 1))).alias("i")).groupBy("r", "i").agg(F.count(F.lit(1)).alias("m")).withColumn("b", F.floor(F.col("i") / width))
+    means = draws.join(blocks, "b").where((F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi"))).groupBy("r").agg((F.sum(F.col("x") * F.col("m")) / F.sum("m")).alias("m"))
+    return total.crossJoin(percentile_ends(means, replicates, digits)).select("n", "mean", "ci_low", "ci_high")  # one row each
+
+
+def percentile_ends(means: DataFrame, replicates: int, digits: int) -> DataFrame:
+    """One row: the sorted replicate means m at positions floor(0.025 r) and floor(0.975 r) - 1; there are as many rows as replicates."""
     low, high = int(0.025 * replicates), int(0.975 * replicates) - 1
-    ends = ranked.agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("lo"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("hi"))
-    return x.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), digits).alias("mean")).crossJoin(ends).select("n", "mean", F.round("lo", digits).alias("ci_low"), F.round("hi", digits).alias("ci_high"))
+    ordered = means.agg(F.array_sort(F.collect_list("m")).alias("a"))
+    return ordered.select(F.round(F.get("a", F.lit(low)), digits).alias("ci_low"), F.round(F.get("a", F.lit(high)), digits).alias("ci_high"))
+
+
+def running_total(df: DataFrame, order: str, count: str, out: str = "upto") -> DataFrame:
+    """df with the running total of counts in the order of a column of distinct values.
+
+    The rows are range-partitioned and summed inside their partition; only one total for each partition is added up over all,
+    so no task sees the whole column.
+    """
+    parts = df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
+    inside = parts.withColumn("__in", F.sum(count).over(Window.partitionBy("__p").orderBy(order)))
+    sums = parts.groupBy("__p").agg(F.sum(count).alias("__s"))
+    before = sums.withColumn("__before", F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).drop("__s")  # a row for each partition
+    return inside.join(before, "__p").withColumn(out, F.col("__in") + F.col("__before")).drop("__p", "__in", "__before")
 
 
 def most_common(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -167,9 +173,3 @@ def most_common(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(*keys).agg(F.min_by(value, F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias(value), F.max("n").alias("n"))
     return best
-
-
-def reward(parsed: Column, well_formed: Column, valid: Column, intensional: Column, ground: Column, self_defeating: Column) -> Column:
-    """1.0 valid + 0.5 (valid and intensional) - 0.1 min(ground, 5) - 0.5 self-defeating; 0 if unparsed or ill-formed."""
-    value = F.when(valid, 1.0).otherwise(0.0) + F.when(valid & intensional, 0.5).otherwise(0.0) - 0.1 * F.least(ground, F.lit(5)) - 0.5 * self_defeating
-    return F.when(parsed & well_formed, value).otherwise(F.lit(0.0))

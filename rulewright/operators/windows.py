@@ -33,3 +33,10 @@ def toggled(df: DataFrame, keys: list[str], order: list[str], marker: Column, ou
     """The last marker that is not null up to each row."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.last(marker, ignorenulls=True).over(w))
+
+
+def ranked_first(df: DataFrame, keys: list[str], kind: str, order: list[str]) -> DataFrame:
+    """df with rank (from 0, inside a group) and first (whether it is the first of its kind there)."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    first = F.row_number().over(Window.partitionBy(*keys, kind).orderBy(*order)) == 1
+    return df.withColumn("rank", rank.cast("long")).withColumn("first", first)

@@ -59,9 +59,27 @@ def test_canonical_key_ignores_order_and_variable_names(spark):
     assert keys[0] == keys[1] != keys[2]
 
 
-def test_bootstrap_paths_agree(spark, monkeypatch):
-    df = spark.createDataFrame([(float(i % 5),) for i in range(60)], "x double")
-    a = stats.bootstrap_mean(df, "x").first()
-    monkeypatch.setattr(stats, "FEW_VALUES", 2)
-    assert tuple(a) == tuple(stats.bootstrap_mean(df, "x").first()) and a["ci_low"] < a["mean"] < a["ci_high"]
-    assert stats.bootstrap_mean(df.where("false"), "x").first()["n"] == 0
+def test_bootstrap_matches_plain_python(spark):
+    import hashlib
+
+    values = sorted(float(i % 37) for i in range(211))
+    pick = lambda r, j: int(hashlib.md5(f"b|{r}|{j}".encode()).hexdigest()[:8], 16) % len(values)
+    means = sorted(sum(values[pick(r, j)] for j in range(len(values))) / len(values) for r in range(200))
+    got = stats.bootstrap_mean(spark.createDataFrame([(v,) for v in values], "x double").repartition(5), "x").first()
+    assert (got["n"], got["ci_low"], got["ci_high"]) == (211, round(means[5], 4), round(means[194], 4))
+    assert stats.bootstrap_mean(spark.createDataFrame([], "x double"), "x").first()["n"] == 0
+
+
+def test_running_total_over_partitions(spark):
+    df = spark.createDataFrame([(i, i % 5) for i in range(500)], "k int, c int").repartition(7)
+    got = {r["k"]: r["upto"] for r in stats.running_total(df, "k", "c").collect()}
+    total = 0
+    for i in range(500):
+        total += i % 5
+        assert got[i] == total
+
+
+def test_no_observations_have_no_interval(spark):
+    assert stats.exact_interval(0, 0) == (None, None)
+    row = stats.with_exact_interval(spark.createDataFrame([(0, 0), (5, 10)], "k int, n int"), "k", "n").orderBy("n").collect()
+    assert row[0]["ci_low"] is None and row[1]["ci_low"] == 0.1871
