@@ -38,9 +38,58 @@ def write(df: DataFrame, path: str, order: list[str], files: int = 1) -> None:
     df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").json(path)
 
 
-def load_eval(eval_rows: DataFrame, problems: DataFrame) -> DataFrame:
-    """Evaluation rows with their problem."""
-    return eval_rows.join(problems.select("problem_id", "problem"), "problem_id")
+def load_eval(spark: SparkSession, folder: str, eval_schema: str, prefixes: tuple[str, ...] = ("", "table1_")) -> DataFrame:
+    """Evaluation rows with their problem, of every set of files <prefix>eval.jsonl and <prefix>problems.jsonl that is there."""
+    out = None
+    for prefix in prefixes:
+        if not exists(spark, f"{folder}/{prefix}eval.jsonl"):
+            continue
+        rows = read(spark, f"{folder}/{prefix}eval.jsonl", eval_schema)
+        part = rows.join(read(spark, f"{folder}/{prefix}problems.jsonl", PROBLEM).select("problem_id", "problem"), "problem_id").withColumn("set", F.lit(prefix.rstrip("_") or "corpus"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return read(spark, f"{folder}/eval.jsonl", eval_schema).withColumn("problem", F.lit(None).cast(T.StructType.fromDDL(PROBLEM)["problem"].dataType)).withColumn("set", F.lit("corpus"))
+    return out
+
+
+def stored_records(spark: SparkSession, folder: str, schema: str, prefixes: tuple[str, ...] = ("", "table1_")) -> DataFrame:
+    """(problem_id, record): stored courses of all trace files, one for each problem."""
+    parts = [read(spark, f"{folder}/{p}traces.jsonl", schema) for p in prefixes]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    rest = [c for c in rows.columns if c != "problem_id"]
+    return rows.select("problem_id", F.struct(*rest).alias("record"))
+
+
+def without_torn_tail(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSONL file whose writer may have died: a last line that does not parse is left out, any other bad line raises."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], T.StructType.fromDDL(schema))
+    kind = T.StructType.fromDDL(schema)
+    lines = spark.read.text(path, lineSep="\n").select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("at")).where("trim(value) <> ''")
+    parsed = lines.withColumn("row", F.from_json("value", kind.add("_bad", "string"), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    last = lines.groupBy("file_path").agg(F.max("at").alias("last"))
+    checked = parsed.join(last, "file_path").where(F.col("row._bad").isNull() | (F.col("at") != F.col("last")))
+    refused = F.when(F.col("row._bad").isNotNull(), F.raise_error(F.concat(F.lit("bad line in "), F.col("file_path")))).otherwise(F.col("row"))
+    return checked.select(refused.alias("row")).select("row.*").drop("_bad")
+
+
+def write_name_maps(problems: DataFrame, path: str) -> None:
+    """(problem_id, name_map) as JSON lines, ordered by problem."""
+    write(problems.select("problem_id", "name_map"), path, ["problem_id"])
+
+
+def digests(df: DataFrame, keys: list[str], order: str, text: F.Column, width: int, *more: F.Column) -> DataFrame:
+    """(keys.., n, more.., digest): a hash of the texts of each group in their order.
+
+    Texts are hashed, hashes are joined for each range of `width` ids and hashed again, and the hashes of the ranges are hashed,
+    so what is held at once is bounded by the width and by the number of ranges.
+    """
+    hashed = df.withColumn("__h", F.sha2(text, 256)).withColumn("__part", F.floor(F.col(order) / width))
+    joined = lambda c, by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(by), F.col(c)))), lambda x: x[c]), ""), 256)
+    ranges = hashed.groupBy(*keys, "__part").agg(joined("__h", order).alias("__r")).groupBy(*keys).agg(joined("__r", "__part").alias("digest"))
+    return hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *more).join(ranges, keys)
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
@@ -54,19 +103,43 @@ def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     return manifest.join(found, "name", "left").where(~F.col("found").eqNullSafe(F.col("sha256"))).select("name", "sha256", "found")
 
 
-def manifest(corpus: DataFrame, gate: DataFrame) -> DataFrame:
-    """One JSON row of counts and gates."""
-    counts = corpus.groupBy("split", "tier", "class").agg(F.count(F.lit(1)).alias("n")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("split", "tier", "class", "n")))).alias("counts"))
-    return counts.crossJoin(gate.select(F.to_json(F.struct("*")).alias("gates")))
+def manifest(corpus: DataFrame, gate: DataFrame, tried: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """One JSON row: counts by split, tier and class, symbols of the courses, gates, reject reasons, duplicate rates and file hashes."""
+    from rulewright.operators.corpus import tallies
+
+    as_json = lambda df, order: df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*order)))).alias("x"))
+    counts = corpus.groupBy("split", "tier", "class").agg(F.count(F.lit(1)).alias("n"))
+    out = as_json(counts, ["split", "tier", "class", "n"]).withColumnRenamed("x", "counts").crossJoin(gate.select(F.to_json(F.struct("*")).alias("gates")))
+    if "solution" in corpus.columns:
+        symbols = corpus.select(F.explode(F.from_json("solution", "steps array<struct<kind:string>>")["steps"]).alias("s")).groupBy(F.col("s.kind").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
+        out = out.crossJoin(as_json(symbols, ["symbol", "n"]).withColumnRenamed("x", "symbols"))
+    if tried is not None:
+        reasons = tried.where("verdict <> 'accepted'").groupBy(F.regexp_extract("verdict", r"^[^:]+(?::(?!t\d)[^:]+)?", 0).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+        out = out.crossJoin(as_json(reasons, ["reason", "n"]).withColumnRenamed("x", "rejects")).crossJoin(as_json(tallies(tried), ["tier", "class", "attempts", "accepted", "duplicates", "duplicate_rate"]).withColumnRenamed("x", "duplicates"))
+    if files is not None:
+        out = out.crossJoin(as_json(files, ["name", "sha256"]).withColumnRenamed("x", "files"))
+    return out  # every part is one row
+
+
+#: Rows of a report table, at most; a longer result is no report.
+REPORT_ROWS = 1000
 
 
 def markdown(df: DataFrame, title: str) -> str:
-    """A report table of a small result (it is brought to the driver to be formatted)."""
-    rows = df.collect()
+    """A report table; a result of more than REPORT_ROWS rows raises instead of being brought to the driver."""
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"more than {REPORT_ROWS} rows are no report")
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
 
 
+def report(title: str, sections: dict[str, DataFrame], notes: list[str] = ()) -> str:
+    """Several report tables under one title, with notes first."""
+    tables = [markdown(df, name).replace("# ", "## ", 1) for name, df in sections.items()]
+    return "\n".join([f"# {title}", "", *(f"- {n}" for n in notes), *([""] if notes else []), *tables])
+
+
 def export_frameworks(df: DataFrame, path: str) -> None:
     """JSON with everything, CSV with the flat columns."""
     df.write.mode("overwrite").json(f"{path}/json")

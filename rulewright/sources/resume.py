@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,32 @@ def append_pending(wanted: DataFrame, path: str, keys: list[str], same: list[str
     if n:
         new.write.mode("append").parquet(path)
     return n
+
+
+def finished_only(calls: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls of runs that were finished; those of a run that died in between are left out, so the run can start again."""
+    return calls.join(done.select(*keys).distinct(), keys, "left_semi")
+
+
+def open_run(spark: SparkSession, path: str, settings: dict, same: list[str]) -> dict:
+    """Write the manifest of a run, or check that of the run at path; another value of a setting in `same` raises a ValueError."""
+    import json
+
+    from rulewright.sources.jsonl import exists, one_row
+
+    if exists(spark, path):
+        stored = json.loads(spark.read.text(path).first()[0])
+        differs = [k for k in same if stored.get(k) != settings.get(k)]
+        if differs:
+            raise ValueError(f"{path} is a run with other {', '.join(differs)}")
+        return stored
+    one_row(spark, settings).select("manifest").coalesce(1).write.text(path)
+    return settings
+
+
+def matched(rows: DataFrame, generations: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with their generation, and (n, unmatched) counts of the rows."""
+    found = generations.withColumn("__found", F.lit(1))
+    both = rows.join(found, keys, "left")
+    counts = both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("__found").isNull().cast("long")), F.lit(0)).alias("unmatched"))
+    return both.where("__found = 1").drop("__found"), counts

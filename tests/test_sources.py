@@ -35,9 +35,9 @@ def test_checksums(spark, tmp_path):
 def test_problem_serde(spark):
     df = problems(spark)
     nested = jsonl.problem_struct(df)
-    assert {r["problem_id"]: len(r["problem"]["positive"]) for r in nested.collect()} == {"diamond": 3, "birds": 1, "tax": 2}
+    assert {r["problem_id"]: len(r["problem"]["positive"]) for r in nested.collect()} == {"nixon_diamond": 3, "flies": 1, "tax_law": 2}
     back = {r["problem_id"]: json.loads(r["problem"]) for r in jsonl.problem_json(nested).collect()}
-    assert solve(Problem.of(back["tax"]))["success"]
+    assert solve(Problem.of(back["tax_law"]))["success"]
 
 
 def test_resume_and_stream_are_idempotent(spark, tmp_path):
@@ -65,25 +65,72 @@ def test_windows_batch_and_stream_agree(spark, tmp_path):
 
 
 def test_logic_text(spark, tmp_path):
-    program = "bird(tweety).\nbird(sam).\npenguin(sam).\nflies(X) :- bird(X), normal(X).\nmy_asm(normal(X)).\ncontrary(normal(X), odd(X)).\n% end"
+    program = "bird(tweety). bird(sam).\npenguin(sam).\nflies(X) :- bird(X), normal(X).\nage(sam, 3).\nassumption(normal(X)).\nassumption(unused(X)).\ncontrary(normal(Y), odd(Y)) :- assumption(normal(Y)).\n% end"
     with zipfile.ZipFile(tmp_path / "set.zip", "w") as z:
-        z.writestr("b.pl", program)
-        z.writestr("b.goal", "pos([flies(tweety)]). neg([flies(sam)]).")
-        z.writestr("bad.pl", "contrary(a).")
+        z.writestr("a/01_birds.bk.aba", program)
+        z.writestr("a/01_birds.bk.goal", ":- aba_asp('birds', [flies(tweety)], [flies(sam)]).")
+        z.writestr("a/02_bad.bk.aba", "contrary(a, b).")
     got = {r["name"]: r for r in logic_text.read_programs(spark, f"file://{tmp_path}").collect()}
-    p = Problem.of(json.loads(got["b.pl"]["problem"]))
-    assert p.positive == ["flies(tweety)"] and p.background.contraries == {"normal(X)": "odd(X)"} and got["bad.pl"]["error"]
+    p = Problem.of(json.loads(got["01_birds"]["problem"]))
+    assert p.positive == ["flies(tweety)"] and p.negative == ["flies(sam)"] and p.background.contraries == {"normal(X)": "odd(X)"} and p.background.assumptions == ["normal(X)"]
+    assert p.learnable == ["flies", "odd"] and p.domain == ["tweety", "sam", "n3"] and got["01_birds"]["n_rules"] == 5 and got["02_bad"]["error"]
+    assert solve(p)["success"]
+    other = logic_text.read_programs(spark, f"file://{tmp_path}", {"set.zip": "0" * 32}).collect()
+    assert [(r["name"], r["error"]) for r in other] == [(None, "checksum differs")]
+    with pytest.raises(ValueError):
+        logic_text.parse_program("p(X) :- q(X), a(Y).\nassumption(a(X)).")
+
+
+def test_torn_files_prefixes_and_runs(spark, tmp_path):
+    (tmp_path / "eval.jsonl").write_text('{"problem_id": "a", "n": 1}\n{"problem_id": "b", "n"')
+    schema = "problem_id string, n int"
+    assert [tuple(r) for r in jsonl.without_torn_tail(spark, f"file://{tmp_path}/eval.jsonl", schema).collect()] == [("a", 1)]
+    (tmp_path / "bad.jsonl").write_text('{"problem_id"\n{"problem_id": "b", "n": 2}\n')
+    with pytest.raises(Exception):
+        jsonl.without_torn_tail(spark, f"file://{tmp_path}/bad.jsonl", schema).collect()
+    assert jsonl.without_torn_tail(spark, f"file://{tmp_path}/none", schema).count() == 0
+    folder = tmp_path / "c"
+    folder.mkdir()
+    for prefix in ("", "table1_"):
+        (folder / f"{prefix}eval.jsonl").write_text('{"problem_id": "x%s", "split": "test"}\n' % prefix)
+        (folder / f"{prefix}problems.jsonl").write_text('{"problem_id": "x%s", "problem": {"positive": ["p(a)"]}}\n' % prefix)
+        (folder / f"{prefix}traces.jsonl").write_text('{"problem_id": "x%s", "n": 1}\n' % prefix)
+    got = jsonl.load_eval(spark, f"file://{folder}", "problem_id string, split string").collect()
+    assert sorted((r["problem_id"], r["set"], r["problem"]["positive"]) for r in got) == [("x", "corpus", ["p(a)"]), ("xtable1_", "table1", ["p(a)"])]
+    assert jsonl.stored_records(spark, f"file://{folder}", schema).count() == 2
+    jsonl.write_name_maps(spark.createDataFrame([("b", "{}"), ("a", "{}")], "problem_id string, name_map string"), f"file://{tmp_path}/names")
+    assert spark.read.json(f"file://{tmp_path}/names").count() == 2
+    run = f"file://{tmp_path}/run"
+    assert resume.open_run(spark, run, {"model": "m", "note": 1}, ["model"]) == resume.open_run(spark, run, {"model": "m", "note": 2}, ["model"]) == {"model": "m", "note": 1}
+    with pytest.raises(ValueError):
+        resume.open_run(spark, run, {"model": "other"}, ["model"])
+    calls = spark.createDataFrame([("a", 0), ("b", 0)], "problem_id string, i int")
+    done = spark.createDataFrame([("a",)], "problem_id string")
+    assert [r["problem_id"] for r in resume.finished_only(calls, done, ["problem_id"]).collect()] == ["a"]
+    both, counts = resume.matched(calls, done, ["problem_id"])
+    assert both.count() == 1 and tuple(counts.first()) == (2, 1)
 
 
 def test_mock_model(spark):
     prompts = spark.createDataFrame([("p", 0, "text", 1), ("p", 1, "text", 2)], "problem_id string, sample_idx int, prompt string, seed long")
-    a, b = (sorted(map(tuple, model.generate(prompts).collect())) for _ in range(2))
+    a, b = (sorted(map(tuple, model.generate(prompts).drop("latency_s").collect())) for _ in range(2))
     assert a == b and a[0][2] != a[1][2]
 
     def broken(prompt, seed):
         raise TimeoutError("no answer")
 
-    assert model.generate(prompts, broken).where("error LIKE 'TimeoutError%' AND raw IS NULL").count() == 2
+    assert model.generate(prompts, broken).where("error LIKE 'TimeoutError%' AND raw IS NULL AND n_tries = 3").count() == 2
+    assert model.wait_of("try again in 1m2.5s", 9.0) == 62.5 and model.wait_of("no", 9.0) == 9.0 and model.wait_of("try again in 250ms", 1.0) == 0.25
+
+
+def test_modes_resume_and_a_failing_mode_is_skipped(spark, tmp_path):
+    rows = spark.createDataFrame([(m, "p", i, "text", i) for m in ("direct", "guided") for i in range(2)], "mode string, problem_id string, sample_idx int, prompt string, seed long")
+    path = f"file://{tmp_path}/modes"
+    assert model.run_modes(rows, ["direct", "guided"], path) == {"direct": 2, "guided": 2}
+    assert model.run_modes(rows, ["direct", "guided"], path) == {"direct": 0, "guided": 0}
+    with pytest.raises(ValueError):
+        model.run_modes(rows.withColumn("seed", F.col("seed") + 1), ["direct"], path)
+    assert model.run_modes(rows, ["direct"], "nosuch://x/y") == {"direct": -1}
 
 
 def test_reports(spark, tmp_path):
