@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulewright.functions import kernels as K
-from rulewright.plans._registry import query, sql, table
+from rulewright.plans._registry import query, table
 
 # Strengths in (0, 1) from account balances and prices; a and s are products over attackers and supporters.
 _SETS = """WITH o AS (SELECT o_custkey, o_orderstatus, (o_totalprice % 1000) / 1000.0::DOUBLE AS v FROM orders WHERE o_orderstatus IN ('F', 'O')),
@@ -30,16 +30,44 @@ def qe_one_step(spark, d):
     return _forces(spark, d).select("c_custkey", F.round(K.quadratic(F.lit(0.5), K.balance_sum(F.col("a"), F.col("s"))), 4).alias("strength"))
 
 
-@query("q43_strength_fixpoint")
+def _rounds(n: int) -> str:
+    """n synchronous rounds of product DF-QuAD over e(target, kind, edge, member) from b(asm, base), one CTE for each."""
+    steps = ["r0 AS (SELECT asm, base, base AS v FROM b)"]
+    for i in range(n):
+        steps.append(
+            f"s{i} AS (SELECT target, kind, edge, product(v) AS f FROM e JOIN r{i} ON r{i}.asm = e.member GROUP BY 1, 2, 3), w{i} AS (SELECT target, coalesce(product(1 - f) FILTER (WHERE kind = 'attack'), 1) - coalesce(product(1 - f) FILTER (WHERE kind = 'support'), 1) AS w FROM s{i} GROUP BY 1), "
+            f"r{i + 1} AS (SELECT asm, base, base + base * least(0, coalesce(w, 0)) + (1 - base) * greatest(0, coalesce(w, 0)) AS v FROM r{i} LEFT JOIN w{i} ON target = asm)"
+        )
+    return ", ".join(steps)
+
+
+_GRAPH = """b AS (SELECT s_suppkey AS asm, 0.3::DOUBLE + (s_suppkey % 5) / 10.0 AS base FROM supplier), e AS (SELECT s_suppkey AS target, CASE WHEN s_suppkey % 2 = 1 THEN 'attack' ELSE 'support' END AS kind, 0 AS edge, s_nationkey AS member FROM supplier
+    UNION ALL SELECT s_suppkey, 'attack', 1, s_suppkey % 25 FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'attack', 1, s_suppkey % 7 FROM supplier WHERE s_suppkey % 3 = 0)"""
+
+
+def _graph(spark, d):
+    s = table(spark, d, "supplier")
+    bases = s.select(F.col("s_suppkey").alias("asm"), (F.lit(0.3) + (F.col("s_suppkey") % 5) / 10.0).alias("base"))
+    edge = lambda kind, i, member: s.select(F.col("s_suppkey").alias("target"), kind.alias("polarity"), F.lit(i).alias("edge_id"), member.cast("long").alias("member"))
+    third = F.col("target") % 3 == 0
+    edges = edge(F.when(F.col("s_suppkey") % 2 == 1, "attack").otherwise("support"), 0, F.col("s_nationkey")).union(edge(F.lit("attack"), 1, F.col("s_suppkey") % 25).where(third)).union(edge(F.lit("attack"), 1, F.col("s_suppkey") % 7).where(third))
+    return bases, edges
+
+
+@query("q43_strength_fixpoint", f"WITH {_GRAPH}, {_rounds(5)} SELECT asm, round(v, 4) AS strength FROM r5")
 def strength_fixpoint(spark, d):
-    """Five rounds on a graph of nations; checked in tests against plain Python."""
+    """Five rounds on a hypergraph of suppliers."""
+    from rulewright.operators.gradual import strengths
+
+    return strengths(*_graph(spark, d), "prod-dfquad", rounds=5).select("asm", F.round("value", 4).alias("strength"))
+
+
+@query("q120_converged_strengths", f"WITH {_GRAPH}, {_rounds(24)} SELECT asm, round(v, 2) AS strength FROM r24")
+def converged_strengths(spark, d):
+    """The same until no strength moves; two dozen plain rounds have come as far."""
     from rulewright.operators.gradual import strengths
 
-    n = table(spark, d, "nation")
-    bases = n.select(F.col("n_nationkey").alias("asm"), (F.lit(0.3) + (F.col("n_nationkey") % 5) / 10.0).alias("base"))
-    first = n.select(F.col("n_nationkey").alias("target"), F.when(F.col("n_nationkey") % 2 == 1, "attack").otherwise("support").alias("polarity"), F.lit(0).alias("edge_id"), ((F.col("n_nationkey") + 1) % 25).alias("member"))
-    second = n.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("target"), F.lit("attack").alias("polarity"), F.lit(1).alias("edge_id"), ((F.col("n_nationkey") + 7) % 25).alias("member"))
-    return strengths(bases, first.union(second), "prod-dfquad", rounds=5).select("asm", F.round("value", 4).alias("strength"))
+    return strengths(*_graph(spark, d), "prod-dfquad", epsilon=1e-5).select("asm", F.round("value", 2).alias("strength"))
 
 
 @query(
@@ -56,7 +84,38 @@ def claim_strength(spark, d):
     return got.select("atom", *[F.round(c, 4).alias(c) for c in ("strongest", "weakest", "mean", "noisy_or")])
 
 
-sql("q45_base_score_fallback", "SELECT n.n_nationkey, round(coalesce(g.s, p.s, CAST(0.5 AS DOUBLE)), 4) AS base FROM {nation} n LEFT JOIN (SELECT n_nationkey, CAST(0 AS DOUBLE) AS s FROM {nation} WHERE n_nationkey % 4 = 0) g ON n.n_nationkey = g.n_nationkey LEFT JOIN (SELECT r_regionkey, CAST(r_regionkey AS DOUBLE) / 10 AS s FROM {region} WHERE r_regionkey < 3) p ON n.n_regionkey = p.r_regionkey")
+@query(
+    "q45_base_score_fallback",
+    """WITH n AS (SELECT *, 'p' || n_regionkey || '(' || n_nationkey || ')' AS asm FROM nation), r AS (SELECT n_regionkey, avg(CAST(n_nationkey % 5 <> 0 AS INT)) AS free FROM n GROUP BY 1)
+    SELECT asm, round(CASE WHEN n_nationkey % 4 = 0 THEN 0.0 WHEN n.n_regionkey < 2 THEN n.n_regionkey / 10.0 ELSE r.free END, 4) AS base FROM n JOIN r ON n.n_regionkey = r.n_regionkey""",
+)
+def base_score_fallback(spark, d):
+    """The score of the ground atom, else of its predicate, else the share of its predicate's atoms that nothing attacks."""
+    from rulewright.operators.gradual import base_scores
+
+    n = table(spark, d, "nation").withColumn("asm", F.concat(F.lit("p"), F.col("n_regionkey").cast("string"), F.lit("("), F.col("n_nationkey").cast("string"), F.lit(")")))
+    ground = n.where("n_nationkey % 4 = 0").select("asm", F.lit(0.0).alias("score"))
+    general = table(spark, d, "region").where("r_regionkey < 2").select(F.concat(F.lit("p"), F.col("r_regionkey").cast("string")).alias("pred"), (F.col("r_regionkey") / 10.0).alias("score"))
+    return base_scores(n.select("asm"), ground, general, n.where("n_nationkey % 5 = 0").select("asm")).select("asm", F.round("base", 4).alias("base"))
+
+
+_TREE = """n AS (SELECT 'n' || n_nationkey AS root, 's' || s_suppkey AS leaf, s_suppkey % 2 = 0 AS attack FROM nation JOIN supplier ON s_nationkey = n_nationkey)"""
+
+
+@query(
+    "q121_argument_trees",
+    f"""WITH {_TREE}, v AS (SELECT root, coalesce(1 - product(1 - 0.5::DOUBLE) FILTER (WHERE NOT attack), 0) - coalesce(1 - product(1 - 0.5::DOUBLE) FILTER (WHERE attack), 0) AS d FROM n GROUP BY root), r AS (SELECT root, CASE WHEN abs(d) <= 1e-12 THEN 0.5 ELSE 0.5 + 0.5 * d END AS v FROM v)
+    SELECT n.root, n.root || printf(' %.6f', max(r.v)) || chr(10) || string_agg('  ' || CASE WHEN attack THEN '- ' ELSE '+ ' END || leaf || ' 0.500000', chr(10) ORDER BY n.root || '/' || CASE WHEN attack THEN 'a' ELSE 's' END || ':' || leaf) AS text FROM n JOIN r ON n.root = r.root GROUP BY n.root""",
+)
+def argument_trees(spark, d):
+    """Trees grown from attack and support edges, evaluated from the leaves and written as text."""
+    from rulewright.operators.gradual import argument_tree, tree_strengths, tree_text
+
+    s = table(spark, d, "supplier")
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    edges = s.select(name("n", "s_nationkey").alias("target"), F.when(F.col("s_suppkey") % 2 == 0, "attack").otherwise("support").alias("polarity"), name("s", "s_suppkey").alias("member"))
+    nodes = argument_tree(edges.select(F.col("target").alias("asm")).distinct(), edges, 3).withColumn("base", F.lit(0.5))
+    return tree_text(nodes, tree_strengths(nodes, 3))
 
 
 @query(
@@ -79,8 +138,19 @@ def tree_strength(spark, d):
     return got.select(F.regexp_replace("node_id", "^r", "").cast("int").alias("region"), F.round("value", 4).alias("strength"))
 
 
-@query("q49_crisp_vs_graded", _SETS + " SELECT c_custkey, c_acctbal > 5000 AS crisp, round(b + b * least(0.0, pa - ps) + (1 - b) * greatest(0.0, pa - ps), 4) AS graded, (c_acctbal > 5000) = (round(b + b * least(0.0, pa - ps) + (1 - b) * greatest(0.0, pa - ps), 4) >= 0.5) AS agree FROM x JOIN customer USING (c_custkey)")
+@query(
+    "q49_crisp_vs_graded",
+    f"""WITH {_TREE}, v AS (SELECT root, coalesce(1 - product(1 - 0.5::DOUBLE) FILTER (WHERE NOT attack), 0) - coalesce(1 - product(1 - 0.5::DOUBLE) FILTER (WHERE attack), 0) AS d FROM n GROUP BY root),
+    c AS (SELECT 'n' || n_nationkey AS atom, CASE n_nationkey % 3 WHEN 0 THEN 'ALWAYS' WHEN 1 THEN 'FREE' ELSE 'NEVER' END AS crisp FROM nation)
+    SELECT atom, crisp, round(coalesce(CASE WHEN abs(d) <= 1e-12 THEN 0.5 ELSE 0.5 + 0.5 * d END, 0), 4) AS strength, (crisp <> 'NEVER') = (round(coalesce(CASE WHEN abs(d) <= 1e-12 THEN 0.5 ELSE 0.5 + 0.5 * d END, 0), 4) >= 0.5) AS agree FROM c LEFT JOIN v ON root = atom""",
+)
 def crisp_vs_graded(spark, d):
-    graded = dfquad_one_step(spark, d).withColumnRenamed("strength", "graded")
-    crisp = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") > 5000).alias("crisp"))
-    return crisp.join(graded, "c_custkey").withColumn("agree", F.col("crisp") == (F.col("graded") >= 0.5))
+    """Statuses beside tree strengths."""
+    from rulewright.operators.gradual import against_crisp, argument_tree, tree_strengths
+
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    edges = table(spark, d, "supplier").select(name("n", "s_nationkey").alias("target"), F.when(F.col("s_suppkey") % 2 == 0, "attack").otherwise("support").alias("polarity"), name("s", "s_suppkey").alias("member"))
+    nodes = argument_tree(edges.select(F.col("target").alias("asm")).distinct(), edges, 3).withColumn("base", F.lit(0.5))
+    graded = tree_strengths(nodes, 3).where("node_id NOT LIKE '%/%'").select(F.col("node_id").alias("atom"), F.col("value").alias("strength"))
+    status = F.when(F.col("n_nationkey") % 3 == 0, "ALWAYS").when(F.col("n_nationkey") % 3 == 1, "FREE").otherwise("NEVER")
+    return against_crisp(table(spark, d, "nation").select(name("n", "n_nationkey").alias("atom"), status.alias("crisp")), graded)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulewright.operators import extensions, grounding
-from rulewright.plans._registry import query, sql, table
+from rulewright.plans._registry import query, table
 
 
 @query("q01_defeasible_rule", "SELECT c_custkey FROM customer c WHERE c_acctbal > 5000 AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
@@ -29,11 +29,18 @@ def nested_exception(spark, d):
     return table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey").join(exc.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-sql(
+@query(
     "q03_two_path_rule",
-    """SELECT c_custkey FROM {customer} WHERE c_acctbal > 8000 AND c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'P')
-    UNION SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000)""",
+    """SELECT c_custkey FROM customer WHERE c_acctbal > 8000 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+    UNION SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""",
 )
+def two_path_rule(spark, d):
+    """Two rules for one head, each with its own exception."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    late = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    dear = o.where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    one = c.where("c_acctbal > 8000").select("c_custkey").join(late, "c_custkey", "left_anti")
+    return one.union(c.where("c_mktsegment = 'BUILDING'").select("c_custkey").join(dear, "c_custkey", "left_anti")).distinct()
 
 
 def _cycle(spark, d):
@@ -85,44 +92,52 @@ def relative_assumption(spark, d):
     return grounding.relative_assumptions(bodies, rules)
 
 
-sql(
-    "q08_fact_subsumption",
-    """SELECT o.o_orderkey FROM {orders} o WHERE o.o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM {orders} x WHERE x.o_custkey = o.o_custkey AND x.o_orderstatus = 'F' AND x.o_orderkey <> o.o_orderkey)""",
-)
-sql(
-    "q09_off_example_atoms",
-    """SELECT n.n_nationkey, s.c_mktsegment FROM {nation} n CROSS JOIN (SELECT DISTINCT c_mktsegment FROM {customer}) s WHERE NOT EXISTS (SELECT 1 FROM {customer} c WHERE c.c_nationkey = n.n_nationkey AND c.c_mktsegment = s.c_mktsegment AND c.c_acctbal > 9500)""",
-)
-sql(
-    "q10_violations",
-    """SELECT doc_id, 'head_not_learnable' AS violation FROM {documents} WHERE n_chars % 13 = 0 UNION ALL SELECT doc_id, 'contrary_changed' FROM {labels} WHERE quality = 0 AND toxic = 1
-    UNION ALL SELECT doc_id, 'assumption_as_head' FROM {documents} WHERE lang = 'es' AND n_chars < 400 UNION ALL SELECT d.doc_id, 'unbound_variable' FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL AND d.n_chars > 9000""",
-)
+#: Rules of one and two variables with equalities and comparisons.
+_RULES = [(0, "near(X,Y)", ["in(X,Z)", "in(Y,Z)", "X != Y", "Z = r1"]), (1, "good(X)", ["big(X)", "dom(X)", "X < 10"]), (2, "twin(X,Y)", ["X = Y", "Y = 7"]), (3, "never(X)", ["1 = 2"]), (4, "plain", [])]
 
 
-@query("q46_grounding", "SELECT r.rule_id, replace(r.head, 'X', n_name) AS head, replace(r.b, 'X', n_name) AS body FROM nation, (VALUES (0, 'good(X)', 'big(X)'), (1, 'big(X)', '')) r(rule_id, head, b)")
+@query(
+    "q46_grounding",
+    """WITH c AS (SELECT CAST(n_nationkey AS VARCHAR) AS c, n_nationkey AS k, n_regionkey AS fw FROM nation) SELECT x.fw, 0 AS rule_id, 'near(' || x.c || ',' || y.c || ')' AS head, 'in(' || x.c || ',r1)|in(' || y.c || ',r1)' AS body FROM c x JOIN c y ON x.fw = y.fw WHERE x.k <> y.k
+    UNION ALL SELECT fw, 1, 'good(' || c || ')', 'big(' || c || ')' FROM c WHERE k < 10 UNION ALL SELECT r_regionkey, 2, 'twin(7,7)', '' FROM region UNION ALL SELECT r_regionkey, 4, 'plain', '' FROM region""",
+)
 def ground_rules(spark, d):
-    rules = spark.createDataFrame([(0, "good(X)", ["big(X)", "dom(X)"]), (1, "big(X)", ["dom(X)"])], "rule_id int, head string, body array<string>")
-    return grounding.ground(rules, table(spark, d, "nation").select(F.col("n_name").alias("const"))).select("rule_id", "head", F.array_join("body", ",").alias("body"))
-
+    """A framework for each region, its nations as constants."""
+    rules = spark.createDataFrame(_RULES, "rule_id int, head string, body array<string>")
+    mine = table(spark, d, "region").select(F.col("r_regionkey").alias("fw")).crossJoin(F.broadcast(rules))  # literal rules
+    domain = table(spark, d, "nation").select(F.col("n_regionkey").alias("fw"), F.col("n_nationkey").cast("string").alias("const"))
+    return grounding.ground(mine, domain, ["fw"]).select("fw", "rule_id", "head", F.array_join("body", "|").alias("body"))
 
-_SMALL = [("p", ["q", "a"]), ("p", ["b"]), ("q", []), ("q", ["c"]), ("ca", ["b"]), ("cb", ["a"]), ("cc", ["p"])]
-_ASMS = [("a", "ca"), ("b", "cb"), ("c", "cc")]
 
-
-@query("q47_support_fixpoint", "SELECT * FROM (VALUES ('a', 'a'), ('b', 'b'), ('c', 'c'), ('p', 'a'), ('p', 'b'), ('q', ''), ('ca', 'b'), ('cb', 'a'), ('cc', 'a'), ('cc', 'b')) t(atom, members)")
+@query(
+    "q47_support_fixpoint",
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || c_nationkey AS h, 'n' || c_nationkey AS b1, 'm' || c_mktsegment AS b2 FROM customer), a AS (SELECT DISTINCT 'n' || c_nationkey AS x FROM customer WHERE c_nationkey % 3 <> 0 UNION SELECT DISTINCT 'm' || c_mktsegment FROM customer),
+    u AS (SELECT h, list_sort([b1, b2]) AS m FROM e JOIN a p ON b1 = p.x JOIN a q ON b2 = q.x), t AS (SELECT 'top' AS h, m FROM u WHERE h IN ('c1', 'c2')), s AS (SELECT x AS h, [x] AS m FROM a UNION SELECT * FROM u UNION SELECT * FROM t)
+    SELECT h AS atom, array_to_string(m, ',') AS members FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.h = x.h AND len(y.m) < len(x.m) AND list_has_all(x.m, y.m))""",
+)
 def support_fixpoint(spark, d):
-    rules = spark.createDataFrame(_SMALL, "head string, body array<string>")
-    return grounding.supports(rules, spark.createDataFrame(_ASMS, "asm string, contrary string")).select("atom", F.array_join("members", ",").alias("members"))
+    """Supports of the nations of customers: a rule for each pair of nation and segment, and one more level above two of them."""
+    c = table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    top = spark.createDataFrame([("top", ["c1"]), ("top", ["c2"]), ("loop", ["loop"])], "head string, body array<string>")
+    rules = c.select(name("c", "c_nationkey").alias("head"), F.array(name("n", "c_nationkey"), name("m", "c_mktsegment")).alias("body")).union(top)
+    assumptions = c.where("c_nationkey % 3 <> 0").select(name("n", "c_nationkey").alias("asm")).union(c.select(name("m", "c_mktsegment"))).distinct()
+    return grounding.supports(rules, assumptions).select("atom", F.array_join("members", ",").alias("members"))
 
 
-@query("q54_learner_on_builtins")
-def learner_on_builtins(spark, d):
-    from rulewright.operators.learner import solve_all
-    from rulewright.sources.builtin import problems
-
-    out = solve_all(problems(spark))
-    return out.select("problem_id", "success", "n_steps", F.array_join("symbols", ",").alias("symbols"), F.array_join("rules", " ").alias("rules"), F.array_join("assumptions", ",").alias("assumptions"))
+@query(
+    "q122_attack_edges",
+    "SELECT 'n' || n_nationkey AS target, 'attack' AS polarity, 'n' || ((n_nationkey + 1) % 25) AS members FROM nation UNION ALL SELECT 'n' || n_nationkey, 'support', 'n' || ((n_nationkey + 2) % 25) FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 'n' || ((n_nationkey + 24) % 25), 'attack', 'n' || ((n_nationkey + 2) % 25) FROM nation WHERE n_nationkey % 4 = 0",
+)
+def attack_edges(spark, d):
+    """A ring in which each assumption's contrary follows from the next one, and every fourth one also follows from the one after."""
+    from rulewright.operators.gradual import Gradual
+
+    n = table(spark, d, "nation")
+    name = lambda kind, shift: F.concat(F.lit(kind), ((F.col("n_nationkey") + shift) % 25).cast("string"))
+    rules = n.select(name("c", 0).alias("head"), F.array(name("n", 1)).alias("body")).union(n.where("n_nationkey % 4 = 0").select(name("n", 0), F.array(name("n", 2))))
+    g = Gradual(rules, n.select(name("n", 0).alias("asm"), name("c", 0).alias("contrary"), F.lit(0.5).alias("base")), max_set_size=1)
+    return grounding.attack_edges(g.supports, g.assumptions).select("target", "polarity", F.array_join("members", ",").alias("members"))
 
 
 @query(

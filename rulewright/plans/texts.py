@@ -5,46 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulewright.functions import atoms
-from rulewright.plans._registry import query, sql, table
+from rulewright.plans._registry import query, table
 
 
-@query("q35_text_clean", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(translate(regexp_replace(text, '(?m)^```\w*\s*$', '', 'g'), '–—−“”‘’`', '---\"\"'''''), '[^\x00-\x7F]', '', 'g'), '[ \t]+', ' ', 'g'))) AS cleaned FROM documents".replace('\\"', '"'))
-def text_clean(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(atoms.clean_answer(F.col("text"))).alias("cleaned"))
-
-
-sql(
-    "q36_line_classifier",
-    """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN line RLIKE '^[A-Z ,.!]+$' THEN 'capitals' WHEN line LIKE '%|%' THEN 'table' WHEN line RLIKE '[0-9]' THEN 'digits' WHEN line LIKE '%.' THEN 'sentence' WHEN line = '' THEN 'blank' ELSE 'other' END AS kind
-    FROM (SELECT explode(split(text, '\\n')) AS line FROM {documents})) GROUP BY kind""".replace("\\n", "\\\\n"),
-    r"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(line, '^[A-Z ,.!]+$') THEN 'capitals' WHEN line LIKE '%|%' THEN 'table' WHEN regexp_matches(line, '[0-9]') THEN 'digits' WHEN line LIKE '%.' THEN 'sentence' WHEN line = '' THEN 'blank' ELSE 'other' END AS kind
-    FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY kind""",
-)
-
-#: Rule lines that the grammar queries read.
-LINES = ["p(X) :- q(X), not r(X).", "fact(a).", "flag.", "bad line", "p(X) :- X = c.", "s(X,Y) :- t(X), Y > 3. % note", "Up(X) :- q(X).", "w(X) :- v(X), u(X,b)."]
-
+def _cleaned(column: str) -> str:
+    """The replacements of an answer's cleaning, one after the other."""
+    steps = [("```[a-zA-Z]*\\s*\\n?", ""), ("`", ""), ("\\\\\\s*\\n", "\n"), ("(?m)\\\\$", ""), ("[—–]", "-"), ("[‘’]", "''"), ("[“”]", '"'), ("\u00a0", " "), ("[^\\x00-\\x7F]", ""), ("\\n{3,}", "\n\n")]
+    for pattern, new in steps:
+        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
+    return column
 
-@query(
-    "q37_rule_parse",
-    "WITH l AS (SELECT unnest([{}]) AS line), s AS (SELECT line, trim(regexp_replace(regexp_replace(line, '%.*$', ''), '\\.\\s*$', '')) AS t FROM l) SELECT line, regexp_extract(t, '^([a-z]\\w*(\\([^()]*\\))?)', 1) AS head, CASE WHEN contains(t, ':-') THEN len(regexp_split_to_array(trim(string_split(t, ':-')[2]), '\\s*,\\s*')) ELSE 0 END AS body_parts FROM s WHERE regexp_matches(t, '^[a-z]\\w*(\\([^()]*\\))?(\\s*:-.*)?$') AND NOT contains(line, 's(X,Y)') AND NOT contains(line, 'u(X,b)')".format(
-        ", ".join("'" + x + "'" for x in LINES)
-    ),
-)
-def rule_parse(spark, d):
-    from rulewright.operators.rule_text import parse_rules
-
-    lines = spark.createDataFrame([(x,) for x in LINES if "s(X,Y)" not in x and "u(X,b)" not in x], "line string")
-    got = parse_rules(lines, "line").where("head IS NOT NULL")
-    return got.select("line", "head", F.size("body").cast("long").alias("body_parts"))
 
+#: Marks that answers come with, dealt to the documents.
+_MARKS = ["", "```prolog\n", "`x`", "a \\\nb", "— “q” ‘r’\u00a0s é", "\n\n\n\n"]
 
-@query("q38_canonical_key")
-def canonical_key(spark, d):
-    from rulewright.operators.rule_text import canonical_key, parse_rules
 
-    lines = spark.createDataFrame([(x,) for x in LINES], "line string")
-    return canonical_key(parse_rules(lines, "line").where("head IS NOT NULL")).select("line", "key")
+@query("q35_text_clean", "SELECT doc_id, md5(" + _cleaned("text || [" + ", ".join("'" + m.replace("'", "''") + "'" for m in _MARKS) + "][CAST(doc_id % 6 AS INT) + 1]") + ") AS cleaned FROM documents")
+def text_clean(spark, d):
+    mark = F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("doc_id") % 6).cast("int") + 1)
+    return table(spark, d, "documents").select("doc_id", F.md5(atoms.clean_answer(F.concat("text", mark))).alias("cleaned"))
 
 
 @query(
@@ -63,11 +42,45 @@ def derived_seed(spark, d):
     return table(spark, d, "documents").select("doc_id", atoms.derived_seed(F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("seed"))
 
 
-sql("q58_leakage_intersect", "SELECT count(*) AS shared FROM (SELECT text FROM {benchmark} INTERSECT SELECT text FROM {documents})")
-sql("q60_checksum_manifest", "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, sha2(listagg(md5(text), '') WITHIN GROUP (ORDER BY doc_id), 256) AS digest FROM {documents} GROUP BY source", "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, sha256(string_agg(md5(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
-sql("q83_rule_mechanism", "SELECT doc_id, CASE WHEN text LIKE '%=%' THEN 'fact' WHEN text RLIKE '[0-9][0-9][0-9][0-9]' THEN 'constant' WHEN text LIKE '%!!%' THEN 'guarded' WHEN lang = 'en' THEN 'general' ELSE 'other' END AS mechanism FROM {documents}", "SELECT doc_id, CASE WHEN text LIKE '%=%' THEN 'fact' WHEN regexp_matches(text, '[0-9][0-9][0-9][0-9]') THEN 'constant' WHEN text LIKE '%!!%' THEN 'guarded' WHEN lang = 'en' THEN 'general' ELSE 'other' END AS mechanism FROM documents")
-sql("q84_tier_from_id", "SELECT coalesce(nullif(regexp_extract(concat('t', CAST(doc_id % 12 AS STRING), '-', CAST(doc_id AS STRING)), '^(t[0-9])-', 1), ''), 'builtin') AS tier, count(*) AS n FROM {documents} GROUP BY 1", "SELECT coalesce(nullif(regexp_extract('t' || (doc_id % 12) || '-' || doc_id, '^(t[0-9])-', 1), ''), 'builtin') AS tier, count(*) AS n FROM documents GROUP BY 1")
-sql("q85_decision_cell", "SELECT cell, count(*) AS n FROM (SELECT CASE WHEN turn = 0 AND role = 'user' THEN 'first_check' WHEN turn = 1 THEN 'second_path_check' WHEN role = 'assistant' THEN 'role_reuse_check' ELSE 'other' END AS cell FROM {conversations}) GROUP BY cell")
-sql("q86_surface_cues", "SELECT doc_id, n_chars > 2000 AS is_long, length(text) - length(replace(text, '!', '')) > 3 AS shouts, text LIKE '%@%' AS has_mail, upper(text) = text AS all_caps FROM {documents}")
-sql("q87_atom_spelling", "SELECT atom, regexp_replace(atom, '\\\\s+', '') AS k FROM VALUES ('p( a )'), ('p(a)'), ('q(a, b)') AS t(atom)", "SELECT atom, regexp_replace(atom, '\\s+', '', 'g') AS k FROM (VALUES ('p( a )'), ('p(a)'), ('q(a, b)')) AS t(atom)")
-sql("q88_retry_after", "SELECT s, CAST(aggregate(transform(regexp_extract_all(s, '([0-9]+)s', 1), x -> CAST(x AS INT)), 0, (a, x) -> a + x) AS BIGINT) + 60 * CAST(aggregate(transform(regexp_extract_all(s, '([0-9]+)m', 1), x -> CAST(x AS INT)), 0, (a, x) -> a + x) AS BIGINT) AS secs FROM VALUES ('2m30s'), ('45s'), ('none') AS t(s)", "SELECT s, CAST(coalesce(list_sum(list_transform(regexp_extract_all(s, '([0-9]+)s', 1), lambda x: CAST(x AS INT))), 0) + 60 * coalesce(list_sum(list_transform(regexp_extract_all(s, '([0-9]+)m', 1), lambda x: CAST(x AS INT))), 0) AS BIGINT) AS secs FROM (VALUES ('2m30s'), ('45s'), ('none')) AS t(s)")
+@query("q58_leakage_intersect", "SELECT text FROM benchmark INTERSECT SELECT text FROM documents")
+def leakage_intersect(spark, d):
+    """Texts of both tables; between training and evaluation there must be none."""
+    from rulewright.operators.compare import shared
+
+    return shared(table(spark, d, "benchmark"), table(spark, d, "documents"), ["text"])
+
+
+@query(
+    "q60_checksum_manifest",
+    """WITH r AS (SELECT source, doc_id // 1000 AS part, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS h, count(*) AS n, sum(n_chars) AS c FROM documents GROUP BY 1, 2)
+    SELECT source, CAST(sum(n) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS chars, sha256(string_agg(h, '' ORDER BY part)) AS digest FROM r GROUP BY source""",
+)
+def checksum_manifest(spark, d):
+    """A digest of each source: hashes of ranges of ids, then a hash of those, so no string grows with the source."""
+    from rulewright.sources.jsonl import digests
+
+    return digests(table(spark, d, "documents"), ["source"], "doc_id", F.coalesce("text", F.lit("")), 1000, F.sum("n_chars").cast("long").alias("chars"))
+
+
+@query("q83_rule_mechanism", "SELECT k, count(*) AS n, mechanism FROM (SELECT doc_id % 8 AS k, ['fact', 'new_exception', 'reused_assumption', 'exception_rule', 'general', 'fact', 'new_exception', 'general'][CAST(doc_id % 8 AS INT) + 1] AS mechanism FROM documents) x GROUP BY k, mechanism")
+def rule_mechanism(spark, d):
+    """How a rule works: a fact, guarded by a new or a known assumption, a rule for an exception, or a general one."""
+    from rulewright.operators.explain import mechanism_column
+    from rulewright.plans.bank import dealt
+
+    cases = [("p(X)", ["X = a"]), ("p(X)", ["q(X)", "alpha_0(X)"]), ("p(X)", ["q(X)", "normal(X)"]), ("c_alpha_0(X)", ["r(X)"]), ("p(X)", ["q(X)"]), ("p(a)", []), ("c_alpha_0(X)", ["alpha_0(X)"]), ("p(X)", ["q(X)", "s(X)"])]
+    rows = dealt(spark, d, "documents", "doc_id", cases, "head string, body array<string>")
+    kind = mechanism_column(F.col("head"), F.col("body"), F.array(F.lit("alpha_0(X)")), F.array(F.lit("normal(X)")))
+    return rows.groupBy(F.col("k").cast("long").alias("k"), kind.alias("mechanism")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Durations as services write them, and their seconds.
+_WAITS = [("try again in 2m30s", 150.0), ("wait 45s", 45.0), ("none", None), ("1h2m3.5s", 3723.5), ("in 714ms", 0.714), ("9m0s", 540.0), ("", None), ("7 messages", None)]
+
+
+@query("q88_retry_after", "SELECT doc_id, [" + ", ".join("NULL" if v is None else f"{v}::DOUBLE" for _, v in _WAITS) + "][CAST(doc_id % 8 AS INT) + 1] AS seconds FROM documents")
+def retry_after(spark, d):
+    from rulewright.operators.summaries import retry_after as seconds
+    from rulewright.plans.bank import dealt
+
+    return dealt(spark, d, "documents", "doc_id", [(x,) for x, _ in _WAITS], "message string").select(F.col("id").alias("doc_id"), seconds(F.col("message")).alias("seconds"))
