@@ -1,26 +1,29 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background n-gram model over one vocabulary, all words `[^\\x20\\x09-\\x0D]+` of the target table and of all
-documents, are counted from whole texts. They are matched: same orders (1 to 3 words), same smoothing, and background counts
-scaled to the target's number of tokens, so that neither profits from its size. A document is left out of the background
-that scores it: its own counts are taken off. A token's probability interpolates its orders,
-p_k = (c(w_1..w_k) + BETA p_{k-1}) / (c(w_1..w_{k-1}) + BETA), from p_1 = (c + ALPHA) / (N + (V + 1) ALPHA) with V words in the
-vocabulary. Each document gets its mean loss in nats per token under both models and the difference target - background:
-lower is closer to the target.
-
-All n-grams are counted, none is dropped or merged on purpose: an n-gram is a 64-bit hash that tells its order, so the tables
-grow with the corpus (two of 10 million n-grams share a hash with a probability of about 1 in 100,000). They lie in buckets
-of the shared folder and are not broadcast. Documents are packed into chunks; a chunk sends its distinct n-grams to their
-buckets and gets both counts back, then its tokens are looked up in the chunk's own n-grams. N-grams never cross texts; the
-first tokens of a text use the orders that fit. Case is kept.
-
-Null, empty and blank texts have no tokens and null losses. An empty target or background is the uniform model. Repeated rows
-count each time, so a text that occurs twice is well known to the background. Very long texts are taken whole, a slice of
-documents at a time. Other columns are not read; output names that clash with those kept raise a ValueError.
+A target and a background n-gram model over one vocabulary, all words `[^\\x20\\x09-\\x0D]+` of the target table and of the
+documents, are counted from whole texts; the documents are the background. The models are matched: words and pairs of words,
+same smoothing, and background counts scaled to the target's number of tokens, so that neither profits from its size.
+A document is left out of the background that scores it: its own counts are taken off. A token's probability interpolates its
+orders, p_k = (c(w_1..w_k) + BETA p_{k-1}) / (c(w_1..w_{k-1}) + BETA), from p_1 = (c + ALPHA) / (N + (V + 1) ALPHA) with V words
+in the vocabulary; ORDER is the highest. Each document gets its mean loss in nats per token under both models and the difference target -
+background: lower is closer to the target.
+
+All n-grams are counted, none is dropped or merged on purpose: an n-gram is a 64-bit hash that tells its order, so what is
+gathered grows with the corpus (two of 10 million n-grams share a hash with a probability of about 1 in 100,000). Nothing of it
+is broadcast. Documents are packed into chunks; a chunk sends its distinct n-grams with their counts to buckets of the hash
+range, where all counts are added up, and gets both totals back in the order of its n-grams. The documents are read twice, once
+to count and once to score, and a chunk is the same rows both times: that of a plain scan of files is by itself, other rows are
+written to the shared folder first, and a checksum of the chunk refuses anything else. N-grams never cross texts; the first
+tokens of a text use the orders that fit. Case is kept.
+
+Null, empty and blank texts have no tokens and null losses. An empty target is the uniform model. Repeated rows count each
+time, so a text that occurs twice is well known to the background. Very long texts are taken whole. Other columns are not
+read; output names that clash with those kept raise a ValueError.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulewright.llm._blobs import buckets_of, by_bucket, pack, read_blobs, unpack
+from rulewright.llm._blobs import buckets_of
 from rulewright.llm._memory import tidy
 from rulewright.llm._store import settle, shuffle_partitions
 from rulewright.llm._text import SLICE_BYTES, mix64, reduce_rows, slices, span_hashes, utf8, word_bounds
 
-ORDER, ALPHA, BETA = 3, 0.5, 4.0
-#: A chunk of documents ends at so many bytes of text or distinct n-grams; a counting task sends its counts at so many n-grams.
-CHUNK_BYTES, CHUNK_GRAMS, HELD_GRAMS = 8 << 20, 1 << 21, 1 << 21
+ORDER, ALPHA, BETA = 2, 0.5, 4.0
+#: Bytes of text at which a chunk ends.
+CHUNK_BYTES = 8 << 20
 _TAG = np.uint64(3)
 
 
@@ -67,187 +70,166 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[new], np.add.reduceat(counts, new)
 
 
-def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of all orders of a batch, sorted, and their counts."""
-    every = np.concatenate(grams(data, offsets)[0])
-    return np.unique(every[every != 0], return_counts=True)
+def _squeezed(x: np.ndarray) -> bytes:
+    """Integers as compressed byte planes; small ones cost next to nothing."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8).T)
+    return np.int64(len(x)).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _packed(columns: list[np.ndarray], n: int) -> list[tuple[int, bytes]]:
-    """Columns (keys first) by bucket of their key."""
-    return list(pack(columns, buckets_of(mix64(columns[0]), n), n))
+def _spread(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    planes = np.frombuffer(pa.decompress(blob[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
 
 
-def count_ngrams(df: DataFrame, buckets: int, text: str = "text") -> DataFrame:
-    """Counts of all n-grams of all texts: for each bucket, a blob of sorted keys and their counts."""
+def pack_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys as steps, and their counts."""
+    return _squeezed(np.diff(keys, prepend=np.uint64(0))), _squeezed(counts.astype(np.uint64))
 
-    def work(batches):
-        held, size = [], 0
 
-        def send():
-            keys, counts = add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            got = _packed([keys, counts], buckets)
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names=["bucket", "blob"])
-
-        for batch in slices(batches, "__text"):
-            held.append(distinct(*utf8(batch.column(0))))
-            size += len(held[-1][0])
-            if size >= HELD_GRAMS:
-                held = [add_up(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                size = len(held[0][0])
-                if size >= HELD_GRAMS // 2:
-                    yield send()
-                    held, size = [], 0
-        if size:
-            yield send()
-
-    def add(batches):
-        bucket, blobs = read_blobs(batches)
-        if blobs:
-            got = add_up(*unpack(blobs, ["<u8", "<i8"]))
-            blob = next(pack(list(got), np.zeros(len(got[0]), dtype=np.uint64), 1))[1]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
-
-    local = df.select(df[text].alias("__text")).mapInArrow(work, "bucket int, blob binary")
-    return settle(by_bucket(local, buckets).mapInArrow(add, "bucket int, blob binary"), "ngrams")
-
-
-def _totals(target: DataFrame, background: DataFrame, buckets: int) -> tuple[int, int, int]:
-    """Tokens of either table and words of the shared vocabulary: sums and distinct keys of order 1, bucket by bucket."""
-    both = target.select("bucket", F.lit(0).alias("side"), "blob").union(background.select("bucket", F.lit(1), "blob"))
+def unpack_counts(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return np.cumsum(_spread(keys), dtype=np.uint64), _spread(counts).astype(np.int64)
 
-    def work(batches):
-        words, tokens = [], [0, 0]
-        for batch in batches:
-            for side, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, counts = unpack([blob], ["<u8", "<i8"])
-                one = (keys & _TAG) == 1
-                words.append(keys[one])
-                tokens[side] += int(counts[one].sum())
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*tokens, len(np.unique(np.concatenate(words))))], names=["t", "b", "v"])
 
-    got = both.repartitionById(buckets, F.col("bucket")).select("side", "blob").mapInArrow(work, "t long, b long, v long").agg(F.sum("t"), F.sum("b"), F.sum("v")).first()
-    return tuple(x or 0 for x in got)
+_CHUNK = "chunk long, part int, bucket int, check long, keys binary, counts binary, docs binary"
+_NAMES = ["chunk", "part", "bucket", "check", "keys", "counts", "docs"]
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
 
-@dataclass
-class Models:
-    """The two models as tables of counts, in the same buckets."""
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
-    target: DataFrame
-    background: DataFrame
-    buckets: int
-    n_target: int
-    n_background: int
-    vocabulary: int
 
-    @property
-    def scale(self) -> float:
-        return self.n_target / self.n_background if self.n_background and self.n_target else 1.0
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is rows of files, with columns and filters at most, so its partitions are the same whenever it runs."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return all(line.lstrip(" :+-").startswith(("Project", "Filter", "Relation")) for line in plan.strip().split("\n"))
 
 
-def fit(target: DataFrame, background: DataFrame, text: str = "text") -> Models:
-    buckets = shuffle_partitions(target.sparkSession)
-    a, b = count_ngrams(target, buckets, text), count_ngrams(background, buckets, text)
-    return Models(a, b, buckets, *_totals(a, b, buckets))
+def _chunks(docs: DataFrame, buckets: int, chunk_bytes: int, count: bool, target: bool = False) -> DataFrame:
+    """With count, rows (chunk, part, bucket, check, keys, counts) of a chunk's distinct n-grams; else one row of its documents,
+    whose bucket is buckets. Buckets are ranges of the key, so the keys of a chunk are its buckets one after the other. Chunks
+    of the target are -1.
+    """
 
+    def work(batches):
+        task, serial = TaskContext.get().partitionId(), 0
+        for chunk in pieces(batches):
+            number, part, check = (-1 if target else (task << 32) + serial), (task + serial) % buckets, 0
+            serial += 1
+            for b in chunk:
+                check = zlib.crc32(utf8(b.column(b.num_columns - 1))[0], check)
+            if count:
+                every = [k for b in chunk for k in grams(*utf8(b.column(b.num_columns - 1)))[0]]
+                flat = np.concatenate(every)
+                keys, counts = np.unique(flat[flat != 0], return_counts=True)
+                del every, flat
+                edges = np.searchsorted(buckets_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
+                full = np.flatnonzero(np.diff(edges)).tolist() or [0]
+                yield _rows([(number, part, b, check, *pack_counts(keys[edges[b] : edges[b + 1]], counts[edges[b] : edges[b + 1]]), None) for b in full])
+            else:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, chunk[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
+                    for b in chunk:
+                        writer.write_batch(b)
+                yield _rows([(number, part, buckets, check, None, None, sink.getvalue().to_pybytes())])
+        tidy()
 
-def _chunks(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
-    """(chunk, part, bucket, blob): a chunk's documents (bucket is buckets) and its distinct n-grams by bucket."""
+    def pieces(batches):
+        held, size = [], 0
+        for batch in slices(batches, "__text", min(SLICE_BYTES, chunk_bytes)):
+            held.append(batch)
+            size += len(utf8(batch.column(batch.num_columns - 1))[0])
+            if size >= chunk_bytes:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
 
-    def work(batches):
-        task, serial, sink, writer, held, size, windows_ = TaskContext.get().partitionId(), 0, None, None, [], 0, 0
+    return docs.mapInArrow(work, _CHUNK)
 
-        def send():
-            writer.close()
-            keys = np.unique(np.concatenate(held))
-            got = [*_packed([keys], buckets), (buckets, sink.getvalue().to_pybytes())]
-            chunk, part = (task << 32) + serial, (task + serial) % buckets
-            columns = [pa.array([chunk] * len(got)), pa.array([part] * len(got), pa.int32()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "bucket", "blob"])
 
-        for batch in slices(batches, "__text", min(SLICE_BYTES, chunk_bytes)):
-            if writer is None:
-                sink = pa.BufferOutputStream()
-                writer = pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-            writer.write_batch(batch)
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
-            held.append(distinct(data, offsets)[0])
-            size, windows_ = size + len(data), windows_ + len(held[-1])
-            if windows_ >= CHUNK_GRAMS:
-                held = [np.unique(np.concatenate(held))]
-                windows_ = len(held[0])
-            if size >= chunk_bytes or windows_ >= CHUNK_GRAMS // 2:
-                yield send()
-                serial, writer, held, size, windows_ = serial + 1, None, [], 0, 0
-        if writer is not None:
-            yield send()
-
-    return settle(docs.mapInArrow(work, "chunk long, part int, bucket int, blob binary"), "chunks")
-
-
-def _answers(chunks: DataFrame, models: Models) -> DataFrame:
-    """Both counts of each chunk's n-grams, in the form of chunks."""
+_ANSWER = _CHUNK + ", tokens_target long, tokens long, words long"
+
+
+def _answers(asked: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk and bucket the totals of its n-grams in the target (keys) and in all documents (counts), in their order; and
+    one row for each bucket: tokens of either table and words of both."""
 
     def work(batches):
-        tables, asked = {-2: [], -1: []}, []
+        rows: list[tuple] = []
         for batch in batches:
-            for chunk, part, bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if chunk < 0:
-                    tables[chunk].append(blob)
-                else:
-                    asked.append((chunk, part, bucket, blob))
-        tables = [unpack(blobs, ["<u8", "<i8"]) for blobs in tables.values()]
-        for i in range(0, len(asked), 64):
+            rows += zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)
+        if not rows:
+            return
+        totals, tokens, words, read = [], [], [], {}
+        for own in (False, True):  # target, documents
+            keys, counts = [], []
+            for i, r in enumerate(rows):
+                if (r[0] >= 0) == own:
+                    k, c = unpack_counts(r[4], r[5])
+                    keys.append(k)
+                    counts.append(c)
+                    if own:
+                        read[i] = r[4]
+            k, c = add_up(np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*counts, np.zeros(0, np.int64)]))
+            del keys, counts
+            one = (k & _TAG) == 1
+            totals.append((k, c))
+            tokens.append(int(c[one].sum()))
+            words.append(k[one])
+        nothing = [pa.nulls(1, t) for t in _KINDS]
+        yield pa.RecordBatch.from_arrays([*nothing, *(pa.array([x], pa.int64()) for x in (*tokens, len(np.union1d(*words))))], names=[*_NAMES, "tokens_target", "tokens", "words"])
+        for i, blob in read.items():
+            with np.errstate(over="ignore"):
+                asked_keys = np.cumsum(_spread(blob), dtype=np.uint64)
             out = []
-            for chunk, part, bucket, blob in asked[i : i + 64]:
-                (keys,) = unpack([blob], ["<u8"])
-                columns = [keys]
-                for known, counts in tables:
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                        columns.append(np.where(known[at] == keys, counts[at], 0))
-                    else:
-                        columns.append(np.zeros(len(keys), dtype=np.int64))
-                out.append((chunk, part, bucket, next(pack(columns, np.zeros(len(keys), dtype=np.uint64), 1))[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["chunk", "part", "bucket", "blob"])
+            for known, counts in totals:
+                at = np.minimum(np.searchsorted(known, asked_keys), max(len(known) - 1, 0))
+                out.append(_squeezed(np.where(known[at] == asked_keys, counts[at], 0) if len(known) else np.zeros(len(asked_keys))))
+            batch = _rows([(*rows[i][:4], *out, None)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(1, pa.int64()) for _ in range(3))], names=[*_NAMES, "tokens_target", "tokens", "words"])
         tidy()
 
-    n = models.buckets
-    rows = chunks.where(F.col("bucket") < n)
-    for mark, counts in ((-2, models.target), (-1, models.background)):
-        rows = rows.unionByName(counts.select(F.lit(mark).cast("long").alias("chunk"), F.lit(0).alias("part"), "bucket", "blob"))
-    return rows.repartitionById(n, F.col("bucket")).mapInArrow(work, "chunk long, part int, bucket int, blob binary")
+    return asked.unionByName(target).repartitionById(buckets, F.col("bucket")).mapInArrow(work, _ANSWER)
 
 
+@dataclass
 class Losses:
-    """Losses of the tokens of a chunk's documents, from both counts of the chunk's n-grams."""
-
-    def __init__(self, keys: np.ndarray, target: np.ndarray, background: np.ndarray, models: tuple[int, int, int, float]):
-        order = np.argsort(keys)
-        self.keys, self.target, self.background = keys[order], target[order], background[order]
-        self.n_target, self.n_background, self.vocabulary, self.scale = models
-
-    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens and sums of the losses of each text under either model."""
-        every, first = grams(data, offsets)
-        n = np.diff(first)
-        row = np.repeat(np.arange(len(n)), n)
-        t, b = [], []
-        for key in every:
-            at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-            if len(key) == 0:
-                t.append(np.zeros(0))
-                b.append(np.zeros(0))
-                continue
-            # The document's own occurrences are taken off; tokens without an n-gram of this order count for nothing.
-            known = key != 0
-            _, where, own = np.unique(row * (len(self.keys) + 1) + np.where(known, at + 1, 0), return_inverse=True, return_counts=True)
-            t.append(np.where(known, self.target[at], 0).astype(np.float64))
-            b.append(np.where(known, np.maximum(self.background[at] - own[where], 0) * self.scale, 0.0))
-        rest = np.maximum(self.n_background - n, 0) * self.scale
-        return n, self._loss(every, t, np.full(len(row), float(self.n_target)), first), self._loss(every, b, rest[row], first)
+    """Losses of the tokens of a chunk's documents, from both totals of the chunk's n-grams in their order."""
+
+    target: np.ndarray
+    background: np.ndarray
+    n_target: int
+    n_background: int
+    vocabulary: int
+
+    def of(self, batches: list[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Tokens and sums of the losses of the texts (last column) of all batches of the chunk, batch by batch."""
+        scale = self.n_target / self.n_background if self.n_background and self.n_target else 1.0
+        parts = [grams(*utf8(b.column(b.num_columns - 1))) for b in batches]
+        sizes = [len(every[0]) for every, _ in parts]
+        flat = np.concatenate([k for every, _ in parts for k in every] or [np.zeros(0, np.uint64)])
+        known = np.flatnonzero(flat)
+        place = np.zeros(len(flat), dtype=np.int64)
+        place[known] = np.unique(flat[known], return_inverse=True)[1]
+        out, at = [], 0
+        for (every, first), m in zip(parts, sizes, strict=True):
+            n = np.diff(first)
+            row = np.repeat(np.arange(len(n)), n)
+            t, b = [], []
+            for key in every:
+                i, at = place[at : at + m], at + m
+                own = np.zeros(m, dtype=np.int64)
+                some = np.flatnonzero(key)
+                _, where, times = np.unique(row[some] * (len(self.target) + 1) + i[some], return_inverse=True, return_counts=True)
+                own[some] = times[where]
+                t.append(np.where(key != 0, self.target[i], 0).astype(np.float64) if m else np.zeros(0))
+                b.append(np.where(key != 0, (self.background[i] - own) * scale, 0.0) if m else np.zeros(0))
+            rest = (self.n_background - n) * scale
+            out.append((n, self._loss(every, t, np.full(m, float(self.n_target)), first), self._loss(every, b, rest[row], first)))
+        return out
 
     def _loss(self, every: list[np.ndarray], counts: list[np.ndarray], total: np.ndarray, first: np.ndarray) -> np.ndarray:
         p = (counts[0] + ALPHA) / (total + (self.vocabulary + 1) * ALPHA)
@@ -258,30 +240,40 @@ class Losses:
         return reduce_rows(np.add, -np.log(p), first, 0.0)
 
 
-def score(docs: DataFrame, models: Models, keep: list[str], text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """keep columns, n_tokens, target_loss, background_loss and difference of each row."""
+def score(docs: DataFrame, target: DataFrame, keep: list[str], text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """keep columns, n_tokens, target_loss, background_loss and difference of each row of docs, which are the background."""
     names = ["n_tokens", "target_loss", "background_loss", "difference"]
     if clash := set(names) & set(keep):
         raise ValueError(f"columns {sorted(clash)} exist already")
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names[1:]]])
-    n, totals = models.buckets, (models.n_target, models.n_background, models.vocabulary, models.scale)
+    buckets = shuffle_partitions(docs.sparkSession)
+    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    source = source if _is_scan(source) else settle(source, "scored")
+    goal = _chunks(target.select(target[text].alias("__text")), buckets, CHUNK_BYTES, True, target=True)
+    answers = settle(_answers(_chunks(source, buckets, chunk_bytes, True), goal, buckets), "totals")
+    sums = answers.where("words IS NOT NULL").agg(F.sum("tokens_target"), F.sum("tokens"), F.sum("words")).first()
+    totals = tuple(int(x or 0) for x in sums)
 
     def work(batches):
-        held = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        checks: set[int] = set()
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket < n:
-                    held.append(blob)
+            for bucket, check, keys, counts, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                checks.add(check)
+                if bucket < buckets:
+                    held.append((_spread(keys).astype(np.int64), _spread(counts).astype(np.int64)))
                     continue
-                losses, held = Losses(*unpack(held, ["<u8", "<i8", "<i8"]), totals), []
-                for own in pa.ipc.open_stream(blob):
-                    count, target, background = losses.of(*utf8(own.column(len(keep))))
+                if len(checks) > 1:
+                    raise RuntimeError("the documents changed between the two passes")
+                mine, theirs = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*held, strict=True))
+                held, checks = [], set()
+                own = list(pa.ipc.open_stream(blob))
+                for rows, (count, a, b) in zip(own, Losses(mine, theirs, *totals).of(own), strict=True):
                     mean = lambda x: pa.array(x / np.maximum(count, 1), mask=count == 0)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], pa.array(count), mean(target), mean(background), mean(target - background)], names=[*keep, *names])
+                    yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(count), mean(a), mean(b), mean(a - b)], names=[*keep, *names])
         tidy()
 
-    chunks = _chunks(docs.select(*[docs[c] for c in keep], docs[text].alias("__text")), n, chunk_bytes)
-    rows = chunks.where(F.col("bucket") == n).unionByName(_answers(chunks, models))
-    # A chunk's documents come behind the counts of its n-grams.
-    dealt = rows.repartitionById(n, F.col("part")).sortWithinPartitions("chunk", "bucket")
-    return dealt.select("bucket", "blob").mapInArrow(work, schema)
+    rows = _chunks(source, buckets, chunk_bytes, False).unionByName(answers.where("words IS NULL").select(*_NAMES))
+    # A chunk's documents come behind the totals of its n-grams, bucket by bucket.
+    dealt = rows.repartitionById(buckets, F.col("part")).sortWithinPartitions("chunk", "bucket")
+    return dealt.select("bucket", "check", "keys", "counts", "docs").mapInArrow(work, schema)

@@ -70,10 +70,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the conversations table as the target domain."""
-    from rulewright.llm.lm_score import fit, score
+    from rulewright.llm.lm_score import score
 
-    docs = _table(spark, sf_dir, "documents")
-    return score(docs, fit(_table(spark, sf_dir, "conversations"), docs), ["doc_id"])
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "conversations"), ["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
