@@ -460,6 +460,34 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return settle(_spans(found, n), "suffix-spans")
 
 
+def sorted_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """removed_spans from one distributed difference-cover sort of all suffixes, without the minimizers.
+
+    It shuffles some hundred times the text (see the README for measured figures), so it is for small corpora and for checks.
+    """
+    from rulewright.llm._dcsort import repeated_windows
+
+    n = shuffle_partitions(df.sparkSession)
+
+    def symbols(batches):
+        for batch in slices(batches, "text"):
+            data, offsets = utf8(batch.column(1))
+            wide = (data.astype("<i8") + 1).view(np.uint8)
+            rows = [wide[8 * a : 8 * b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc", "symbols"])
+
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text].alias("text")).where("doc_id IS NOT NULL")
+    texts = settle(docs.mapInArrow(symbols, "doc long, symbols binary"), "dc-texts")
+
+    def found(batches):
+        for batch in batches:
+            doc, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if len(doc):
+                yield from _to_documents(doc, first, np.ones(len(doc), np.uint32), n)
+
+    return settle(_spans(repeated_windows(texts, WIDTH, n).mapInArrow(found, _SCHEMA), n), "suffix-sorted")
+
+
 def dedup_digest(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row with an id."""
     spans = removed_spans(df, id_col, text)
