@@ -7,8 +7,12 @@ pre-tokenizer starts a new piece there whatever stands around it: before a space
 character. Cuts that must be made elsewhere (long runs without such a place) are repaired: the tokens on both sides are
 decoded and encoded again together, over a growing window, until the outer tokens agree exactly.
 
-Nulls and empty texts have no tokens. Other columns pass through untouched; output names that clash with theirs raise a
-ValueError unless `replace` is set. The vocabulary file is a parameter and is read by each worker.
+A worker keeps two generations of chunks: when the young one is full it becomes the old one, and a chunk of the old one that
+is met again is young again. So chunks that come again and again are never encoded twice by a worker, whatever lies between.
+
+Nulls and empty texts have no tokens. Repeated rows give repeated results, and very long texts are encoded whole. Other
+columns pass through untouched; output names that clash with theirs raise a ValueError. The vocabulary file is a parameter
+and is read by each worker.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import types as T
 
 from rulewright.llm._text import slices, utf8
 
-#: Chunks and pieces that a worker keeps; on overflow it keeps those in use, so memory is bounded and results are equal.
+#: Chunks of a generation and pieces that a worker keeps; memory is bounded, and results are equal whatever is kept.
 CACHE_CHUNKS, CACHE_PIECES = 20_000, 250_000
 #: Longest chunk that is worth keeping, and the longest run without a certified cut before it is cut anywhere.
 KEEP_BYTES, RUN_BYTES = 4_096, 65_536
@@ -49,6 +53,7 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.mask, self.run_bytes = mask, run_bytes
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
         self.pieces: dict[bytes, bytes] = {}  # ids of pieces; each decodes to itself but those in odd
         self.odd: dict[bytes, bytes] = {}
         # White space certifies a cut only for a byte-level pre-tokenizer with its own pattern, no normalizer and no prefix space.
@@ -94,7 +99,7 @@ class ChunkEncoder:
                 stop = own[c] if c < len(own) else b
                 if stop > begin:
                     chunks.append(chunk := raw[begin:stop])
-                    if chunk not in self.chunks and chunk not in fresh:
+                    if chunk not in self.chunks and chunk not in fresh and not self._again(chunk):
                         cut = [begin, *own[k:c], stop] if k < c or own[k:c] else [begin, stop]
                         fresh[chunk] = [raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 begin, k = stop, c + 1
@@ -105,11 +110,18 @@ class ChunkEncoder:
         for chunks in rows:
             got = [ready.get(x) or made[x] for x in chunks]
             out.append((b"".join([x[0] for x in got]), b"".join([x[1] for x in got])))
-        if len(ready) > CACHE_CHUNKS:
-            ready.clear()
         ready.update((k, v) for k, v in made.items() if len(k) <= KEEP_BYTES)
+        if len(ready) > CACHE_CHUNKS:
+            self.older, self.chunks = ready, {}
         return out
 
+    def _again(self, chunk: bytes) -> bool:
+        """Whether the chunk is of the old generation; it is young from now on."""
+        got = self.older.get(chunk)
+        if got is not None:
+            self.chunks[chunk] = got
+        return got is not None
+
     def _encode_chunks(self, fresh: dict[bytes, list[bytes]]) -> dict[bytes, tuple[bytes, bytes]]:
         known, odd = self.pieces, self.odd
         used: set[bytes] = set()
@@ -139,6 +151,7 @@ class ChunkEncoder:
             odd.clear()
             self.pieces = {}
             self.chunks.clear()
+            self.older.clear()
         return out
 
     def _encode_one(self, piece: bytes) -> tuple[bytes, bytes]:

@@ -3,7 +3,8 @@
 Documents are encoded once and only their lengths are aggregated: one row per distinct encoded length. Suffix sums over
 that histogram answer, for every context limit L, how many documents are longer, how many tokens are kept when texts are
 truncated to L, and where the quantiles lie. The sums run in two levels (blocks of lengths, then inside a block), so no
-task holds the whole histogram. Null and empty texts have length 0 and count as documents; an empty table gives no rows.
+task holds the whole histogram. Null and empty texts have length 0 and count as documents, repeated rows count each time, and
+very long texts are encoded whole; an empty table gives no rows. Only the text column is read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.functions.stats import running_total
 from rulewright.llm._store import settle
 from rulewright.llm.bpe import token_counts
 
@@ -32,19 +34,14 @@ def context_limits(hist: DataFrame) -> DataFrame:
     """
     h = hist.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / BLOCK).alias("block"), (F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
-    after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    blocks = blocks.select(
-        "block",
-        F.coalesce(F.sum("bd").over(after), F.lit(0)).alias("docs_after"),
-        F.coalesce(F.sum("bt").over(after), F.lit(0)).alias("tokens_after"),
-        F.sum("bd").over(whole).alias("docs_all"),
-        F.sum("bt").over(whole).alias("tokens_total"),
-    )
+    whole = h.agg(F.sum("n_docs").alias("docs_all"), F.sum("tokens").alias("tokens_total"))
+    # Sums up to a block run over ranges of blocks; what lies behind it is the rest.
+    upto = running_total(running_total(blocks, "block", "bd", "du"), "block", "bt", "tu")
+    blocks = upto.crossJoin(whole).select("block", (F.col("docs_all") - F.col("du")).alias("docs_after"), (F.col("tokens_total") - F.col("tu")).alias("tokens_after"), "docs_all", "tokens_total")  # whole is one row
     inside = Window.partitionBy("block").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, -1)
     longer = F.coalesce(F.sum("n_docs").over(inside), F.lit(0)) + F.col("docs_after")
     tokens_longer = F.coalesce(F.sum("tokens").over(inside), F.lit(0)) + F.col("tokens_after")
-    out = h.join(F.broadcast(blocks), "block").withColumn("docs_longer", longer).withColumn("tokens_longer", tokens_longer)
+    out = h.join(blocks, "block").withColumn("docs_longer", longer).withColumn("tokens_longer", tokens_longer)
     truncated = F.col("tokens_total") - F.col("tokens_longer") + F.col("n_tokens") * F.col("docs_longer")
     return out.select(
         F.col("n_tokens").alias("context_limit"),

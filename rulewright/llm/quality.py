@@ -5,9 +5,11 @@ so the sum of a feature's trees is a lookup table over its bins; then the pairs
 what is left get tables of their own, boosted in the same way. A text's margin is a sum of table entries; isotonic
 calibration on out-of-fold margins turns it into a probability.
 
-The tables are fitted on a bounded sample of labelled rows; every row is scored over its whole text. Null and empty texts
-get the score of their (all zero) features; a table without labels of both classes gives every row the smoothed rate.
-Labels, language, source and id are never inputs of a score.
+The tables are fitted on a bounded sample of labelled rows, of which only the features come to the driver; every row is
+scored over its whole text, however long. Null and empty texts get the score of their (all zero) features, repeated rows get
+equal scores, and rows without an id are scored like others. A table without labels of both classes gives every row the
+smoothed rate; an empty table gives no rows. Labels, language, source and id are never inputs of a score, and other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from rulewright.llm._boost import Isotonic, bin_edges, sigmoid, to_bins
 from rulewright.llm._features import QUALITY, Texts, quality_features
-from rulewright.llm._labelled import sample, score_rows
+from rulewright.llm._labelled import feature_rows, sampled, score_rows
+from rulewright.llm._store import discard
 from rulewright.llm._text import slices, utf8
 
 #: Labelled rows that the tables are fitted on, at most.
@@ -104,17 +107,12 @@ class Additive:
         return z
 
 
-def features(texts: pa.Array, rows: int = 500) -> np.ndarray:
-    parts = [quality_features(Texts(*utf8(texts.slice(i, rows)))) for i in range(0, len(texts), rows)]
-    return np.concatenate(parts) if parts else np.zeros((0, len(QUALITY)))
-
-
 class Model:
-    def __init__(self, texts: pa.Array, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray):
         self.tables, rate = None, (y.sum() + 0.5) / (len(y) + 1)
         self.calibrated = Isotonic(np.array([0.0]), np.array([rate]))
         if 0 < y.sum() < len(y):
-            x, half, out = features(texts), np.arange(len(y)) % 2, np.zeros(len(y))
+            half, out = np.arange(len(y)) % 2, np.zeros(len(y))
             for f in (0, 1):
                 out[half == f] = Additive().fit(x[half != f], y[half != f]).margin(x[half == f])
             self.tables, self.calibrated = Additive().fit(x, y), Isotonic().fit(out, y)
@@ -126,7 +124,10 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, limit: int = SAMPLE, text: str = "text", id_col: str = "doc_id") -> Model:
-    return Model(*sample(docs, labels, "quality", modulus, remainder, limit, text, id_col))
+    rows = sampled(docs, labels, "quality", modulus, remainder, limit, text, id_col)
+    _, x, y = feature_rows(rows, lambda texts: quality_features(Texts(*utf8(texts))))
+    discard(rows)
+    return Model(x, y)
 
 
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.7, limit: int = SAMPLE, text: str = "text", id_col: str = "doc_id") -> DataFrame:

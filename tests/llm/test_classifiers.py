@@ -73,3 +73,29 @@ def test_boosting_and_isotonic():
     c = Isotonic().fit(m, y)
     p = c(np.sort(m))
     assert (np.diff(p) >= 0).all() and abs(c(m).mean() - y.mean()) < 0.03
+
+
+@pytest.mark.parametrize("module, label, column, modulus, remainder", [(toxicity, "toxic", "toxic", 3, 1), (quality, "quality", "quality", 4, 2)])
+def test_held_out_rows_of_the_test_tables(spark, module, label, column, modulus, remainder):
+    """On the labels of the driver's tables: ranking and precision of held-out rows, and scores that rank inside a step."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    truth = {r["doc_id"]: r[column] for r in labels.collect()}
+    rows = [r for r in module.score(docs, labels).collect() if r["held_out"] and r["doc_id"] in truth]
+    pos, neg = ([r["score"] for r in rows if truth[r["doc_id"]] == k] for k in (1, 0))
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
+    assert len(rows) > 60 and auc > 0.9
+    flagged = [truth[r["doc_id"]] for r in rows if r["predicted"]]
+    assert np.mean(flagged) > 0.75 and len({r["score"] for r in rows}) > 20
+
+
+@pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_long_texts_null_ids_repeated_rows_and_clashing_columns(spark, module, label):
+    rows, labels = corpus(300)
+    long = "ka lo mira " * 90_000
+    extra = [(None, "ka lo"), (5000, long), (5001, None), (7, rows[7][1])]
+    df = spark.createDataFrame([(i, t, 0.5, True) for i, t in rows + extra], "doc_id long, text string, score double, held_out boolean")
+    lab = spark.createDataFrame([*labels, labels[7], (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = module.score(df, lab).collect()
+    assert len(got) == len(rows) + len(extra) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 7}) == 1 and sum(r["doc_id"] is None for r in got) == 1
