@@ -18,7 +18,10 @@ def dealt(spark, d: str, name: str, key: str, cases: list[tuple], schema: str) -
 
 def values(columns: list[str], rows: list[tuple]) -> str:
     """DuckDB SQL of literal rows."""
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_literal(v) for v in r) + ")" for r in rows) + f") e({', '.join(_quoted(c) for c in columns)})"
+    empty = [all(r[i] is None for r in rows) for i in range(len(columns))]
+    null = lambda i: f"CAST(NULL AS {'VARCHAR' if columns[i] == 'error' else 'DOUBLE'})"
+    text = ", ".join("(" + ", ".join(null(i) if empty[i] else _literal(v) for i, v in enumerate(r)) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {text}) e({', '.join(map(_quoted, columns))})"
 
 
 def _quoted(name: str) -> str:
@@ -63,6 +66,11 @@ def problems(spark, d: str, name: str = "nation", key: str = "n_nationkey") -> D
     return got.select(F.col("id").cast("string").alias("problem_id"), "problem")
 
 
-def by_id(df: DataFrame) -> DataFrame:
-    """df with id instead of problem_id."""
-    return df.withColumn("id", F.col("problem_id").cast("int")).drop("problem_id")
+def by_id(df: DataFrame, kind: str = "int") -> DataFrame:
+    """df with id, in the type of the table's key, instead of problem_id."""
+    return df.withColumn("id", F.col("problem_id").cast(kind)).drop("problem_id")
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """df with its counts as int, as the expected rows have them."""
+    return df.select(*[F.col(c).cast("int").alias(c) if t == "bigint" else F.col(c) for c, t in df.dtypes])

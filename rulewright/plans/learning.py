@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulewright.plans._registry import query
-from rulewright.plans.bank import by_id, dealt_oracle, problem_cases, problems, values
+from rulewright.plans.bank import by_id, dealt_oracle, narrow, problem_cases, problems, values
 from rulewright.plans.expected import EXPECTED
 
 N = len(problem_cases())
@@ -28,7 +28,7 @@ def learner_on_builtins(spark, d):
     from rulewright.operators.learner import solve_all
 
     out = solve_all(problems(spark, d, "supplier", "s_suppkey"))
-    return by_id(out).select("id", "success", "n_steps", F.array_join("symbols", ",").alias("symbols"), F.array_join("rules", " ").alias("rules"), F.array_join("assumptions", ",").alias("assumptions"), "n_backtracks", "budget_exceeded", "error")
+    return by_id(out, "bigint").select("id", "success", "n_steps", F.array_join("symbols", ",").alias("symbols"), F.array_join("rules", " ").alias("rules"), F.array_join("assumptions", ",").alias("assumptions"), "n_backtracks", "budget_exceeded", "error")
 
 
 @query("q111_course_events", _expected("q111_course_events", "supplier", "s_suppkey"))
@@ -36,7 +36,7 @@ def course_events(spark, d):
     """The recorder's events: what became of each fact, abandoned branches too."""
     from rulewright.operators.learner import events_of
 
-    return by_id(events_of(problems(spark, d, "supplier", "s_suppkey"))).select("id", "event_id", "idx", "input_rule", "outcome", "abandoned", "chosen_rank", "guarded_rule", F.array_join("contrary_facts", " ").alias("contrary_facts"), "n_candidates", "n_attempts")
+    return by_id(events_of(problems(spark, d, "supplier", "s_suppkey")), "bigint").select("id", "event_id", "idx", "input_rule", "outcome", "abandoned", "chosen_rank", "guarded_rule", F.array_join("contrary_facts", " ").alias("contrary_facts"), "n_candidates", "n_attempts")
 
 
 @query("q55_replay", _expected("q55_replay", "supplier", "s_suppkey"))
@@ -44,7 +44,7 @@ def replay_logs(spark, d):
     """Logs replayed from their text."""
     from rulewright.operators.trace import replays
 
-    return by_id(replays(problems(spark, d, "supplier", "s_suppkey"))).select("id", "n_lines", F.array_join("rules", " ").alias("rules"), F.array_join("assumptions", ", ").alias("assumptions"), "same")
+    return by_id(replays(problems(spark, d, "supplier", "s_suppkey")), "bigint").select("id", "n_lines", F.array_join("rules", " ").alias("rules"), F.array_join("assumptions", ", ").alias("assumptions"), "same")
 
 
 @query("q92_decision_rows", _expected("q92_decision_rows"))
@@ -82,7 +82,7 @@ def policy_run_stats(spark, d):
 
     p = problems(spark, d)
     steps = harvest(p).join(p, "problem_id")
-    return run_stats(judge(steps, baseline_answers(steps, "always_no")))
+    return narrow(run_stats(judge(steps, baseline_answers(steps, "always_no"))))
 
 
 @query("q100_controlled_runs", _expected("q100_controlled_runs"))
@@ -142,7 +142,7 @@ def probe_aggregate(spark, d):
     for name in ("always_yes", "oracle"):
         part = aggregate(score_probes(rows.withColumn("raw", policy_answer(F.col("kind"), F.col("oracle"), name)), p)).withColumn("policy", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out
+    return narrow(out)
 
 
 TIERS = ("t1_base", "t4_nested", "t5_twopath", "t8_decoy", "t9_reuse")
@@ -174,7 +174,7 @@ def attempt_verdict(spark, d):
     """Attempts, accepted ones and rejects by tier and class."""
     from rulewright.operators import corpus
 
-    return corpus.tallies(_corpus(spark))
+    return narrow(corpus.tallies(_corpus(spark)))
 
 
 @query("q103_step_gates", "SELECT true AS every_problem, true AS unique_rows, true AS targets_read, true AS verdicts_agree, true AS prompts_apart, true AS extra_in_train, true AS both_verdicts")
@@ -192,7 +192,7 @@ def surface_cues(spark, d):
     from rulewright.operators import corpus
 
     tried = corpus.attempts(spark, ["t1_base", "t2_noise"], 8)
-    return corpus.cue_table(tried.where("verdict = 'accepted'"))
+    return narrow(corpus.cue_table(tried.where("verdict = 'accepted'")))
 
 
 @query("q94_example_outcomes", _expected("q94_example_outcomes"))
@@ -267,7 +267,7 @@ def convergence(spark, d):
     """How many random frameworks converge, and in how many rounds, for each kernel and base score."""
     from rulewright.operators.gradual import convergence as run, convergence_rates, random_frameworks
 
-    return convergence_rates(run(random_frameworks(spark, 40).unionByName(random_frameworks(spark, 40, flat=False, seed=1).withColumn("fw", F.col("fw") + 40))))
+    return narrow(convergence_rates(run(random_frameworks(spark, 40).unionByName(random_frameworks(spark, 40, flat=False, seed=1).withColumn("fw", F.col("fw") + 40)))))
 
 
 @query("q96_contested_base", "SELECT * FROM (VALUES ('x', 0.333::DOUBLE, 0.8031::DOUBLE, 1), ('y', 0.333::DOUBLE, 0.0892::DOUBLE, -1), ('z', 0.667::DOUBLE, 0.9108::DOUBLE, 1)) t(asm, before, after, moved)")
