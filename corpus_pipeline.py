@@ -1,7 +1,12 @@
 """A training-data pipeline over `documents`: filter, deduplicate, decontaminate, redact, encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
-docs. All but the last return the columns of documents; every stage works on all that its predecessor kept.
+docs. All but the last return the columns of documents, extra ones too; every stage works on all that its predecessor kept.
+
+In every stage a null text is an empty one and stays null, very long texts are taken whole, an empty table gives an empty
+one, and rows with nulls in other columns are kept or dropped like any. Rows without an id are judged by the quality,
+decontamination and redaction stages; the near-duplicate stage keeps them, as nothing can be linked with them. Rows that
+share an id are one document there: they stay or go together.
 """
 
 from __future__ import annotations
@@ -40,11 +45,12 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as token ids; exact tells that decoding gives the text again."""
+    """Documents as token ids (doc_id and, where docs has them, lang and source); exact tells that decoding gives the text again."""
     small_batches(spark)
+    known = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
-    out = bpe.map_tokens(docs, fields, lambda ids, back: (len(ids) // 4, ids, back.decode()), ["doc_id", "lang", "source", "text"])
-    return out.select("doc_id", "lang", "source", "n_tokens", F.col("ids").alias("ids_le_uint32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    out = bpe.map_tokens(docs, fields, lambda ids, back: (len(ids) // 4, ids, back.decode()), [*known, "text"])
+    return out.select(*known, "n_tokens", F.col("ids").alias("ids_le_uint32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
 STAGES = [
@@ -55,7 +61,7 @@ STAGES = [
     ("bpe", encoded),
 ]
 
-#: SQL cannot express the fitted and the tokenizing stages; tests compare run() with brute force.
+#: SQL cannot express the fitted and the tokenizing stages; a test compares run() with the five stages in plain Python.
 ORACLE_SQL = None
 
 
