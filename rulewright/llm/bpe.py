@@ -11,8 +11,8 @@ A worker keeps two generations of chunks: when the young one is full it becomes
 is met again is young again. So chunks that come again and again are never encoded twice by a worker, whatever lies between.
 
 Nulls and empty texts have no tokens. Repeated rows give repeated results, and very long texts are encoded whole. Other
-columns pass through untouched; output names that clash with theirs raise a ValueError. The vocabulary file is a parameter
-and is read by each worker.
+columns pass through untouched, but one that is called like a result gives way to it. The vocabulary file is a parameter and
+is read by each worker.
 """
 
 from __future__ import annotations
@@ -215,8 +215,7 @@ def map_tokens(df: DataFrame, fields: list[T.StructField], make: Callable[[bytes
     """keep columns plus make(ids, decoded) for each row."""
     path = path or vocabulary()
     names = [f.name for f in fields]
-    if clash := set(names) & set(keep):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    keep = [c for c in keep if c not in names]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
 
     def work(batches):
@@ -248,9 +247,9 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, out: str
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, out: str = "decoded") -> DataFrame:
     """df with the text of its token ids (null ids: null)."""
     path = path or vocabulary()
+    df = df.drop(out) if out != ids else df.withColumnRenamed(ids, "__ids")
+    ids = ids if out != ids else "__ids"
     keep = df.columns
-    if out in keep:
-        raise ValueError(f"column {out} exists already")
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def work(batches):

@@ -18,7 +18,7 @@ tokens of a text use the orders that fit. Case is kept.
 
 Null, empty and blank texts have no tokens and null losses. An empty target is the uniform model. Repeated rows count each
 time, so a text that occurs twice is well known to the background. Very long texts are taken whole. Other columns are not
-read; output names that clash with those kept raise a ValueError.
+read; a kept column that is called like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -243,8 +243,7 @@ class Losses:
 def score(docs: DataFrame, target: DataFrame, keep: list[str], text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """keep columns, n_tokens, target_loss, background_loss and difference of each row of docs, which are the background."""
     names = ["n_tokens", "target_loss", "background_loss", "difference"]
-    if clash := set(names) & set(keep):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    keep = [c for c in keep if c not in names]
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names[1:]]])
     buckets = shuffle_partitions(docs.sparkSession)
     source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))

@@ -8,8 +8,8 @@ documents.
 
 Base spans are found by fixed patterns and always stay; the trees decide about all others. Of two candidates that overlap the
 one further above its threshold stays. Spans count code points, end
-exclusive. Null and empty texts have no spans. Repeated rows give repeated results; other columns pass through, and output
-names that clash with theirs raise a ValueError.
+exclusive. Null and empty texts have no spans, and very long texts are searched whole. Repeated rows give repeated results;
+other columns pass through, but one that is called like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -205,8 +205,7 @@ def fit(spark: SparkSession, n: int = 8000, seed: int = 7, precision: float = 0.
 
 def find_spans(df: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "spans") -> DataFrame:
     """df with two arrays of (kind, s, e): the base spans and all spans, by kind (email, ip, card, phone, ssn, iban) and start."""
-    if clash := {base, spans, "__b", "__x", "__text"} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    df = df.select(*[c for c in df.columns if c == text or c not in (base, spans, "__b", "__x", "__text")])
     margin, least = fit(df.sparkSession)
     found = ", ".join(f"transform(filter({_spans('__text', BASE[k], NEEDS[k], k)}, x -> {_BASE_TEST[k]}), x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))" for k in BASE)
     out = df.withColumn("__text", F.coalesce(df[text], F.lit("")))

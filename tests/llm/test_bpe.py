@@ -68,3 +68,30 @@ def test_length_report(docs, edge):
     got = {r["share"]: r["n_tokens"] for r in quantile_lengths(limits, [0.5, 1.0]).collect()}
     assert got == {0.5: lengths[(len(lengths) + 1) // 2 - 1], 1.0: lengths[-1]}
     assert context_limits(histogram(docs(edge).where("false"))).count() == 0
+
+
+def test_clashing_columns_null_ids_and_repeated_rows(spark):
+    """A column that is called like a result gives way to it; every row is encoded, whatever its id."""
+    long = "some words again " * 70_000
+    rows = [(None, "one two"), (2, None), (3, long), (3, long), (4, "")]
+    df = spark.createDataFrame([(i, t, "old", 9, "x") for i, t in rows], "doc_id long, text string, ids string, n_tokens int, decoded string")
+    want = [len(i) // 4 for i, _ in plain([t for _, t in rows])]
+    got = bpe.round_trip(df, ["doc_id", "n_tokens"])
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and sorted(r["n_tokens"] for r in got.collect()) == sorted(want)
+    coded = bpe.encode(df)
+    assert coded.columns.count("ids") == 1 and sorted(len(r["ids"]) for r in coded.collect()) == sorted(want)
+    assert sorted(r["decoded"] for r in bpe.decode(coded).collect()) == sorted(t or "" for _, t in rows)
+    hist = histogram(df)
+    assert sum(r["n_docs"] for r in hist.collect()) == 5 and {r["n_tokens"] for r in hist.collect()} == set(want)
+
+
+def test_chunks_come_again_from_the_old_generation(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 3)
+    enc = bpe.ChunkEncoder(bpe.vocabulary())
+    calls = []
+    real = enc._encode_chunks
+    monkeypatch.setattr(enc, "_encode_chunks", lambda fresh: calls.append(len(fresh)) or real(fresh))
+    text = "the very same passage, told and told again, until it ends. " * 3
+    for i in range(6):
+        enc.encode_batch(pa.array([text, f"something else {i} " * 4], pa.string()))
+    assert sum(calls) < 6 * calls[0]
