@@ -7,7 +7,7 @@ Suffixes are dealt to tasks by content: each WIDTH-byte window is named by its m
 leftmost of equals), so equal windows meet in one task.
 
 1. A first pass counts the documents of every minimizer; those of one document only cannot repeat. What repeats becomes a
-   bit set of fixed size, which only saves work where it is loose.
+   bit set as large as its keys need, up to a bound; it only saves work where it is loose.
 2. A second pass sends each occurrence of a repeated minimizer with one hash of all windows that it names. Where all
    occurrences agree, the windows of every document but that with the least id are repeats.
 3. A third pass sends the bytes around the other occurrences (mostly the ends of repeated passages). Each task sorts their
@@ -41,7 +41,8 @@ CONTEXT = WIDTH + SPAN - 1
 SIDE = (WIDTH - K) // 2  # every window reaches so far to one side of its gram
 HALF = WIDTH + SIDE  # bytes of SIDE + 1 windows
 FLUSH = 1 << 18
-BLOOM_BITS = 1 << 26
+#: Bits for each key of a bit set, and bits of a whole set at most (64 MB); beyond it a set only lets more rows through.
+KEY_BITS, MAX_BITS = 12, 1 << 29
 #: Bytes whose suffixes are sorted together (more if one minimizer has more).
 SORT_BYTES = 1 << 20
 
@@ -91,33 +92,32 @@ def minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class _Segments:
-    """A bit set in one segment for each bucket, so that each task makes its own segment."""
+    """A bit set in one segment for each bucket, so that each task makes its own segment, as large as its keys need."""
 
     def __init__(self, n_buckets: int, parts: dict[int, bytes]):
-        self.n, self.bits = n_buckets, _Segments.size(n_buckets)
-        empty = bytes(self.bits // 8)
-        self.words = np.frombuffer(b"".join(parts.get(b, empty) for b in range(n_buckets)), dtype=np.uint8)
+        self.n = n_buckets
+        empty = bytes(8)
+        segments = [parts.get(b, empty) for b in range(n_buckets)]
+        self.bits = np.array([8 * len(x) for x in segments], dtype=np.int64)
+        self.base = np.cumsum(self.bits) - self.bits
+        self.words = np.frombuffer(b"".join(segments), dtype=np.uint8)
 
     @staticmethod
-    def size(n_buckets: int) -> int:
-        return max(64, BLOOM_BITS // n_buckets // 64 * 64)
-
-    @staticmethod
-    def probes(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def probes(key: np.ndarray, bits: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         return key.astype(np.int64) % bits, ((key.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)).astype(np.int64) % bits
 
     @staticmethod
     def make(keys: np.ndarray, n_buckets: int) -> bytes:
-        bits = _Segments.size(n_buckets)
+        bits = 64 * max(1, min(-(-KEY_BITS * len(np.unique(keys)) // 64), MAX_BITS // n_buckets // 64))
         flags = np.zeros(bits, dtype=np.uint8)
         for p in _Segments.probes(keys, bits):
             flags[p] = 1
         return np.packbits(flags, bitorder="little").tobytes()
 
     def hits(self, mixed: np.ndarray) -> np.ndarray:
-        base = buckets_of(mixed, self.n).astype(np.int64) * self.bits
-        out = np.ones(len(mixed), dtype=bool)
-        for p in _Segments.probes((mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32), self.bits):
+        bucket = buckets_of(mixed, self.n).astype(np.int64)
+        base, out = self.base[bucket], np.ones(len(mixed), dtype=bool)
+        for p in _Segments.probes((mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32), self.bits[bucket]):
             i = base + p
             out &= (self.words[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
         return out
