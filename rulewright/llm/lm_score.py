@@ -11,7 +11,8 @@ background: lower is closer to the target.
 All n-grams are counted, none is dropped or merged on purpose: an n-gram is a 64-bit hash that tells its order, so what is
 gathered grows with the corpus (two of 10 million n-grams share a hash with a probability of about 1 in 100,000). Nothing of it
 is broadcast. Documents are packed into chunks; a chunk sends its distinct n-grams with their counts to buckets of the hash
-range, where all counts are added up, and gets both totals back in the order of its n-grams. The documents are read twice, once
+range, as many as the bytes of all texts ask for, where all counts are added up, and gets both totals back in the order of its
+n-grams (rows shuffled: chunks times ranges at most; from some TB on give larger chunks). The documents are read twice, once
 to count and once to score, and a chunk is the same rows both times: that of a plain scan of files is by itself, other rows are
 written to the shared folder first, and a checksum of the chunk refuses anything else. N-grams never cross texts; the first
 tokens of a text use the orders that fit. Case is kept.
@@ -41,6 +42,8 @@ from rulewright.llm._text import SLICE_BYTES, mix64, reduce_rows, slices, span_h
 ORDER, ALPHA, BETA = 2, 0.5, 4.0
 #: Bytes of text at which a chunk ends.
 CHUNK_BYTES = 8 << 20
+#: Bytes of text for each range of the hash: a task holds the n-grams of one range.
+RANGE_BYTES = 16 << 20
 _TAG = np.uint64(3)
 
 
@@ -245,10 +248,12 @@ def score(docs: DataFrame, target: DataFrame, keep: list[str], text: str = "text
     names = ["n_tokens", "target_loss", "background_loss", "difference"]
     keep = [c for c in keep if c not in names]
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names[1:]]])
-    buckets = shuffle_partitions(docs.sparkSession)
     source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
     source = source if _is_scan(source) else settle(source, "scored")
-    goal = _chunks(target.select(target[text].alias("__text")), buckets, CHUNK_BYTES, True, target=True)
+    goal = target.select(target[text].alias("__text"))
+    size = sum(df.agg(F.sum(F.octet_length("__text").cast("long"))).first()[0] or 0 for df in (source, goal))
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-size // RANGE_BYTES))
+    goal = _chunks(goal, buckets, CHUNK_BYTES, True, target=True)
     answers = settle(_answers(_chunks(source, buckets, chunk_bytes, True), goal, buckets), "totals")
     sums = answers.where("words IS NOT NULL").agg(F.sum("tokens_target"), F.sum("tokens"), F.sum("words")).first()
     totals = tuple(int(x or 0) for x in sums)

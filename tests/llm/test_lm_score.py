@@ -93,3 +93,14 @@ def test_empty_models_long_texts_and_clashing_columns(docs, edge):
     check(L.score(df, df, ["doc_id"]).collect(), long, long)
     again = L.score(df, df, ["doc_id", "target_loss"])
     assert again.columns == ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"] and again.where("doc_id = 1").first()["target_loss"] > 0
+
+
+def test_more_ranges_than_shuffle_partitions(spark, monkeypatch):
+    monkeypatch.setattr(L, "RANGE_BYTES", 300)
+    rows = [(i, " ".join(f"w{(i * k) % 17}" for k in range(40))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    goal = df.where("doc_id < 3")
+    many = {r.doc_id: r.difference for r in L.score(df, goal, ["doc_id"], chunk_bytes=500).collect()}
+    monkeypatch.undo()
+    few = {r.doc_id: r.difference for r in L.score(df, goal, ["doc_id"]).collect()}
+    assert many == pytest.approx(few) and len(many) == 30
