@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of text for each task of a shuffle that holds its part in memory.
+PART_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,3 +54,9 @@ def discard(*tables: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def partitions_for(text: list[DataFrame], column: str, part_bytes: int | None = None) -> int:
+    """Parts in which a task's share of the texts stays bounded: the session's shuffle partitions, or more for more text."""
+    size = sum(df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0 for df in text)
+    return max(shuffle_partitions(text[0].sparkSession), -(-size // (part_bytes or PART_BYTES)))

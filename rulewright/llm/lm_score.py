@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from rulewright.llm._blobs import buckets_of
 from rulewright.llm._memory import tidy
-from rulewright.llm._store import settle, shuffle_partitions
+from rulewright.llm._store import partitions_for, settle
 from rulewright.llm._text import SLICE_BYTES, mix64, reduce_rows, slices, span_hashes, utf8, word_bounds
 
 ORDER, ALPHA, BETA = 2, 0.5, 4.0
@@ -251,8 +251,7 @@ def score(docs: DataFrame, target: DataFrame, keep: list[str], text: str = "text
     source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
     source = source if _is_scan(source) else settle(source, "scored")
     goal = target.select(target[text].alias("__text"))
-    size = sum(df.agg(F.sum(F.octet_length("__text").cast("long"))).first()[0] or 0 for df in (source, goal))
-    buckets = max(shuffle_partitions(docs.sparkSession), -(-size // RANGE_BYTES))
+    buckets = partitions_for([source, goal], "__text", RANGE_BYTES)
     goal = _chunks(goal, buckets, CHUNK_BYTES, True, target=True)
     answers = settle(_answers(_chunks(source, buckets, chunk_bytes, True), goal, buckets), "totals")
     sums = answers.where("words IS NOT NULL").agg(F.sum("tokens_target"), F.sum("tokens"), F.sum("words")).first()

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from rulewright.llm._blobs import Bloom, buckets_of, by_bucket, pack, read_blobs, unpack
 from rulewright.llm._components import components, label_pairs
-from rulewright.llm._store import settle, shuffle_partitions
+from rulewright.llm._store import partitions_for, settle
 from rulewright.llm._text import distinct_sorted, lower_ascii, mix64, reduce_rows, shingle_hashes, slices, span_hashes, utf8, word_bounds
 
 K = 5
@@ -400,9 +400,8 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     Ids are unique integers; rows with a null id are left out. Repeated texts link with each other; an empty table gives
     no rows. Other columns, whatever their names, are not read.
     """
-    spark = df.sparkSession
-    parts = shuffle_partitions(spark)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text].alias("text")).where("doc_id IS NOT NULL")
+    parts = partitions_for([docs], "text")
     scanned = settle(_scan(docs, _frequent(docs), parts), "ngram-scan")
     rows = scanned.where("doc_id IS NOT NULL").select("doc_id", "n", "f1", "f2", "sig")
     groups = settle(_groups(scanned.where("bucket IS NOT NULL"), parts), "ngram-groups")

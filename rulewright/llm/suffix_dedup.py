@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rulewright.llm._blobs import Bloom, buckets_of, pack, unpack
 from rulewright.llm._dc3 import suffix_order
 from rulewright.llm._memory import tidy
-from rulewright.llm._store import settle, shuffle_partitions
+from rulewright.llm._store import partitions_for, settle, shuffle_partitions
 from rulewright.llm._text import _power_table, mix64, slices, utf8
 
 WIDTH, K = 50, 20
@@ -452,8 +452,8 @@ def _result(ids: list[int], texts: list[bytes], spans: list[bytes | None]) -> pa
 
 def removed_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans): the byte spans to remove, as pairs of little-endian 64-bit integers, for documents that have some."""
-    n = shuffle_partitions(df.sparkSession)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text].alias("text")).where("doc_id IS NOT NULL")
+    n = partitions_for([docs], "text")
     agreed = _agreeing(docs, _repeated(docs, n), n)
     bits = {r["bucket"]: bytes(r["bits"]) for r in agreed.where("bits IS NOT NULL").select("bucket", "bits").collect()}
     found = agreed.where("bits IS NULL").select("bucket", "base", "blob", "found").union(_disagreeing(docs, _Segments(n, bits), n))
