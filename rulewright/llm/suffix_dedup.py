@@ -382,6 +382,8 @@ def _disagreeing(docs: DataFrame, mixed: _Segments, n: int) -> DataFrame:
             keep = _meeting(group, doc)  # a group of one document only has come through the looseness of the bit set
             group, first, count, context, doc = group[keep], first[keep].astype(np.int64), count[keep].astype(np.int64), context[keep].view(np.uint8).reshape(-1, HALF), doc[keep]
             del got
+            if len(group) == 0:
+                return
             (group, first, count, context, doc), repeated = _without_equal(group, first, count, context, doc)
             if len(repeated[0]):
                 yield from _to_documents(*repeated, n)
