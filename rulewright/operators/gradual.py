@@ -15,7 +15,9 @@ def step(strengths: DataFrame, edges: DataFrame, kernel: str) -> DataFrame:
     past collects the values before.
     """
     together, balance, influence = K.KERNELS[kernel]
-    sets = edges.join(strengths.select(F.col("asm").alias("member"), "value"), "member").groupBy("target", "polarity", "edge_id").agg(F.array_sort(F.collect_list("value")).alias("vs"))
+    # Dealt by the target once: both groupings and the join with the targets need no other exchange of the sets.
+    reached = edges.join(strengths.select(F.col("asm").alias("member"), "value"), "member").repartition("target")
+    sets = reached.groupBy("target", "polarity", "edge_id").agg(F.array_sort(F.collect_list("value")).alias("vs"))
     force = sets.withColumn("f", together(F.col("vs"))).groupBy("target").agg(
         F.array_sort(F.collect_list(F.when(F.col("polarity") == "attack", F.col("f")))).alias("a"), F.array_sort(F.collect_list(F.when(F.col("polarity") == "support", F.col("f")))).alias("s")
     )
