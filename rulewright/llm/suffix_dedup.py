@@ -68,27 +68,30 @@ def minimizers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     total = _prefix_sums(data)
     if n < WIDTH:
         return np.zeros(0, np.uint64), none, none, none, none, total
-    at = np.arange(n - K + 1)
-    gram = _hash_between(total, at, at + K)
+    _, q = _power_table(n + 1)
+    with np.errstate(over="ignore"):
+        gram = mix64((total[K:] - total[: n - K + 1]) * q[: n - K + 1] + np.uint64(K) * np.uint64(0x9E3779B97F4A7C15))
     place_bits = max(1, int(n).bit_length())
     low = np.uint64((1 << place_bits) - 1)
-    m = (gram & ~low) | at.astype(np.uint64)
+    m = (gram & ~low) | np.arange(n - K + 1, dtype=np.uint64)
     reach = 1
     while 2 * reach <= SPAN:
         m = np.minimum(m[: len(m) - reach], m[reach:])
         reach *= 2
     if reach < SPAN:
         m = np.minimum(m[: len(m) - (SPAN - reach)], m[SPAN - reach :])
-    where = (m & low).astype(np.int64)  # for each window start, the place of its minimizer
-    row = np.searchsorted(offsets, np.arange(len(where)), side="right") - 1
-    inside = np.arange(len(where)) + WIDTH <= offsets[row + 1]
-    starts = np.flatnonzero(inside)
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64), none, none, none, none, total
-    w, r = where[starts], row[starts]
-    new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (r[1:] != r[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    last = np.append(new[1:], len(starts)) - 1
-    return mix64(gram[w[new]]), r[new], starts[new], starts[last], w[new], total
+    where = m & low  # for each window start, the place of its minimizer
+    length = np.diff(offsets)
+    own = np.maximum(length - WIDTH + 1, 0)
+    inside = np.repeat(np.tile([True, False], len(length)), np.stack([own, length - own], axis=1).ravel())[: len(where)]
+    new, end = inside.copy(), inside.copy()  # windows of two rows are apart, so a run ends with its row
+    if len(where) > 1:
+        moved = where[1:] != where[:-1]
+        new[1:] &= moved | ~inside[:-1]
+        end[:-1] &= moved | ~inside[1:]
+    first, last = np.flatnonzero(new), np.flatnonzero(end)
+    place = where[first].astype(np.int64)
+    return mix64(gram[place]), np.searchsorted(offsets, first, side="right") - 1, first, last, place, total
 
 
 class _Segments:
